@@ -75,7 +75,8 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
-    """Connected components of an edge list (a, b: long) as rows (node, root), root the smallest node.
+    """Connected components of an edge list (a, b: long) as rows (node, root), root the smallest node; the root
+    itself has no row.
 
     Alternating large-star and small-star contraction: every round is two grouped minima (combined before
     the shuffle) and two joins, so no neighbourhood is ever gathered in one place. Each round is written to

@@ -26,6 +26,18 @@ def sentences(data: bytes) -> list[list[bytes]]:
     return [w for w in map(bytes.split, data.translate(_TABLE).split(b"\n")) if w]
 
 
+#: Bytes of the word beginnings that count as features beside whole words; words that merely begin alike share them.
+PREFIXES = (5, 6, 7)
+
+
+def features(sentence: list[bytes]) -> set[bytes]:
+    """Distinct words of a sentence and, marked by a star, their beginnings."""
+    out = set(sentence)
+    for n in PREFIXES:
+        out |= {w[:n] + b"*" for w in out if len(w) >= n and w[-1:] != b"*"}
+    return out
+
+
 def sentence_spans(data: bytes) -> list[tuple[int, int]]:
     """Byte ranges of the sentences that ``sentences`` gives."""
     out, at = [], 0
@@ -45,8 +57,8 @@ class Model:
         w, known = self.weights, self.weights.keys()
         z = np.full(len(sents), self.bias)
         for k, s in enumerate(sents):
-            if not known.isdisjoint(s):
-                z[k] += sum(w[x] for x in known & set(s))
+            if found := known & features(s):
+                z[k] += sum(sorted(w[x] for x in found))
         return z
 
     def document(self, data: bytes) -> tuple[float, int | None, float]:
@@ -59,7 +71,7 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, z).sum())), top, float(1 / (1 + np.exp(-z[top])))
 
 
-def train(texts: list[bytes], labels: list[int], vocabulary: int = 2000, steps: int = 300, penalty: float = 1e-4, least_documents: int = 4) -> Model:
+def train(texts: list[bytes], labels: list[int], vocabulary: int = 500, steps: int = 300, penalty: float = 1e-4, least_documents: int = 8) -> Model:
     """Fit on a bounded sample on the driver.
 
     Candidate words are those whose presence is most associated with the label (chi-square); Adam on the mean
@@ -69,14 +81,14 @@ def train(texts: list[bytes], labels: list[int], vocabulary: int = 2000, steps:
     if not len(y) or y.min() == y.max():
         p = (y.mean() if len(y) else 0.0) * 0.98 + 0.01
         return Model(float(np.log(p / (1 - p))), {})
-    bags = [sentences(t) for t in texts]
+    bags = [list(map(features, sentences(t))) for t in texts]
     presence: dict[bytes, list[int]] = {}
     for d, sents in enumerate(bags):
-        for w in set().union(*sents) if sents else ():
+        for w in set().union(*sents):
             c = presence.setdefault(w, [0, 0])
             c[int(y[d])] += 1
     n1, n0 = y.sum(), (1 - y).sum()
-    names = [w for w, c in presence.items() if sum(c) >= least_documents]
+    names = [w for w, c in presence.items() if sum(c) >= min(least_documents, max(1, n1))]
     c0, c1 = np.array([presence[w][0] for w in names], float), np.array([presence[w][1] for w in names], float)
     spread = (c0 + c1) * (n0 + n1 - c0 - c1) + 1e-9
     chi = (c1 * (n0 - c0) - c0 * (n1 - c1)) ** 2 * (n0 + n1) / (n0 * n1 * spread)
@@ -87,7 +99,7 @@ def train(texts: list[bytes], labels: list[int], vocabulary: int = 2000, steps:
         for s in sents:
             k = len(owner)
             owner.append(d)
-            found = {number[w] for w in s if w in number}
+            found = sorted(number[w] for w in s if w in number)
             rows += [k] * len(found)
             cols += found
     rows, cols, owner = np.array(rows, np.int64), np.array(cols, np.int64), np.array(owner, np.int64)

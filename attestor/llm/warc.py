@@ -72,10 +72,11 @@ def parse_record(data: bytes) -> dict:
 
 def train(records: list[bytes], size: int = 32 << 10) -> zstandard.ZstdCompressionDict | None:
     """A dictionary trained on these records, or None if they are too few or too small for one."""
-    if len(records) < 8:
+    size = min(size, sum(map(len, records)) // 8)
+    if len(records) < 8 or size < 256:
         return None
     try:
-        return zstandard.train_dictionary(size, records, d=8, k=256, level=LEVEL)
+        return zstandard.train_dictionary(size, records, d=8, k=min(256, size // 4), level=LEVEL)
     except zstandard.ZstdError:
         return None
 
