@@ -189,7 +189,7 @@ def write_archives(records: DataFrame, archive_bytes: int = 16 << 20, sample_byt
                     path = f"{base}/part-{part:06d}-{made:04d}-{uuid.uuid4().hex[:8]}.warc.zst"
                     fs, at = file_system(path)
                     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                    archive, made = Archive(fs.open_output_stream(at), sample_bytes), made + 1
+                    archive, made = Archive(fs.open_output_stream(at, compression=None), sample_bytes), made + 1
                 archive.add(warc_record(page_id, url, data.as_py(), digest, ref))
                 if archive.size >= archive_bytes:
                     archive.close()
@@ -213,7 +213,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, at = file_system(path)
-                with fs.open_input_stream(at) as f:
+                with fs.open_input_stream(at, compression=None) as f:
                     data, out = f.read(), []
                 for offset, raw in read_archive(data):
                     r = parse_record(raw)
