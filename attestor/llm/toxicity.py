@@ -81,25 +81,25 @@ def train(texts: list[bytes], labels: list[int], vocabulary: int = 500, steps: i
     if not len(y) or y.min() == y.max():
         p = (y.mean() if len(y) else 0.0) * 0.98 + 0.01
         return Model(float(np.log(p / (1 - p))), {})
-    bags = [list(map(features, sentences(t))) for t in texts]
-    presence: dict[bytes, list[int]] = {}
-    for d, sents in enumerate(bags):
-        for w in set().union(*sents):
-            c = presence.setdefault(w, [0, 0])
-            c[int(y[d])] += 1
+    presence: dict[bytes, int] = {}  # documents with label 0, and those with label 1 in the upper half
+    for t, label in zip(texts, y.astype(int).tolist()):
+        for w in set().union(*map(features, sentences(t))):
+            presence[w] = presence.get(w, 0) + (1 << 32 * label)
     n1, n0 = y.sum(), (1 - y).sum()
-    names = [w for w, c in presence.items() if sum(c) >= min(least_documents, max(1, n1))]
-    c0, c1 = np.array([presence[w][0] for w in names], float), np.array([presence[w][1] for w in names], float)
+    least = min(least_documents, max(1, n1))
+    found = sorted((w, c & 0xFFFFFFFF, c >> 32) for w, c in presence.items() if (c & 0xFFFFFFFF) + (c >> 32) >= least)
+    del presence
+    names, c0, c1 = [f[0] for f in found], np.array([f[1] for f in found], float), np.array([f[2] for f in found], float)
     spread = (c0 + c1) * (n0 + n1 - c0 - c1) + 1e-9
     chi = (c1 * (n0 - c0) - c0 * (n1 - c1)) ** 2 * (n0 + n1) / (n0 * n1 * spread)
     chosen = [names[k] for k in np.lexsort((np.arange(len(names)), -chi))[:vocabulary]]
     number = {w: k for k, w in enumerate(chosen)}
     rows, cols, owner = [], [], []
-    for d, sents in enumerate(bags):
-        for s in sents:
+    for d, t in enumerate(texts):
+        for s in sentences(t):
             k = len(owner)
             owner.append(d)
-            found = sorted(number[w] for w in s if w in number)
+            found = sorted(number[w] for w in number.keys() & features(s))
             rows += [k] * len(found)
             cols += found
     rows, cols, owner = np.array(rows, np.int64), np.array(cols, np.int64), np.array(owner, np.int64)
