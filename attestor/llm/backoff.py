@@ -4,7 +4,7 @@ The relations are those of a plain query - count tables of n-grams, partitioned
 n-grams of the documents, then summed per document - but their rows travel in packed blocks. A block of
 documents (one row of a written table) sends each hash range the sorted, delta-coded hashes of its distinct
 n-grams with their counts; the range sums them, and answers each block with the totals of those of its n-grams
-that occur ``least`` times or more. Blocks and answers meet by block, where every token is scored.
+that occur ``least`` times or more, named by their places in what the block had sent. Blocks and answers meet by block, where every token is scored.
 
 S(w | u v) = c(u v w) / c(u v) if c(u v w) >= least; else alpha * S(w | v); S(w | v) likewise with c(v w) / c(v);
 S(w) = c(w) / N. A document's first tokens start at the order that their context allows.
@@ -109,8 +109,14 @@ def _grams(counts: list[int], ids: bytes, hashes: bytes, order: int) -> tuple[np
     return depth, gram_hashes(np.frombuffer(hashes, "<u8")[unpack(ids)], depth, order)
 
 
+def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each hash range begins among sorted keys, and the end."""
+    return np.searchsorted(keys, [(r << BITS) // ranges for r in range(ranges + 1)])
+
+
 def count_answers(blocks: DataFrame, order: int, least: int, ranges: int) -> DataFrame:
-    """Rows (block, n, keys, totals): each block's n-grams that occur ``least`` times or more in the corpus.
+    """Rows (block, n, range, places, totals): each block's n-grams that occur ``least`` times or more in the
+    corpus, by their places among the sorted distinct hashes that the block has in the range.
 
     N-gram hashes are dealt to ``ranges`` equal ranges; a range holds a bounded number of keys, as a hot
     n-gram is one key of each block.
@@ -122,13 +128,13 @@ def count_answers(blocks: DataFrame, order: int, least: int, ranges: int) -> Dat
                 name, counts, ids, hashes = (batch.column(c)[k].as_py() for c in (0, 2, 3, 4))
                 for n, (_, keys) in enumerate(_grams(counts, ids, hashes, order)[1], 1):
                     keys, times = np.unique(keys, return_counts=True)
-                    cuts = np.searchsorted(keys, [(r << BITS) // ranges for r in range(ranges + 1)])
+                    cuts = _cuts(keys, ranges)
                     out = [(r, name, n, pack(np.diff(keys[a:b], prepend=np.int64(0))), pack(times[a:b])) for r, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["range", "block", "n", "keys", "times"])
 
     def answer(asked: pa.Table) -> pa.Table:
-        names, out = asked.column("block").to_pylist(), []
+        names, out, here = asked.column("block").to_pylist(), [], asked.column("range")[0].as_py()
         orders = asked.column("n").to_numpy()
         for n in np.unique(orders).tolist():
             rows = np.flatnonzero(orders == n).tolist()
@@ -139,13 +145,13 @@ def count_answers(blocks: DataFrame, order: int, least: int, ranges: int) -> Dat
             for r, k in zip(rows, keys):
                 mine = totals[at : at + len(k)]
                 at += len(k)
-                good = mine >= least
-                if good.any():
-                    out.append((names[r], n, pack(np.diff(k[good], prepend=np.int64(0))), pack(mine[good])))
-        return pa.Table.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "n", "keys", "totals"])
+                good = np.flatnonzero(mine >= least)
+                if len(good):
+                    out.append((names[r], n, here, pack(np.diff(good, prepend=0)), pack(mine[good])))
+        return pa.Table.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "n", "range", "places", "totals"])
 
     asked = blocks.mapInArrow(ask, "range int, block string, n int, keys binary, times binary")
-    return asked.groupBy("range").applyInArrow(answer, "block string, n int, keys binary, totals binary")
+    return asked.groupBy("range").applyInArrow(answer, "block string, n int, range int, places binary, totals binary")
 
 
 def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = _BLOCK_BYTES, range_keys: int = _RANGE_KEYS) -> DataFrame:
@@ -171,13 +177,12 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: i
         log_c = np.full((order + 1, size), -np.inf)  # log count of the n-gram that ends at a token; -inf below the floor
         log_c[0] = np.log(max(total, 1))
         for k, (at, keys) in enumerate(grams, 1):
-            rows = np.flatnonzero(n == k).tolist()
-            known = np.concatenate([np.cumsum(unpack(found.column("keys")[r].as_py())) for r in rows]) if rows else np.zeros(0, np.int64)
-            totals = np.concatenate([unpack(found.column("totals")[r].as_py()) for r in rows]) if rows else np.zeros(0, np.int64)
-            way = np.argsort(known)
-            known, totals = np.r_[known[way], -1], np.r_[totals[way], 1]
-            spot = np.searchsorted(known[:-1], keys)
-            c = np.where(known[spot] == keys, totals[spot], 1)
+            distinct, inverse = np.unique(keys, return_inverse=True)
+            begin, totals = _cuts(distinct, ranges), np.ones(len(distinct), np.int64)
+            for r in np.flatnonzero(n == k).tolist():
+                places = np.cumsum(unpack(found.column("places")[r].as_py()))
+                totals[begin[found.column("range")[r].as_py()] + places] = unpack(found.column("totals")[r].as_py())
+            c = totals[inverse]
             log_c[k, at] = np.where((c >= floor) | (k == 1), np.log(c), -np.inf)
         value = np.full(size, np.nan)
         for k in range(order, 0, -1):
