@@ -2,7 +2,7 @@
 
 The relations are those of a plain query - count tables of n-grams, partitioned by hash and joined to the
 n-grams of the documents, then summed per document - but their rows travel in packed blocks. A block of
-documents (one row of a written table) sends each hash range the sorted, delta-coded hashes of its distinct
+documents (a file in the shared folder) sends each hash range the sorted, delta-coded hashes of its distinct
 n-grams with their counts; the range sums them, and answers each block with the totals of those of its n-grams
 that occur ``least`` times or more, named by their places in what the block had sent. Blocks and answers meet by block, where every token is scored.
 
@@ -12,6 +12,7 @@ S(w) = c(w) / N. A document's first tokens start at the order that their context
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.decontaminate import words
-from attestor.llm.shared import drop_written, only, utf8, written
+from attestor.llm.shared import file_system, fresh_path, only, utf8, written
 
 #: Bits of an n-gram's hash.
 BITS = 56
@@ -62,11 +63,16 @@ def gram_hashes(tokens: np.ndarray, depth: np.ndarray, order: int) -> list[tuple
     return out
 
 
-_BLOCK = "block string, doc_ids array<long>, counts array<long>, ids binary, hashes binary"
+_BLOCK = "block string, path string, tokens long"
 
 
 def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = _BLOCK_BYTES) -> DataFrame:
-    """Write documents as blocks of word numbers; a document larger than a block gets one of its own."""
+    """Write documents as blocks of word numbers, a file each, and return the written list of blocks.
+
+    A document larger than a block gets one of its own. Only files in the list count; a task that runs again
+    writes new ones.
+    """
+    base = fresh_path(docs.sparkSession, "token-blocks")
     rows = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +89,13 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
             rank[order] = np.arange(len(order))
             names = list(known)
             hashes = np.array([xxhash.xxh64_intdigest(names[k]) for k in order.tolist()], np.uint64)
-            out = pa.RecordBatch.from_arrays([pa.array([f"{part}-{made}"]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([pack(rank[flat])], pa.binary()), pa.array([hashes.astype("<u8").tobytes()], pa.binary())], ["block", "doc_ids", "counts", "ids", "hashes"])
+            stored = pa.table({"doc_ids": pa.array([ids], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())), "ids": pa.array([pack(rank[flat])], pa.binary()), "hashes": pa.array([hashes.astype("<u8").tobytes()], pa.binary())})
+            path = f"{base}/{part:06d}-{made:06d}-{uuid.uuid4().hex[:8]}.arrow"
+            fs, at = file_system(path)
+            fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(at) as f, pa.ipc.new_stream(f, stored.schema) as w:
+                w.write_table(stored)
+            out = pa.RecordBatch.from_pydict({"block": [f"{part}-{made}"], "path": [path], "tokens": [len(flat)]})
             ids, counts, numbers, size, known, made = [], [], [], 0, {}, made + 1
             return out
 
@@ -100,7 +112,15 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
         if ids:
             yield block()
 
-    return written(rows.mapInArrow(run, _BLOCK), "token-blocks")
+    return written(rows.mapInArrow(run, _BLOCK), "blocks")
+
+
+def _stored(path: str) -> tuple[list, list[int], bytes, bytes]:
+    """doc_ids, counts, ids and hashes of a block."""
+    fs, at = file_system(path)
+    with fs.open_input_stream(at) as f:
+        t = pa.ipc.open_stream(f).read_all()
+    return tuple(t.column(k)[0].as_py() for k in range(4))
 
 
 def _grams(counts: list[int], ids: bytes, hashes: bytes, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -125,7 +145,7 @@ def count_answers(blocks: DataFrame, order: int, least: int, ranges: int) -> Dat
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                name, counts, ids, hashes = (batch.column(c)[k].as_py() for c in (0, 2, 3, 4))
+                name, (_, counts, ids, hashes) = batch.column(0)[k].as_py(), _stored(batch.column(1)[k].as_py())
                 for n, (_, keys) in enumerate(_grams(counts, ids, hashes, order)[1], 1):
                     keys, times = np.unique(keys, return_counts=True)
                     cuts = _cuts(keys, ranges)
@@ -150,7 +170,8 @@ def count_answers(blocks: DataFrame, order: int, least: int, ranges: int) -> Dat
                     out.append((names[r], n, here, pack(np.diff(good, prepend=0)), pack(mine[good])))
         return pa.Table.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "n", "range", "places", "totals"])
 
-    asked = blocks.mapInArrow(ask, "range int, block string, n int, keys binary, times binary")
+    n = blocks.count()
+    asked = blocks.repartition(min(max(1, n), 20_000)).mapInArrow(ask, "range int, block string, n int, keys binary, times binary")
     return asked.groupBy("range").applyInArrow(answer, "block string, n int, range int, places binary, totals binary")
 
 
@@ -164,15 +185,15 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: i
     if least < 1 or order < 1:
         raise ValueError("order and least begin at 1")
     blocks = token_blocks(docs, id_col, text_col, block_bytes)
-    total = blocks.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")).first()["n"] or 0
+    total = blocks.agg(F.sum("tokens").alias("n")).first()["n"] or 0
     ranges = max(1, -(-total * order // range_keys))
     answers = count_answers(blocks, order, max(2, least), ranges)
     # a total below two is one: nothing is sent for it
     floor = least
 
-    def score(block: pa.Table, found: pa.Table) -> pa.Table:
-        counts = block.column("counts")[0].as_py()
-        depth, grams = _grams(counts, block.column("ids")[0].as_py(), block.column("hashes")[0].as_py(), order)
+    def score(found: pa.Table) -> pa.Table:
+        ids, counts, numbers, hashes = _stored(next(p for p in found.column("path").to_pylist() if p))
+        depth, grams = _grams(counts, numbers, hashes, order)
         n, size = found.column("n").to_numpy(), len(depth)
         log_c = np.full((order + 1, size), -np.inf)  # log count of the n-gram that ends at a token; -inf below the floor
         log_c[0] = np.log(max(total, 1))
@@ -192,9 +213,9 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: i
             value[use] = log_c[k, use] - context[use] + steps[use] * np.log(alpha)
         owner = np.repeat(np.arange(len(counts)), counts)
         sums = np.bincount(owner, value, len(counts))
-        return pa.table({"doc_id": pa.array(block.column("doc_ids")[0].as_py(), pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "log_score": pa.array(sums, pa.float64())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, log_score double")
+    out = answers.unionByName(blocks.select("block", "path"), allowMissingColumns=True).groupBy("block").applyInArrow(score, "doc_id long, n_tokens long, log_score double")
     return out.withColumn("mean_log", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
 
 
