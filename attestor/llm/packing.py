@@ -73,8 +73,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
         part = TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(enc.ids(data.as_py()), np.uint32(end_id))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.groups(batch.column(1))):
+                ids = np.append(ids, np.uint32(end_id))
                 raw = memoryview(ids.tobytes())
                 for s in range(0, len(ids), capacity):
                     e = min(len(ids), s + capacity)

@@ -188,8 +188,8 @@ def write_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
                 fs, at = file_system(name)
                 fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 out, index = fs.open_output_stream(at + ".rec"), fs.open_output_stream(at + ".idx")
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(enc.ids(data.as_py()), np.uint32(end_id))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.groups(batch.column(1))):
+                ids = np.append(ids, np.uint32(end_id))
                 p = payload(doc_id, ids)
                 pending.append(p)
                 entries.append((doc_id or 0, len(ids)))
