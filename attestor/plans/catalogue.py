@@ -307,7 +307,7 @@ def merged_stats(spark, sf):
 
 
 @query("""
-WITH o AS (SELECT l_orderkey, l_returnflag, min(l_linenumber * 1000000000 + l_partkey) AS place FROM lineitem GROUP BY 1, 2)
+WITH o AS (SELECT l_orderkey, l_returnflag, min(l_linenumber::BIGINT * 1000000000 + l_partkey) AS place FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey AS run_id, string_agg(l_returnflag, ',' ORDER BY place) AS fields FROM o GROUP BY 1
 """)
 def problem_fields(spark, sf):
