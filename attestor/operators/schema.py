@@ -103,6 +103,12 @@ def _issue(path: Column, kind: str, message: Column | str, value: Column | None)
     return F.struct(path.alias("field_path"), error_category(F.lit(kind)).alias("category"), F.lit(kind).alias("error_type"), (F.lit(message) if isinstance(message, str) else message).alias("message"), shown.alias("received"))
 
 
+def _let(c: Column, use) -> Column:
+    """``use`` of a value that is worked out once: an expression that is named often would be copied as often, and
+    nested records would multiply the copies."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def _shown(v: Column, kind: Column) -> Column:
     text = F.try_variant_get(v, "$", "string")
     return F.when(kind == "VOID", F.lit(None)).when(kind == "STRING", text).when(kind == "BOOLEAN", F.initcap(text)).otherwise(F.to_json(v))
@@ -145,9 +151,14 @@ MESSAGES = {
 
 
 def _scalar(v: Column, f: Field, path: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    value, error = _coerced(v, kind, f.kind)
-    shown = _shown(v, kind)
+    def made(kind: Column) -> Column:
+        value, error = _coerced(v, kind, f.kind)
+        return F.struct(value.alias("value"), error.alias("error"), _shown(v, kind).alias("shown"), kind.alias("kind"))
+
+    return _let(_let(F.schema_of_variant(v), made), lambda m: _checked(v, f, path, m["kind"], m["value"], m["error"], m["shown"]))
+
+
+def _checked(v: Column, f: Field, path: Column, kind: Column, value: Column, error: Column, shown: Column) -> Column:
     if f.choices:
         listed = [repr(c) for c in f.choices]
         text = " or ".join([", ".join(listed[:-1]), listed[-1]] if len(listed) > 1 else listed)
@@ -181,50 +192,56 @@ def _joined(path: Column, part: Column) -> Column:
 def _present(v: Column, f: Field, path: Column) -> Column:
     """A value that is there (JSON null included)."""
     one = f.kind.sql() if isinstance(f.kind, RecordSchema) else _TYPES[f.kind]
-    kind = F.schema_of_variant(v)
     if f.many:
         parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _one(x, f, _joined(path, i.cast("string"))))
-        good = F.struct(F.transform(parts, lambda p: p["value"]).cast(f"array<{one}>").alias("value"), F.flatten(F.transform(parts, lambda p: p["issues"])).cast(ISSUE).alias("issues"))
-        bad = ("list_type", "Input should be a valid list", kind.startswith("ARRAY"))
+        good = _let(parts, lambda a: F.struct(F.transform(a, lambda p: p["value"]).cast(f"array<{one}>").alias("value"), F.flatten(F.transform(a, lambda p: p["issues"])).cast(ISSUE).alias("issues")))
+        bad = ("list_type", "Input should be a valid list", "ARRAY")
     elif f.keyed:
         parts = F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: _one(x, f, _joined(path, k)))
-        good = F.struct(F.transform_values(parts, lambda k, p: p["value"]).cast(f"map<string,{one}>").alias("value"), F.flatten(F.transform(F.map_values(parts), lambda p: p["issues"])).cast(ISSUE).alias("issues"))
-        bad = ("dict_type", "Input should be a valid dictionary", kind.startswith("OBJECT"))
+        good = _let(parts, lambda a: F.struct(F.transform_values(a, lambda k, p: p["value"]).cast(f"map<string,{one}>").alias("value"), F.flatten(F.transform(F.map_values(a), lambda p: p["issues"])).cast(ISSUE).alias("issues")))
+        bad = ("dict_type", "Input should be a valid dictionary", "OBJECT")
     else:
         good, bad = _one(v, f, path), None
     if bad:
+        kind = F.schema_of_variant(v)
         wrong = F.struct(F.lit(None).cast(f.sql()).alias("value"), F.array(_issue(path, bad[0], bad[1], _shown(v, kind))).cast(ISSUE).alias("issues"))
-        good = F.when(bad[2], good).otherwise(wrong)
+        good = F.when(kind.startswith(bad[2]), good).otherwise(wrong)
     if f.nullable:
         good = F.when(F.is_variant_null(v), F.struct(F.lit(None).cast(f.sql()).alias("value"), F.array().cast(ISSUE).alias("issues"))).otherwise(good)
     return good
 
 
 def _record(v: Column, schema: RecordSchema, path: Column) -> Column:
-    kind, values, issues = F.schema_of_variant(v), [], []
-    for f in schema.fields:
+    def field(f: Field) -> Column:
         at = F.try_variant_get(v, f"$['{f.keys()[0]}']", "variant")
         for k in f.keys()[1:]:
             at = F.coalesce(at, F.try_variant_get(v, f"$['{k}']", "variant"))
         here = _joined(path, F.lit(f.keys()[0]))
         miss = F.array(_issue(here, "missing", "Field required", None)).cast(ISSUE) if f.required else F.array().cast(ISSUE)
-        checked = F.when(at.isNotNull(), _present(at, f, here)).otherwise(F.struct(F.lit(None).cast(f.sql()).alias("value"), miss.alias("issues")))
-        values.append(checked["value"].alias(f.name))
-        issues.append(checked["issues"])
-    wrong = F.array(_issue(path, "model_type", f"Input should be a valid dictionary or instance of {schema.name}", _shown(v, kind))).cast(ISSUE)
-    found = F.when(kind.startswith("OBJECT"), F.flatten(F.array(*issues)) if issues else F.array().cast(ISSUE)).otherwise(wrong)
-    return F.struct(F.struct(*values).alias("value"), found.alias("issues"))
+        return _let(at, lambda x: F.when(x.isNotNull(), _present(x, f, here)).otherwise(F.struct(F.lit(None).cast(f.sql()).alias("value"), miss.alias("issues"))))
+
+    def gathered(s: Column) -> Column:
+        issues = [s[f.name]["issues"] for f in schema.fields]
+        return F.struct(F.struct(*[s[f.name]["value"].alias(f.name) for f in schema.fields]).alias("value"), F.flatten(F.array(*issues)).cast(ISSUE).alias("issues"))
+
+    kind = F.schema_of_variant(v)
+    wrong = F.struct(F.lit(None).cast(schema.sql()).alias("value"), F.array(_issue(path, "model_type", f"Input should be a valid dictionary or instance of {schema.name}", _shown(v, kind))).cast(ISSUE).alias("issues"))
+    fields = F.struct(*[field(f).alias(f.name) for f in schema.fields])
+    return F.when(kind.startswith("OBJECT"), _let(fields, gathered)).otherwise(wrong)
 
 
 def validate(doc: Column, schema: RecordSchema) -> Column:
     """struct(record, issues) of a JSON object in text; record is null if there is any issue. Null text is null."""
-    out = _record(F.try_parse_json(doc), schema, F.lit(""))
-    checked = F.struct(F.when(F.size(out["issues"]) == 0, out["value"]).alias("record"), out["issues"].alias("issues"))
-    return F.when(F.try_parse_json(doc).isNotNull(), checked)
+    done = lambda o: F.struct(F.when(F.size(o["issues"]) == 0, o["value"]).alias("record"), o["issues"].alias("issues"))
+    return _let(F.try_parse_json(doc), lambda v: F.when(v.isNotNull(), _let(_record(v, schema, F.lit("")), done)))
 
 
 def error_text(issues: Column, schema: RecordSchema) -> Column:
     """Guidance for a corrected reply: issues by kind, then what the schema needs."""
+    return _let(issues, lambda i: _guidance(i, schema))
+
+
+def _guidance(issues: Column, schema: RecordSchema) -> Column:
     def part(title: str, keep) -> Column:
         lines = F.transform(F.filter(issues, keep), lambda i: F.concat(F.lit("- "), i["field_path"], F.lit(": "), i["message"], F.coalesce(F.concat(F.lit(" (received: "), i["received"], F.lit(")")), F.lit(""))))
         return F.when(F.size(lines) > 0, F.concat(F.lit(title + "\n"), F.array_join(lines, "\n")))
