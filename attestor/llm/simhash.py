@@ -21,10 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm import softkeys
+from attestor.llm.golay import remainder
 from attestor.llm.shared import components, only, utf8, written
 
-#: Generator polynomial of the Golay code (23, 12), and the seed of the shingle hash.
-GENERATOR, SEED = 0xC75, 42
+#: Fixed value: the seed of the shingle hash.
+SEED = 42
 WIDTHS = (21, 21, 22)
 SHIFTS = (43, 22, 0)
 _MOST_KNOWN = 2_000_000
@@ -32,13 +34,6 @@ _MOST_KNOWN = 2_000_000
 
 def _syndromes() -> tuple[np.ndarray, np.ndarray]:
     """Remainders of words modulo the generator, by the low 12 and the high 11 bits."""
-
-    def remainder(x: int) -> int:
-        for bit in range(22, 10, -1):
-            if x >> bit & 1:
-                x ^= GENERATOR << (bit - 11)
-        return x
-
     return np.array([remainder(x) for x in range(1 << 12)]), np.array([remainder(x << 12) for x in range(1 << 11)])
 
 
@@ -123,18 +118,25 @@ def midpoint_masks() -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in _flips(64, 2)]
 
 
-def simhash(data: bytes, words: int = 4) -> int:
-    """Fingerprint of a text in UTF-8: bits set in over half the hashes of its word shingles."""
+def shingle_hashes(data: bytes, words: int) -> np.ndarray:
+    """Hashes (uint64) of the word shingles of a text in UTF-8, repeats included."""
     tokens = data.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.r_[0, ends[: len(tokens) - words] + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+
+
+def simhash(data: bytes, words: int = 4) -> int:
+    """Fingerprint of a text in UTF-8: bits set in over half the hashes of its word shingles."""
+    hashes = shingle_hashes(data, words)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[k : k + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -301,16 +303,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 4, dense: int = 256) -> DataFrame:
-    """The rows of ``docs`` that stay when one document, that of the smallest id, is kept of each component.
+def _sketched(rows: DataFrame, words: int) -> DataFrame:
+    """(row_key_, id_, data) to row_key_, id_, set_ (stands for the shingle set), sketch and signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list[bytes]] = [[], [], []]
+            for x in batch.column(2):
+                hashes = np.unique(shingle_hashes(x.as_py(), words))
+                for c, f in zip(cols, (softkeys.digest, softkeys.sketch, softkeys.signature)):
+                    c.append(f(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.binary()) for c in cols]], ["row_key_", "id_", "set_", "sketch", "signature"])
+
+    return rows.mapInArrow(run, "row_key_ long, id_ long, set_ binary, sketch binary, signature binary")
+
+
+def _meetings(sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (node, sketch) that met under a soft key and have near signs.
 
-    ``docs`` must be a scan of a written table, as its rows are numbered twice in scan order. Of rows with the
-    same smallest id, the first in scan order stays.
+    Rows of a key that occur together in one input task meet there, and only leaders go on: a crowded key is
+    thinned before it is dealt.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int8).reshape(-1, softkeys.DIRECTIONS)
+                live = x.any(1)
+                x, node = x[live], part.column(0).to_numpy()[live]
+                if not len(x):
+                    continue
+                keys = np.concatenate([softkeys.soft_keys(x[k : k + 64]) for k in range(0, len(x), 64)])
+                per, keys = keys.shape[1], keys.ravel()
+                node, sign = np.repeat(node, per), np.repeat(softkeys.signs(x), per)
+                order = softkeys.in_order(keys, node)
+                keys, node, sign = keys[order], node[order], sign[order]
+                lead, member, stay = softkeys.stars(keys, node, sign, least=16)
+                met = np.unique(np.stack([np.minimum(lead, member), np.maximum(lead, member)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[stay], node[stay], sign[stay], np.full(int(stay.sum()), -1))], ["key", "node", "sign", "other"])
+                if len(met):
+                    spread = (softkeys.mixed(met[:, 0].astype(np.uint64)) ^ softkeys.mixed(met[:, 1].astype(np.uint64) + np.uint64(1))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (spread, met[:, 0], np.zeros(len(met), np.int64), met[:, 1])], ["key", "node", "sign", "other"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 3
+        seen: set[tuple[int, int]] = set()
+
+        def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - seen
+            if len(seen) > _MOST_KNOWN:
+                seen.clear()
+            seen.update(pairs)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+
+        for batch in batches:
+            key, node, sign, other = (c.to_numpy() for c in batch.columns)
+            done = other >= 0
+            yield from out(node[done], other[done])
+            kept = [np.concatenate([x, y[~done]]) for x, y in zip(kept, (key, node, sign))]
+            if len(kept[0]):
+                # the last key may go on in the next batch; its leaders so far stay
+                order = softkeys.in_order(kept[0], kept[1])
+                kept = [x[order] for x in kept]
+                lead, member, stay = softkeys.stars(*kept)
+                yield from out(lead, member)
+                last = kept[0] == kept[0][-1]
+                kept = [x[last & stay] for x in kept]
+
+    keys = sketches.mapInArrow(keyed, "key long, node long, sign long, other long").repartition("key").sortWithinPartitions("key")
+    return written(keys.mapInArrow(meet, "a long, b long").distinct(), "met")
+
+
+def _verified(pairs: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose signatures (node, signature) estimate at least this similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                good = softkeys.estimates(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= similarity
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
+
+    x, y = (signatures.select(F.col("node").alias(n), F.col("signature").alias("s" + n)) for n in "ab")
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
+
+
+def _similar(sketches: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    """Components (node, root) of nodes whose verified similarity links them.
+
+    Each node is first verified against the least node it met; pairs that this leaves in different
+    components are verified after that. So a group of n copies needs about n comparisons, not all pairs.
+    """
+    met = _meetings(sketches)
+    ids = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
+    signatures = written(signatures.join(ids, "node", "left_semi"), "signatures")
+    first = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _verified(first, signatures, similarity)
+    roots = components(links, "similar-cc")
+    for end in "ab":
+        met = met.join(roots.select(F.col("node").alias(end), F.col("root").alias("r" + end)), end, "left").withColumn("r" + end, F.coalesce("r" + end, end))
+    rest = _verified(met.where("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti"), signatures, similarity)
+    return roots if rest.isEmpty() else components(links.union(rest), "similar-cc")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay when one document, that of the smallest id, is kept of each group of near copies.
+
+    Near copies are linked if the Jaccard similarity of their sets of word shingles is estimated at
+    ``similarity`` or more (see ``softkeys``); groups are what links reach. Words are folded and parted as
+    in ``fingerprints``; rows of equal shingle sets, those without words among them, are one. ``docs`` must be
+    a scan of a written table, as its rows are numbered twice in scan order. Of rows with the same smallest id,
+    the first in scan order stays; a null id comes last. An empty table gives no rows, and extra columns stay.
     """
     key = "row_key_"
     numbered = docs.withColumn(key, F.monotonically_increasing_id())
-    slim = written(fingerprints(numbered.withColumn("id_", F.col(id_col)), [key, "id_"], text_col, words), "fingerprints")
-    roots = link(slim, distance, dense)
-    classed = slim.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = classed.groupBy("root").agg(F.min_by(key, F.struct(F.col("id_").isNull(), "id_", key)).alias(key)).select(key)
+    slim = written(_sketched(numbered.select(key, F.col(id_col).cast("long").alias("id_"), utf8(text_col).alias("data")), words), "sketches")
+    best = F.min(F.struct(F.col("id_").isNull().alias("no_id"), "id_", key)).alias("best")
+    sets = written(slim.groupBy("set_").agg(F.min(key).alias("node"), best).select("node", "best"), "sets")
+    nodes = slim.select(F.col(key).alias("node"), "sketch").join(sets, "node", "left_semi")
+    roots = _similar(nodes, slim.select(F.col(key).alias("node"), "signature"), similarity)
+    kept = sets.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(f"best.{key}")
     return numbered.join(kept, key, "left_semi").drop(key)
