@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of near copies (five-word shingles, at most 4 of 64 bits differ)."""
-    return simhash.one_of_each(docs, words=5)
+    """One document stays of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
