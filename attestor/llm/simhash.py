@@ -376,20 +376,44 @@ def _meetings(sketches: DataFrame) -> DataFrame:
     return written(keys.mapInArrow(meet, "a long, b long").distinct(), "met")
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose signatures (node, signature) estimate at least this similarity."""
+def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this similarity.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Signatures (node, signature) decide where their estimate is four deviations or more away from the limit;
+    for pairs nearer to it the sets are built from the texts (node, data) and compared.
+    """
+
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                good = softkeys.estimates(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= similarity
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
+                near = softkeys.estimates(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+                rows = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near)], ["a", "b", "near"])
+                yield rows.filter(pa.array(near >= similarity - softkeys.DOUBT))
 
-    x, y = (signatures.select(F.col("node").alias(n), F.col("signature").alias("s" + n)) for n in "ab")
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "links")
-
-
-def _similar(sketches: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                one, two = (np.unique(shingle_hashes(t.as_py(), words)) for t in (x, y))
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(shared >= similarity * (len(one) + len(two) - shared))
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def beside(df: DataFrame, payload: DataFrame, name: str) -> DataFrame:
+        x, y = (payload.select(F.col("node").alias(n), F.col(name).alias(name + n)) for n in "ab")
+        return df.select("a", "b").join(x, "a").join(y, "b").select("a", "b", name + "a", name + "b")
+
+    near = written(beside(pairs, signatures, "signature").mapInArrow(estimated, "a long, b long, near double"), "estimates")
+    sure = near.where(F.col("near") >= similarity + softkeys.DOUBT).select("a", "b")
+    doubtful = near.where(F.col("near") < similarity + softkeys.DOUBT)
+    if doubtful.isEmpty():
+        return sure
+    ids = doubtful.select(F.col("a").alias("node")).union(doubtful.select("b")).distinct()
+    exact = beside(doubtful, written(texts.join(ids, "node", "left_semi"), "texts"), "data").mapInArrow(compared, "a long, b long")
+    return written(sure.union(exact), "links")
+
+
+def _similar(sketches: DataFrame, signatures: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Components (node, root) of nodes whose verified similarity links them.
 
     Each node is first verified against the least node it met; pairs that this leaves in different
@@ -399,21 +423,21 @@ def _similar(sketches: DataFrame, signatures: DataFrame, similarity: float) -> D
     ids = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
     signatures = written(signatures.join(ids, "node", "left_semi"), "signatures")
     first = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _verified(first, signatures, similarity)
+    links = _verified(first, signatures, texts, words, similarity)
     roots = components(links, "similar-cc")
     for end in "ab":
         met = met.join(roots.select(F.col("node").alias(end), F.col("root").alias("r" + end)), end, "left").withColumn("r" + end, F.coalesce("r" + end, end))
-    rest = _verified(met.where("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti"), signatures, similarity)
+    rest = _verified(met.where("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti"), signatures, texts, words, similarity)
     return roots if rest.isEmpty() else components(links.union(rest), "similar-cc")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay when one document, that of the smallest id, is kept of each group of near copies.
 
-    Near copies are linked if the Jaccard similarity of their sets of word shingles is estimated at
-    ``similarity`` or more (see ``softkeys``); groups are what links reach. Words are folded and parted as
+    Near copies are linked if they share a soft key (see ``softkeys``) and the Jaccard similarity of their sets
+    of word shingles is ``similarity`` or more; groups are what links reach. Words are folded and parted as
     in ``fingerprints``; rows of equal shingle sets, those without words among them, are one. ``docs`` must be
-    a scan of a written table, as its rows are numbered twice in scan order. Of rows with the same smallest id,
+    a scan of a written table, as its rows are numbered repeatedly in scan order. Of rows with the same smallest id,
     the first in scan order stays; a null id comes last. An empty table gives no rows, and extra columns stay.
     """
     key = "row_key_"
@@ -422,6 +446,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct(F.col("id_").isNull().alias("no_id"), "id_", key)).alias("best")
     sets = written(slim.groupBy("set_").agg(F.min(key).alias("node"), best).select("node", "best"), "sets")
     nodes = slim.select(F.col(key).alias("node"), "sketch").join(sets, "node", "left_semi")
-    roots = _similar(nodes, slim.select(F.col(key).alias("node"), "signature"), similarity)
+    texts = numbered.select(F.col(key).alias("node"), utf8(text_col).alias("data"))
+    roots = _similar(nodes, slim.select(F.col(key).alias("node"), "signature"), texts, words, similarity)
     kept = sets.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(f"best.{key}")
     return numbered.join(kept, key, "left_semi").drop(key)

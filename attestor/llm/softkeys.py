@@ -9,9 +9,9 @@ segments make a group; all triples of their codeword indices are the keys (36 bi
 With 6 groups of 3 x 3 x 3 keys, two documents of similarity 0.8 share a key in about 96 of 100 cases, and nearly
 always at 0.85.
 
-Pairs that meet are verified by one-permutation min-hash signatures: 512 bins of 16 bits. They estimate the
-Jaccard similarity of the shingle sets without bias, with a standard deviation below 0.018 at 0.8, and nearly
-exactly for documents of few hundred shingles.
+Pairs that meet are first judged by one-permutation min-hash signatures: 512 bins of 16 bits. They estimate the
+Jaccard similarity of the shingle sets with a standard deviation below 0.018 at 0.8, and nearly exactly for
+documents of few shingles. Pairs within four deviations of the limit are decided on the shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from attestor.llm.golay import codebook
 DIRECTIONS, GROUPS, PER_GROUP, NEAREST, BINS = 128, 6, 3, 3, 512
 #: Signs of the first 64 directions may differ in so many places: mean 9.7, deviation 2.9 at similarity 0.8.
 MOST_SIGNS = 18
+#: Estimates so near to the limit are decided on the sets themselves.
+DOUBT = 0.07
 _SEGMENTS = GROUPS * PER_GROUP
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 _STATE: dict[str, np.ndarray] = {}

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from attestor.llm import simhash
+from attestor.llm import simhash, softkeys
 from attestor.llm.shared import components
 
 
@@ -95,3 +95,60 @@ def test_components_of_paths_and_stars(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {got[k] for k in range(101, 161)} == {100} and 100 not in got and {got[k] for k in range(500, 600)} == {7} and got[3] == 2 and 1 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_at_the_limit(spark, documents, tmp_path):
+    """Near copies on both sides of similarity 0.8 against brute force, in groups of two and one of hundreds."""
+    rng = random.Random(5)
+
+    def text(n):
+        return [f"t{rng.randrange(5000)}" for _ in range(n)]
+
+    def changed(words, most):
+        out = list(words)
+        for k in rng.sample(range(len(out)), most):
+            out[k] = f"x{rng.randrange(10**6)}"
+        return out
+
+    texts = []
+    for n in (80, 150, 300, 900):
+        for share in (0.004, 0.01, 0.015, 0.03, 0.06):
+            for _ in range(4):
+                texts += [base := text(n), changed(base, max(1, int(share * n)))]
+    base = text(200)
+    texts += [changed(base, 1) for _ in range(300)] + [text(100) for _ in range(100)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    holders: dict[tuple, list[int]] = {}
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    checked, linked = set(), 0
+    for k, s in enumerate(sets):
+        for other in {o for x in s for o in holders.get(x, ())} - {k}:
+            shared = len(s & sets[other])
+            if shared >= 0.8 * (len(s) + len(sets[other]) - shared):
+                a, b = sorted((root(k), root(other)))
+                parent[b] = a
+                linked += 1
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    want = {root(k) for k in range(len(texts))}
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id for r in simhash.one_of_each(documents(rows, tmp_path / "d")).collect()}
+    assert want <= got, "a document left although none of its like stays"
+    assert len(got - want) <= 2 and linked > 1000 and len(want) < len(texts) - 300
+
+
+def test_soft_keys_meet_near_the_limit():
+    rng = np.random.default_rng(3)
+    met = 0
+    for _ in range(100):
+        one, two, both = (np.unique(rng.integers(0, 2**63, n, dtype=np.int64)).view(np.uint64) for n in (30, 30, 240))
+        x, y = (np.frombuffer(softkeys.sketch(np.sort(np.r_[both, s])), np.int8)[None] for s in (one, two))
+        met += bool(set(softkeys.soft_keys(x)[0].tolist()) & set(softkeys.soft_keys(y)[0].tolist()))
+        assert abs(softkeys.estimates([softkeys.signature(np.sort(np.r_[both, one]))], [softkeys.signature(np.sort(np.r_[both, two]))])[0] - 0.8) < 0.08
+    assert met >= 92
