@@ -327,19 +327,19 @@ def _meetings(sketches: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int8).reshape(-1, softkeys.DIRECTIONS)
                 live = x.any(1)
                 x, node = x[live], part.column(0).to_numpy()[live]
                 if not len(x):
                     continue
-                keys = np.concatenate([softkeys.soft_keys(x[k : k + 64]) for k in range(0, len(x), 64)])
+                keys = np.concatenate([softkeys.soft_keys(x[k : k + 32]) for k in range(0, len(x), 32)])
                 per, keys = keys.shape[1], keys.ravel()
                 node, sign = np.repeat(node, per), np.repeat(softkeys.signs(x), per)
                 order = softkeys.in_order(keys, node)
                 keys, node, sign = keys[order], node[order], sign[order]
-                lead, member, stay = softkeys.stars(keys, node, sign, least=16)
+                lead, member, stay = softkeys.stars(keys, node, sign, least=8)
                 met = np.unique(np.stack([np.minimum(lead, member), np.maximum(lead, member)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[stay], node[stay], sign[stay], np.full(int(stay.sum()), -1))], ["key", "node", "sign", "other"])
                 if len(met):
@@ -352,7 +352,7 @@ def _meetings(sketches: DataFrame) -> DataFrame:
 
         def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
             pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - seen
-            if len(seen) > _MOST_KNOWN:
+            if len(seen) > _MOST_KNOWN // 10:
                 seen.clear()
             seen.update(pairs)
             if pairs:
