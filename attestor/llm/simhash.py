@@ -303,11 +303,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, so that what is made from one stays small."""
+    for batch in batches:
+        yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 def _sketched(rows: DataFrame, words: int) -> DataFrame:
     """(row_key_, id_, data) to row_key_, id_, set_ (stands for the shingle set), sketch and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             cols: list[list[bytes]] = [[], [], []]
             for x in batch.column(2):
                 hashes = np.unique(shingle_hashes(x.as_py(), words))
@@ -384,14 +390,14 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, words:
     """
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             if batch.num_rows:
                 near = softkeys.estimates(batch.column(2).to_pylist(), batch.column(3).to_pylist())
                 rows = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near)], ["a", "b", "near"])
                 yield rows.filter(pa.array(near >= similarity - softkeys.DOUBT))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 one, two = (np.unique(shingle_hashes(t.as_py(), words)) for t in (x, y))
