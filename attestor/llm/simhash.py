@@ -30,6 +30,10 @@ SEED = 42
 WIDTHS = (21, 21, 22)
 SHIFTS = (43, 22, 0)
 _MOST_KNOWN = 2_000_000
+#: A soft key of more rows is crowded: its rows first meet their leaders alone.
+_CROWD = 32
+#: Rows of a crowded key that a task holds at a time.
+_HELD, _BLOCK = 1 << 16, 2048
 
 
 def _syndromes() -> tuple[np.ndarray, np.ndarray]:
@@ -324,62 +328,135 @@ def _sketched(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "row_key_ long, id_ long, set_ binary, sketch binary, signature binary")
 
 
-def _meetings(sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (node, sketch) that met under a soft key and have near signs.
+def _meetings(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of nodes (node, sketch) that share a soft key and have near signs; rows of crowded keys.
 
-    Rows of a key that occur together in one input task meet there, and only leaders go on: a crowded key is
-    thinned before it is dealt.
+    All such pairs of a key of up to ``_CROWD`` rows are there. Of a crowded key only pairs with leaders are, and
+    its rows (key, node, sign) are returned for ``_left_apart``.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int8).reshape(-1, softkeys.DIRECTIONS)
-                live = x.any(1)
-                x, node = x[live], part.column(0).to_numpy()[live]
-                if not len(x):
-                    continue
-                keys = np.concatenate([softkeys.soft_keys(x[k : k + 32]) for k in range(0, len(x), 32)])
-                per, keys = keys.shape[1], keys.ravel()
-                node, sign = np.repeat(node, per), np.repeat(softkeys.signs(x), per)
-                order = softkeys.in_order(keys, node)
-                keys, node, sign = keys[order], node[order], sign[order]
-                lead, member, stay = softkeys.stars(keys, node, sign, least=8)
-                met = np.unique(np.stack([np.minimum(lead, member), np.maximum(lead, member)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[stay], node[stay], sign[stay], np.full(int(stay.sum()), -1))], ["key", "node", "sign", "other"])
-                if len(met):
-                    spread = (softkeys.mixed(met[:, 0].astype(np.uint64)) ^ softkeys.mixed(met[:, 1].astype(np.uint64) + np.uint64(1))).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (spread, met[:, 0], np.zeros(len(met), np.int64), met[:, 1])], ["key", "node", "sign", "other"])
+        for part in _slices(batches):
+            x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int8).reshape(-1, softkeys.DIRECTIONS)
+            live = x.any(1)
+            x, node = x[live], part.column(0).to_numpy()[live]
+            if not len(x):
+                continue
+            keys = np.concatenate([softkeys.soft_keys(x[k : k + 32]) for k in range(0, len(x), 32)])
+            node, sign = (np.repeat(c, keys.shape[1]) for c in (node, softkeys.signs(x)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), node, sign)], ["key", "node", "sign"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 3
-        seen: set[tuple[int, int]] = set()
-
-        def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-            pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - seen
+        names, seen = ["key", "sign", "a", "b"], set()
+
+        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, node, sign, fresh = rows
+            _, at, n = np.unique(key, return_index=True, return_counts=True)
+            crowded = np.repeat((n > _CROWD) | ~np.logical_and.reduceat(fresh, at), n)
+            pairs: set[tuple[int, int]] = set()
+            for part, meeting in ((~crowded, softkeys.close_pairs), (crowded, softkeys.stars)):
+                a, b = (node[part][k] for k in meeting(key[part], sign[part]))
+                pairs.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+            pairs -= seen
             if len(seen) > _MOST_KNOWN // 10:
                 seen.clear()
             seen.update(pairs)
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
-
-        for batch in batches:
-            key, node, sign, other = (c.to_numpy() for c in batch.columns)
-            done = other >= 0
-            yield from out(node[done], other[done])
-            kept = [np.concatenate([x, y[~done]]) for x, y in zip(kept, (key, node, sign))]
-            if len(kept[0]):
-                # the last key may go on in the next batch; its leaders so far stay
-                order = softkeys.in_order(kept[0], kept[1])
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *[pa.array(c, pa.int64()) for c in zip(*pairs)]], names)
+            crowded &= fresh
+            if crowded.any():
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[crowded]) for c in (key, sign, node)], pa.nulls(int(crowded.sum()), pa.int64())], names)
+
+        kept = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+        for batch in _slices(batches, 10_000):
+            new = [*[c.to_numpy() for c in batch.columns], np.ones(batch.num_rows, bool)]
+            kept = [np.concatenate(x) for x in zip(kept, new)]
+            if not len(kept[0]):
+                continue
+            # the last key may go on in the next batch
+            whole = kept[0] != kept[0][-1]
+            if whole.any():
+                order = softkeys.in_order(kept[0][whole], kept[1][whole])
+                yield from out([x[whole][order] for x in kept])
+                kept = [x[~whole] for x in kept]
+            if len(kept[0]) > _HELD:
+                # a part of it is crowded in any case; its leader stays to meet the other parts
+                order = softkeys.in_order(*kept[:2])
                 kept = [x[order] for x in kept]
-                lead, member, stay = softkeys.stars(*kept)
-                yield from out(lead, member)
-                last = kept[0] == kept[0][-1]
-                kept = [x[last & stay] for x in kept]
+                yield from out(kept)
+                kept = [*[x[:1] for x in kept[:3]], np.zeros(1, bool)]
+        if len(kept[0]):
+            order = softkeys.in_order(*kept[:2])
+            yield from out([x[order] for x in kept])
+
+    keys = sketches.mapInArrow(keyed, "key long, node long, sign long").repartition("key").sortWithinPartitions("key")
+    rows = written(keys.mapInArrow(meet, "key long, sign long, a long, b long"), "meetings")
+    met = written(rows.where("key is null").select("a", "b").distinct(), "met")
+    return met, rows.where("key is not null").select("key", F.col("a").alias("node"), "sign")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Whole groups of sorted rows as columns; the first three name the group, binary ones are signatures."""
+    held: list[np.ndarray] | None = None
+    for batch in _slices(batches):
+        if not batch.num_rows:
+            continue
+        new = [np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, softkeys.BINS) if c.type == pa.binary() else c.to_numpy() for c in batch.columns]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in held[:3]])) + 1
+        at = [0, *cuts.tolist()]
+        for lo, hi in zip(at, at[1:]):
+            yield [c[lo:hi] for c in held]
+        held = [c[at[-1] :] for c in held]
+    if held is not None:
+        yield held
+
+
+def _left_apart(crowded: DataFrame, roots: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, near) of rows of one crowded key (key, node, sign) with near signs that are in different
+    components (node, root) and whose estimated similarity may reach the limit.
+
+    All such pairs are compared: a key is dealt into blocks, and every two blocks meet in a task. Signatures
+    (node, signature) go only to rows with such a partner.
+    """
+    group, block = ["key", "lo", "hi"], F.pmod(F.xxhash64("node"), "blocks")
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _groups(batches):
+            good = np.zeros(len(cols[0]), bool)
+            for x, y in softkeys.apart(cols[5], cols[6], cols[3]):
+                good[x] = good[y] = True
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in cols], [*group, "side", "node", "sign", "root"])
 
-    keys = sketches.mapInArrow(keyed, "key long, node long, sign long, other long").repartition("key").sortWithinPartitions("key")
-    return written(keys.mapInArrow(meet, "a long, b long").distinct(), "met")
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, side, node, sign, root, signature in _groups(batches):
+            for x, y in softkeys.apart(sign, root, side):
+                for k in range(0, len(x), 4096):
+                    a, b = x[k : k + 4096], y[k : k + 4096]
+                    near = softkeys.likeness(signature[a], signature[b])
+                    good = near >= similarity - softkeys.DOUBT
+                    a, b = node[a[good]], node[b[good]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(a, b), np.maximum(a, b), near[good])], ["a", "b", "near"])
+
+    rows = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    still = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / _BLOCK).alias("blocks")).where("least < most")
+    rows = rows.join(still, "key").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "sign", "root")
+    names = "key long, lo long, hi long, side long, node long, sign long, root long"
+    rows = written(rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(partnered, names), "apart")
+    signatures = written(signatures.join(rows.select("node").distinct(), "node", "left_semi"), "signatures")
+    rows = rows.join(signatures, "node").select(*group, "side", "node", "sign", "root", "signature")
+    rows = rows.repartition(*group).sortWithinPartitions(*group)
+    return written(rows.mapInArrow(estimated, "a long, b long, near double").distinct(), "estimates")
+
+
+def _beside(df: DataFrame, payload: DataFrame, name: str) -> DataFrame:
+    """Pairs (a, b) with what a payload (node, name) holds of either."""
+    x, y = (payload.select(F.col("node").alias(n), F.col(name).alias(name + n)) for n in "ab")
+    return df.select("a", "b").join(x, "a").join(y, "b").select("a", "b", name + "a", name + "b")
 
 
 def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -396,6 +473,12 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, words:
                 rows = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near)], ["a", "b", "near"])
                 yield rows.filter(pa.array(near >= similarity - softkeys.DOUBT))
 
+    return _decided(written(_beside(pairs, signatures, "signature").mapInArrow(estimated, "a long, b long, near double"), "estimates"), texts, words, similarity)
+
+
+def _decided(near: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of estimated ones (a, b, near) that hold, those near the limit by their shingle sets."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             good = []
@@ -405,17 +488,12 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, words:
                 good.append(shared >= similarity * (len(one) + len(two) - shared))
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def beside(df: DataFrame, payload: DataFrame, name: str) -> DataFrame:
-        x, y = (payload.select(F.col("node").alias(n), F.col(name).alias(name + n)) for n in "ab")
-        return df.select("a", "b").join(x, "a").join(y, "b").select("a", "b", name + "a", name + "b")
-
-    near = written(beside(pairs, signatures, "signature").mapInArrow(estimated, "a long, b long, near double"), "estimates")
     sure = near.where(F.col("near") >= similarity + softkeys.DOUBT).select("a", "b")
     doubtful = near.where(F.col("near") < similarity + softkeys.DOUBT)
     if doubtful.isEmpty():
         return sure
     ids = doubtful.select(F.col("a").alias("node")).union(doubtful.select("b")).distinct()
-    exact = beside(doubtful, written(texts.join(ids, "node", "left_semi"), "texts"), "data").mapInArrow(compared, "a long, b long")
+    exact = _beside(doubtful, written(texts.join(ids, "node", "left_semi"), "texts"), "data").mapInArrow(compared, "a long, b long")
     return written(sure.union(exact), "links")
 
 
@@ -423,17 +501,24 @@ def _similar(sketches: DataFrame, signatures: DataFrame, texts: DataFrame, words
     """Components (node, root) of nodes whose verified similarity links them.
 
     Each node is first verified against the least node it met; pairs that this leaves in different
-    components are verified after that. So a group of n copies needs about n comparisons, not all pairs.
+    components are verified after that. So a group of n copies needs about n comparisons, not all pairs. Last,
+    rows of crowded keys that are still in different components are compared, each with each.
     """
-    met = _meetings(sketches)
+    met, crowded = _meetings(sketches)
     ids = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
-    signatures = written(signatures.join(ids, "node", "left_semi"), "signatures")
+    every, signatures = signatures, written(signatures.join(ids, "node", "left_semi"), "signatures")
     first = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _verified(first, signatures, texts, words, similarity)
     roots = components(links, "similar-cc")
     for end in "ab":
         met = met.join(roots.select(F.col("node").alias(end), F.col("root").alias("r" + end)), end, "left").withColumn("r" + end, F.coalesce("r" + end, end))
     rest = _verified(met.where("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti"), signatures, texts, words, similarity)
+    if not rest.isEmpty():
+        links = links.union(rest)
+        roots = components(links, "similar-cc")
+    if crowded.isEmpty():
+        return roots
+    rest = _decided(_left_apart(crowded, roots, every, similarity), texts, words, similarity)
     return roots if rest.isEmpty() else components(links.union(rest), "similar-cc")
 
 

@@ -16,6 +16,8 @@ documents of few shingles. Pairs within four deviations of the limit are decided
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
@@ -66,7 +68,11 @@ def signature(hashes: np.ndarray) -> bytes:
 
 def estimates(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Estimated Jaccard similarity of each pair of signatures."""
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, BINS) for s in (a, b))
+    return likeness(*(np.frombuffer(b"".join(s), np.uint16).reshape(-1, BINS) for s in (a, b)))
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``estimates`` of signatures as rows of bins."""
     return ((x == y) & (x != 0)).sum(1) / np.maximum(((x != 0) | (y != 0)).sum(1), 1)
 
 
@@ -93,27 +99,48 @@ def in_order(key: np.ndarray, node: np.ndarray) -> np.ndarray:
     return np.lexsort((mixed(node.view(np.uint64) + (key >> 36).view(np.uint64) * _ODD[0]), key))
 
 
-def stars(key: np.ndarray, node: np.ndarray, sign: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by key: pairs (leader, member), and which rows stay to meet others.
+def close_pairs(key: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows (as places, rows sorted by key) with equal key and near signs."""
+    a, b, active, lag = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(key)), 1
+    while len(active := active[active + lag < len(key)]) and len(active := active[key[active] == key[active + lag]]):
+        near = active[np.bitwise_count((sign[active] ^ sign[active + lag]).view(np.uint64)) <= MOST_SIGNS]
+        a.append(near)
+        b.append(near + lag)
+        lag += 1
+    return np.concatenate(a), np.concatenate(b)
+
+
+def stars(key: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some pairs of rows (as places, rows sorted by key): leaders and members, at most as many as rows.
 
     The first row of a key leads; those whose signs are near it are its members; the first of the others
-    leads next, until none is left. So every row is compared with every leader before it, and a key gives at
-    most as many pairs as rows. Keys of fewer than ``least`` rows are left alone.
+    leads next, until none is left. Members don't meet one another here: this joins the bulk of a group of
+    copies, and what it leaves apart is for the caller to compare.
     """
-    _, at, n = np.unique(key, return_index=True, return_counts=True)
-    active, stay, lead, member = np.flatnonzero(np.repeat(n >= least, n)), np.ones(len(key), bool), [], []
+    active, lead, member = np.arange(len(key)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(active):
         k = key[active]
         first = np.r_[True, k[1:] != k[:-1]]
         leader = active[np.maximum.accumulate(np.where(first, np.arange(len(active)), 0))]
         near = np.bitwise_count((sign[active] ^ sign[leader]).view(np.uint64)) <= MOST_SIGNS
-        mine = near & ~first
-        lead.append(node[leader[mine]])
-        member.append(node[active[mine]])
-        stay[active[mine]] = False
+        lead.append(leader[near & ~first])
+        member.append(active[near & ~first])
         active = active[~(near | first)]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *lead]), np.concatenate([none, *member]), stay
+    return np.concatenate(lead), np.concatenate(member)
+
+
+def apart(sign: np.ndarray, root: np.ndarray, side: np.ndarray, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places with near signs and different roots, some rows at a time; of two sides only pairs across."""
+    two = len(side) and (side != side[0]).any()
+    for k in range(0, len(sign), rows):
+        part = slice(k, k + rows)
+        good = root[part, None] != root[None, k:]
+        if two:
+            good &= side[part, None] != side[None, k:]
+        x, y = np.nonzero(good)
+        x, y = x[x < y] + k, y[x < y] + k
+        near = np.bitwise_count((sign[x] ^ sign[y]).view(np.uint64)) <= MOST_SIGNS
+        yield x[near], y[near]
 
 
 def digest(hashes: np.ndarray) -> bytes:

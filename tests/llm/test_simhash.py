@@ -152,3 +152,36 @@ def test_soft_keys_meet_near_the_limit():
         met += bool(set(softkeys.soft_keys(x)[0].tolist()) & set(softkeys.soft_keys(y)[0].tolist()))
         assert abs(softkeys.estimates([softkeys.signature(np.sort(np.r_[both, one]))], [softkeys.signature(np.sort(np.r_[both, two]))])[0] - 0.8) < 0.08
     assert met >= 92
+
+
+def test_pairs_inside_a_crowded_group_are_found(spark, documents, tmp_path):
+    """A hub of edits that are above the limit to their original alone, and below it to one another."""
+    rng = random.Random(11)
+    base = [f"t{k}" for k in range(400)]
+    texts = []
+    for _ in range(500):
+        edit = list(base)
+        for k in range(rng.randrange(5, 50), 395, 56):
+            edit[k + rng.randrange(5)] = f"x{rng.randrange(10**9)}"
+        texts.append(edit)
+    texts.append(base)
+    sets = [{tuple(t[k : k + 5]) for k in range(396)} for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert min(alike(i, 500) for i in range(500)) > 0.82
+    assert sum(alike(i, j) < 0.8 for i in range(0, 500, 9) for j in range(i)) > 0.95 * sum(range(0, 500, 9))
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id for r in simhash.one_of_each(documents(rows, tmp_path / "d")).collect()}
+    assert got == {0}
+
+
+def test_every_near_pair_of_a_key_is_given():
+    rng = np.random.default_rng(2)
+    key = np.sort(rng.integers(0, 9, 300))
+    sign = rng.integers(-(2**62), 2**62, 6)[rng.integers(0, 6, 300)] ^ (1 << rng.integers(0, 60, 300))
+    root, side = rng.integers(0, 4, 300), rng.integers(0, 2, 300)
+    near = np.bitwise_count((sign[:, None] ^ sign).view(np.uint64)) <= softkeys.MOST_SIGNS
+    pairs = {(i, j) for i in range(300) for j in range(i + 1, 300) if near[i, j]}
+    assert set(zip(*softkeys.close_pairs(key, sign))) == {(i, j) for i, j in pairs if key[i] == key[j]}
+    for s in (side, side * 0):
+        got = {p for x, y in softkeys.apart(sign, root, s, 64) for p in zip(x, y)}
+        assert got == {(i, j) for i, j in pairs if root[i] != root[j] and (s[i] != s[j] or not s.any())}
