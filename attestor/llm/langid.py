@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.shared import only, utf8
@@ -105,17 +105,31 @@ def train(texts: list[str], langs: list[str], most_grams: int = 4096, landmarks:
     return model
 
 
+def quotas(counts: dict[str, int], most_per_language: int, most_rows: int) -> dict[str, int]:
+    """Rows to draw of each language: ``most_rows`` shared out evenly, what small ones leave dealt on; 1 at least."""
+    out, left = {}, most_rows
+    for k, (y, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        out[y] = max(1, min(n, most_per_language, left // (len(counts) - k)))
+        left -= out[y]
+    return out
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", most_per_language: int = 1000, most_rows: int = 6000, most_chars: int = 100_000) -> Model:
-    """Fit on at most ``most_per_language`` rows of each language in expectation and ``most_rows`` in all, drawn
-    by a hash of their ids; rows without text or language and texts over ``most_chars`` characters aren't drawn."""
+    """Fit on at most ``most_per_language`` rows of each language and ``most_rows`` in all, drawn by a hash of their
+    ids; rows without text or language and texts over ``most_chars`` characters aren't drawn. Every language with
+    other rows is learned, so more languages than ``most_rows`` give a row each."""
     rows = only(docs, id_col, text_col, lang_col).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("y"))
     rows = rows.where(F.col("y").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= most_chars))
-    counts = {r["y"]: r["n"] for r in only(docs, lang_col).where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("y")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(500).collect()}
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([], [])
-    rate = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, min(1.0, most_per_language / n))])
+    quota = quotas(counts, most_per_language, most_rows)
+    # a few more are let through than wanted, so that the least hashes of each language are among them
+    drawn = docs.sparkSession.createDataFrame([(y, q, min(1.0, (q + 8 * q**0.5 + 24) / counts[y])) for y, q in quota.items()], "y string, quota long, rate double")
     h = F.pmod(F.xxhash64(F.lit(11), "i"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.withColumn("h", h).where(F.col("h") < F.element_at(rate, F.col("y"))).orderBy("h", "i", "t").limit(most_rows).collect()
+    sample = rows.join(F.broadcast(drawn), "y").withColumn("h", h).where((F.col("h") < F.col("rate")) | (F.col("rate") == 1))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "i", "t"))
+    sample = sample.withColumn("place", place).where(F.col("place") <= F.col("quota")).orderBy("h", "i", "t").select("t", "y").collect()
     return train([r["t"] for r in sample], [r["y"] for r in sample])
 
 

@@ -60,6 +60,18 @@ def test_language_of_odd_rows(spark, documents, odd_rows, tmp_path):
     assert [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_small_languages_are_drawn(spark, monkeypatch):
+    """Seven large languages and two small ones, with more rows wanted than allowed."""
+    sizes = {**{f"l{k}": 400 for k in range(7)}, "few": 3, "one": 1}
+    rows = [(i, " ".join(f"{y}{w}" for w in "abcd"), y) for i, y in enumerate(y for y, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame([*rows, (9000, None, "few"), (9001, "x" * 2000, "few")], "doc_id long, text string, lang string")
+    drawn = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs: drawn.append(langs))
+    langid.fit(docs, most_per_language=20, most_rows=60, most_chars=1000)
+    langid.fit(docs, most_per_language=20, most_rows=200, most_chars=1000)
+    assert [{y: d.count(y) for y in sizes} for d in drawn] == [{**{f"l{k}": 8 for k in range(7)}, "few": 3, "one": 1}, {**{f"l{k}": 20 for k in range(7)}, "few": 3, "one": 1}]
+
+
 def test_kernel_is_shared_distinct_grams():
     model = langid.train(["abab", "abc"], ["x", "y"], least_documents=1)
     a, b = (set(langid.gram_codes(langid.normal(t)).tolist()) for t in ("abab", "abc"))
