@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.decontaminate import words
-from attestor.llm.shared import file_system, fresh_path, only, utf8, written
+from attestor.llm.shared import file_system, fresh_path, only, tidy, utf8, written
 
 #: Bits of an n-gram's hash.
 BITS = 56
@@ -112,7 +112,7 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
         if ids:
             yield block()
 
-    return written(rows.mapInArrow(run, _BLOCK), "blocks")
+    return written(rows.mapInArrow(tidy(run), _BLOCK), "blocks")
 
 
 def _stored(path: str) -> tuple[list, list[int], bytes, bytes]:
@@ -171,7 +171,7 @@ def count_answers(blocks: DataFrame, order: int, least: int, ranges: int) -> Dat
         return pa.Table.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "n", "range", "places", "totals"])
 
     n = blocks.count()
-    asked = blocks.repartition(min(max(1, n), 20_000)).mapInArrow(ask, "range int, block string, n int, keys binary, times binary")
+    asked = blocks.repartition(min(max(1, n), 20_000)).mapInArrow(tidy(ask), "range int, block string, n int, keys binary, times binary")
     return asked.groupBy("range").applyInArrow(answer, "block string, n int, range int, places binary, totals binary")
 
 

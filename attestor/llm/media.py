@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import only, utf8
+from attestor.llm.shared import only, tidy, utf8
 
 #: A row of pixels has this many samples; payloads are padded with spaces to a multiple of it.
 UNIT = 192
@@ -418,7 +418,7 @@ def clip_rows(table: DataFrame, id_col: str, media_col: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string()))], ["id", "clip", "first_frame", "frames", "start_s", "end_s", "peak_difference", "error"])
 
-    return rows.mapInArrow(cut, "id string, clip int, first_frame int, frames int, start_s double, end_s double, peak_difference double, error string")
+    return rows.mapInArrow(tidy(cut), "id string, clip int, first_frame int, frames int, start_s double, end_s double, peak_difference double, error string")
 
 
 _FIELDS = (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("n_clips", pa.int64()))
@@ -455,4 +455,4 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if ids:
                 yield described(ids, texts)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_clips long")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_clips long")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import only, utf8, written
+from attestor.llm.shared import only, tidy, utf8, written
 from attestor.llm.tokens import encoder
 
 PIECE_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key")
@@ -84,7 +84,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], list(PIECE_COLUMNS))
 
     rows = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data"))
-    return rows.mapInArrow(cut, ", ".join(f"{c} long" for c in PIECE_COLUMNS))
+    return rows.mapInArrow(tidy(cut), ", ".join(f"{c} long" for c in PIECE_COLUMNS))
 
 
 def pack(pieces: DataFrame, capacity: int, group_rows: int = 4000, seed: int = 17) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import file_system, fresh_path, only, utf8, written
+from attestor.llm.shared import file_system, fresh_path, only, tidy, utf8, written
 from attestor.llm.tokens import encoder
 
 #: Fixed values of the format: reflected Castagnoli polynomial and the mask's addend.
@@ -204,7 +204,7 @@ def write_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
             index.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [name + ".rec"], "index_path": [name + ".idx"], "records": [n_records], "tokens": [n_tokens]})
 
-    return written(rows.mapInArrow(write, "part long, path string, index_path string, records long, tokens long"), "manifest")
+    return written(rows.mapInArrow(tidy(write), "part long, path string, index_path string, records long, tokens long"), "manifest")
 
 
 def scan_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def scan_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     yield _columns(out)
 
     table = spark.createDataFrame(files, "path string, base long")
-    return table.repartition(max(1, len(files))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.repartition(max(1, len(files))).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _columns(rows: list[tuple]) -> pa.RecordBatch:

@@ -2,24 +2,63 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files of a table that may be broadcast have at most so many bytes (compressed).
+SMALL_BYTES = 2 << 20
 _OWN: dict[str, str] = {}
+_HELD: list[Callable[[], None]] = []
+
+
+def on_release(empty: Callable[[], None]) -> None:
+    """Have ``empty`` called when a task of ``tidy`` ends: what a worker keeps beyond a task is emptied there."""
+    _HELD.append(empty)
+
+
+def release() -> None:
+    """Give a worker's unused memory back to the system; workers live on, and idle ones would hold it."""
+    for empty in _HELD:
+        empty()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only the GNU library has it
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of Arrow batches that releases its worker's memory when the task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def work_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    a single machine) a temporary folder is made and the setting is filled in for this context.
+    It is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset and driver and
+    executors are one process (a local master, as in tests) a temporary folder is made; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="attestor-")
@@ -46,12 +85,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folders(df: DataFrame) -> list:
+    """Hadoop paths and file systems of the folders that a written table is in."""
+    spark = df.sparkSession
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})]
+    return [(p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())) for p in paths]
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove the files of a table made by ``written`` as soon as nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path, fs in _folders(df):
+        fs.delete(path, True)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of the files of a written table."""
+    return sum(fs.getContentSummary(path).getLength() for path, fs in _folders(df))
+
+
+def beside(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join with a written table: it is broadcast if its files have at most ``SMALL_BYTES``, else both are shuffled.
+
+    Rows of a hot key are split by the adaptive skew join, as only ``rows`` can hold a key often.
+    """
+    return rows.join(F.broadcast(table) if size_of(table) <= SMALL_BYTES else table, on, how)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores behind it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two more columns, and their names, that say where a row stands: a hash of its file's path, and its
+    number there. They are the same in every scan, however it is split. What isn't a scan of files is written first."""
+    names = [unused(docs, "file_key_"), unused(docs, "file_row_")]
+    try:
+        at = docs.metadataColumn("_metadata")
+        return docs.withColumns({names[0]: F.xxhash64(at["file_path"]), names[1]: at["row_index"]}), names
+    except AnalysisException:
+        return located(written(docs, "rows"))
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

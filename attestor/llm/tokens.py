@@ -4,8 +4,8 @@ A byte-pair tokenizer encodes each pre-token by itself, so the ids of a text are
 order, and a text can be cut wherever pre-tokens surely part. Texts whose characters are all below U+0280 and
 ordinary are cut at single spaces and newlines, and each distinct piece of a group of texts is looked up once.
 Of pieces that aren't cached, words with final punctuation go to the library's model as one or two pre-tokens;
-others are joined, with a separator whose ids nothing else has, and encoded in one call. Any other text goes to
-the library as a whole.
+others are joined, with a separator whose ids nothing else has, and encoded in one call. Any other text, and any
+that holds the text of an added token, goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -18,14 +18,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from attestor.llm.shared import on_release
+
 #: UTF-8 bytes of the characters below U+0280 for which patterns here and in the library surely agree.
 _PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
 #: White space beside white space, where a byte-level pre-tokenizer doesn't simply part.
 _RUNS = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r")
 _PIECE_LENGTH = 64
+#: Size of the table of hashes of pieces met.
+_MET = 1 << 22
 _FINAL = ".,!?;:"
 #: Texts encoded together: at most so many bytes, or one text.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -43,20 +47,21 @@ _LETTERS = _byte_letters()
 class Encoder:
     """Ids of whole texts; ``path`` is a tokenizers JSON file, ``most`` bounds the cached pieces.
 
-    The first ``most`` pieces stay cached, which the frequent ones are among; others are forgotten after their
-    group. Two kinds of tokenizer are cut: byte-level pre-tokenization of the raw text (``spaced``), and lower-cased
+    A piece is cached when it is met a second time (by a table of hashes), as most pieces are met only once; the first
+    ``most`` such pieces stay, which the frequent ones are among. Two kinds of tokenizer are cut: byte-level pre-tokenization of the raw text (``spaced``), and lower-cased
     splitting that drops white space.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.cache: dict[bytes, bytes] = {}
+        self.met = bytearray(_MET)
+        self.added = [t["content"].encode() for t in config.get("added_tokens") or []]
         self.tails: dict[str, bytes] = {}
         self.most, self.spaced, self.cut = most, False, False
         pre, norm = config.get("pre_tokenizer") or {}, config.get("normalizer")
@@ -70,6 +75,10 @@ class Encoder:
         self.mark = "\n" if self.spaced else " \u4e2d "
         self.mark_ids = self._whole(self.mark)
 
+    def forget(self) -> None:
+        """Empty the cache."""
+        self.cache, self.tails, self.met = {}, {}, bytearray(_MET)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
@@ -127,7 +136,7 @@ class Encoder:
         out: list = [None] * len(texts)
         cut, prepared = [], []
         for k, data in enumerate(texts):
-            if not self.cut or data.translate(None, _PLAIN) or self.spaced and (not data or data[:1].isspace() or data[-1:].isspace() or any(r in data for r in _RUNS)):
+            if not self.cut or data.translate(None, _PLAIN) or any(t in (data if self.spaced else data.lower()) for t in self.added) or self.spaced and (not data or data[:1].isspace() or data[-1:].isspace() or any(r in data for r in _RUNS)):
                 out[k] = self._whole(data.decode("utf-8", "replace"))
             else:  # pieces lose their leading space; a line's first piece takes the newline before it along
                 cut.append(k)
@@ -139,10 +148,14 @@ class Encoder:
         names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         values = list(map(self.cache.get, names))
         new = [k for k, v in enumerate(values) if v is None]
+        room, met = len(self.cache) < self.most, self.met
         for k, v in zip(new, self._resolve([names[k] for k in new])):
             values[k] = v
-            if len(self.cache) < self.most and len(names[k]) <= _PIECE_LENGTH:
-                self.cache[names[k]] = v
+            if room:
+                h = hash(names[k]) % _MET
+                if met[h] and len(names[k]) <= _PIECE_LENGTH:
+                    self.cache[names[k]] = v
+                met[h] = 1
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
         flat, each = np.frombuffer(b"".join(values), "<u4"), sizes[which]
         ends = np.cumsum(each)
@@ -169,7 +182,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
+    """One encoder for each Python worker and file; its cache is emptied when a task ends."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        on_release(_ENCODERS[path].forget)
     return _ENCODERS[path]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import only, utf8
+from attestor.llm.shared import only, tidy, utf8
 
 #: Letters fold to lower case, sentence ends become newlines, other ASCII becomes spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 or b == 39 else 10 if b in b".!?\n" else 32 for b in range(256))
@@ -122,10 +122,11 @@ def train(texts: list[bytes], labels: list[int], vocabulary: int = 500, steps: i
     return Model(float(theta[-1]), {chosen[k]: float(theta[k]) for k in keep})
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 2000, most_negative: int = 6000, most_chars: int = 200_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 2000, most_negative: int = 6000, most_chars: int = 20_000) -> Model:
     """Fit on at most ``most_positive`` + ``most_negative`` labelled documents, the first in order of a hash of
-    their ids (texts over ``most_chars`` characters aren't drawn). Null ids, labels and texts are left out; a
-    document with several labels counts as 1 if any is."""
+    their ids (texts over ``most_chars`` characters aren't drawn, so the driver gets so many characters of each at
+    most). Null ids, labels and texts are left out; a document with several labels counts as 1 if any is, and of
+    several rows with one id the least text is drawn."""
     own = only(labels, id_col, label_col).where(f"`{id_col}` is not null and `{label_col}` is not null").groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     order = F.xxhash64(F.lit(5), "i")
     drawn = [own.where(F.col("y") == y).orderBy(order, "i").limit(n) for y, n in ((1, most_positive), (0, most_negative))]
@@ -134,8 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return train([], [])
     table = docs.sparkSession.createDataFrame(ids, "i long, y int")
     rows = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= most_chars))
-    sample = rows.join(F.broadcast(table), "i").select("i", "y", F.col("t").cast("binary").alias("t")).limit(2 * (most_positive + most_negative)).collect()
-    sample.sort(key=lambda r: (r["i"], bytes(r["t"])))
+    sample = rows.join(F.broadcast(table), "i").groupBy("i", "y").agg(F.min(F.col("t").cast("binary")).alias("t")).collect()
+    sample.sort(key=lambda r: r["i"])
     return train([bytes(r["t"]) for r in sample], [r["y"] for r in sample])
 
 
@@ -161,7 +162,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 texts.append(data[a:b].decode("utf-8", "replace").strip() or None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(numbers, pa.int64()), pa.array(tops, pa.float64()), pa.array(texts, pa.string())], ["doc_id", "score", "worst_sentence", "worst_score", "worst_text"])
 
-    return rows.mapInArrow(run, "doc_id long, score double, worst_sentence long, worst_score double, worst_text string")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double, worst_sentence long, worst_score double, worst_text string")
 
 
 def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,4 +181,4 @@ def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5, id_co
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.string()))], ["doc_id", "sentence", "score", "text"])
 
-    return rows.mapInArrow(run, "doc_id long, sentence long, score double, text string")
+    return rows.mapInArrow(tidy(run), "doc_id long, sentence long, score double, text string")

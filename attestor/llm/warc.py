@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import file_system, fresh_path, only, utf8, written
+from attestor.llm.shared import file_system, fresh_path, only, tidy, utf8, written
 
 #: Fixed values of the format: magic of the dictionary's frame, and magic of a Zstandard frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -199,7 +199,7 @@ def write_archives(records: DataFrame, archive_bytes: int = 16 << 20, sample_byt
             archive.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [archive.records], "raw_bytes": [archive.raw]})
 
-    return written(records.mapInArrow(write, "path string, records long, raw_bytes long"), "warc-manifest")
+    return written(records.mapInArrow(tidy(write), "path string, records long, raw_bytes long"), "warc-manifest")
 
 
 _READ = (("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("archive", pa.string()), ("offset", pa.int64()))
@@ -231,7 +231,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield _batch(out)
 
     paths = manifest.select("path")
-    return paths.repartition(max(1, int(np.clip(manifest.count(), 1, 20_000)))).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, archive string, offset long")
+    return paths.repartition(max(1, int(np.clip(manifest.count(), 1, 20_000)))).mapInArrow(tidy(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, archive string, offset long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
