@@ -7,13 +7,13 @@ segments as (2,0,0), (1,1,0), (1,0,0) or (0,0,0) in some order. A segment with u
 one of a few codewords, found by table; the triples of codeword indices over all such patterns are the keys of
 a fingerprint. So linked fingerprints always share a key, and a key has 36 bits. Keys are joined by
 sorting; all pairs in a small bucket are verified. Fingerprints that meet in a bucket of more than ``dense``
-members are linked without pairs: each is expanded to its exact midpoints, and all that share one are chained,
-which is exact and linear in their number.
+members are linked without pairs: each is expanded to its exact midpoints, and all that share one are linked to the
+first of them, which is exact and linear in their number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,16 @@ from pyspark.sql import functions as F
 
 from attestor.llm import softkeys
 from attestor.llm.golay import remainder
-from attestor.llm.shared import components, only, utf8, written
+from attestor.llm.shared import beside, components, located, only, tidy, utf8, written
 
 #: Fixed value: the seed of the shingle hash.
 SEED = 42
 WIDTHS = (21, 21, 22)
 SHIFTS = (43, 22, 0)
-_MOST_KNOWN = 2_000_000
+#: What a task remembers to send links once: so many numbers at most.
+_MOST_KNOWN = 200_000
+#: Fingerprints whose keys one task makes.
+_KEYED_ROWS = 20_000
 #: A soft key of more rows is crowded: its rows first meet their leaders alone.
 _CROWD = 32
 #: Rows of a crowded key that a task holds at a time.
@@ -117,9 +120,9 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def midpoint_masks() -> list[int]:
-    """All 64-bit patterns of at most two ones, as signed values."""
-    return [x - (1 << 64) if x >> 63 else x for x in _flips(64, 2)]
+def midpoint_masks(most: int) -> list[int]:
+    """All 64-bit patterns of at most ``most`` (up to 2) ones, fewest first, as signed values."""
+    return [x - (1 << 64) if x >> 63 else x for x in _flips(64, most)]
 
 
 def shingle_hashes(data: bytes, words: int) -> np.ndarray:
@@ -160,7 +163,7 @@ def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text", word
             fps = np.array([simhash(x.as_py(), words) for x in batch.column(len(carry))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(fps, pa.int64())], [*carry, "fp"])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*carry, "fp")))
+    return rows.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in (*carry, "fp")))
 
 
 class _Forest:
@@ -263,32 +266,35 @@ def link(fps: DataFrame, distance: int = 4, dense: int = 256) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, tail = _Forest(), None
+    def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by midpoint and side, link all of a midpoint to the first, if that is on the inner side."""
+        forest, head = _Forest(), None
         for batch in batches:
-            z, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if tail is not None:
-                z, fp = np.r_[tail[0], z], np.r_[tail[1], fp]
+            z, outer, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(z):
                 continue
-            tail = (z[-1], fp[-1])
-            same = z[1:] == z[:-1]
-            if out := forest.new_edges(fp[:-1][same], fp[1:][same]):
+            if head is not None:
+                z, outer, fp = (np.r_[h, c] for h, c in zip(head, (z, outer, fp)))
+            first = np.flatnonzero(np.r_[True, z[1:] != z[:-1]])
+            lead = np.repeat(first, np.diff(np.r_[first, len(z)]))
+            head = [c[lead[-1] : lead[-1] + 1] for c in (z, outer, fp)]
+            good = ~outer[lead].astype(bool) & (fp != fp[lead])
+            if out := forest.new_edges(fp[lead][good], fp[good]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    distinct = only(fps, "fp").distinct()
-    keys = distinct.mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    met = written(keys.mapInArrow(verified, "a long, b long"), "links")
+    distinct = written(only(fps, "fp").distinct(), "distinct")
+    tasks = max(1, -(-distinct.count() // _KEYED_ROWS))
+    keys = distinct.repartition(tasks).mapInArrow(tidy(keyed), "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+    met = written(keys.mapInArrow(tidy(verified), "a long, b long"), "links")
     edges = met.where("b is not null")
     hot = met.where("b is null").select("a").distinct()
-    if not met.where("b is null").isEmpty():
-        # two fingerprints share a midpoint within floor and ceiling of half the distance; up to 4, two of each
-        masks = F.array(*[F.lit(m) for m in midpoint_masks()])
-        points = hot.select(F.explode(F.transform(masks, lambda m: F.col("a").bitwiseXOR(m))).alias("z"), F.col("a").alias("fp"))
-        if distance == 4:
-            edges = edges.union(points.repartition("z").sortWithinPartitions("z", "fp").mapInArrow(chained, "a long, b long"))
-        else:
-            raise ValueError("dense buckets are linked at distance 4 only")
+    if distance and not met.where("b is null").isEmpty():
+        # two fingerprints share a point that is half the distance from one (rounded down) and from the other (up);
+        # whoever stands on a point's inner side is near enough to all others there
+        inner = len(midpoint_masks(distance // 2))
+        masks = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k >= inner).alias("outer")) for k, m in enumerate(midpoint_masks(-(-distance // 2)))])
+        points = hot.repartition(max(1, -(-hot.count() // 1000))).select("a", F.inline(masks)).select(F.col("a").bitwiseXOR(F.col("m")).alias("z"), "outer", F.col("a").alias("fp"))
+        edges = edges.union(points.repartition("z").sortWithinPartitions("z", "outer", "fp").mapInArrow(tidy(starred), "a long, b long"))
     return components(edges, "simhash-cc").select(F.col("node").alias("fp"), "root")
 
 
@@ -304,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = link(rows, distance, dense)
     named = low.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return beside(rows, written(named, "named"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -314,18 +320,18 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
 
 
 def _sketched(rows: DataFrame, words: int) -> DataFrame:
-    """(row_key_, id_, data) to row_key_, id_, set_ (stands for the shingle set), sketch and signature."""
+    """(file, row, id, data) to file, row, id, set_ (stands for the shingle set), sketch and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             cols: list[list[bytes]] = [[], [], []]
-            for x in batch.column(2):
+            for x in batch.column(3):
                 hashes = np.unique(shingle_hashes(x.as_py(), words))
                 for c, f in zip(cols, (softkeys.digest, softkeys.sketch, softkeys.signature)):
                     c.append(f(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.binary()) for c in cols]], ["row_key_", "id_", "set_", "sketch", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, pa.binary()) for c in cols]], ["file", "row", "id", "set_", "sketch", "signature"])
 
-    return rows.mapInArrow(run, "row_key_ long, id_ long, set_ binary, sketch binary, signature binary")
+    return rows.mapInArrow(tidy(run), "file long, row long, id long, set_ binary, sketch binary, signature binary")
 
 
 def _meetings(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -358,7 +364,7 @@ def _meetings(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
                 a, b = (node[part][k] for k in meeting(key[part], sign[part]))
                 pairs.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
             pairs -= seen
-            if len(seen) > _MOST_KNOWN // 10:
+            if len(seen) > _MOST_KNOWN:
                 seen.clear()
             seen.update(pairs)
             if pairs:
@@ -390,8 +396,8 @@ def _meetings(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
             order = softkeys.in_order(*kept[:2])
             yield from out([x[order] for x in kept])
 
-    keys = sketches.mapInArrow(keyed, "key long, node long, sign long").repartition("key").sortWithinPartitions("key")
-    rows = written(keys.mapInArrow(meet, "key long, sign long, a long, b long"), "meetings")
+    keys = sketches.mapInArrow(tidy(keyed), "key long, node long, sign long").repartition("key").sortWithinPartitions("key")
+    rows = written(keys.mapInArrow(tidy(meet), "key long, sign long, a long, b long"), "meetings")
     met = written(rows.where("key is null").select("a", "b").distinct(), "met")
     return met, rows.where("key is not null").select("key", F.col("a").alias("node"), "sign")
 
@@ -446,11 +452,11 @@ def _left_apart(crowded: DataFrame, roots: DataFrame, signatures: DataFrame, sim
     rows = rows.join(still, "key").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "sign", "root")
     names = "key long, lo long, hi long, side long, node long, sign long, root long"
-    rows = written(rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(partnered, names), "apart")
+    rows = written(rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(partnered), names), "apart")
     signatures = written(signatures.join(rows.select("node").distinct(), "node", "left_semi"), "signatures")
     rows = rows.join(signatures, "node").select(*group, "side", "node", "sign", "root", "signature")
     rows = rows.repartition(*group).sortWithinPartitions(*group)
-    return written(rows.mapInArrow(estimated, "a long, b long, near double").distinct(), "estimates")
+    return written(rows.mapInArrow(tidy(estimated), "a long, b long, near double").distinct(), "estimates")
 
 
 def _beside(df: DataFrame, payload: DataFrame, name: str) -> DataFrame:
@@ -459,11 +465,11 @@ def _beside(df: DataFrame, payload: DataFrame, name: str) -> DataFrame:
     return df.select("a", "b").join(x, "a").join(y, "b").select("a", "b", name + "a", name + "b")
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least this similarity.
 
     Signatures (node, signature) decide where their estimate is four deviations or more away from the limit;
-    for pairs nearer to it the sets are built from the texts (node, data) and compared.
+    for pairs nearer to it the sets are built from the texts and compared: ``texts`` gives (node, data) of nodes.
     """
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,10 +479,10 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, words:
                 rows = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near)], ["a", "b", "near"])
                 yield rows.filter(pa.array(near >= similarity - softkeys.DOUBT))
 
-    return _decided(written(_beside(pairs, signatures, "signature").mapInArrow(estimated, "a long, b long, near double"), "estimates"), texts, words, similarity)
+    return _decided(written(_beside(pairs, signatures, "signature").mapInArrow(tidy(estimated), "a long, b long, near double"), "estimates"), texts, words, similarity)
 
 
-def _decided(near: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _decided(near: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of estimated ones (a, b, near) that hold, those near the limit by their shingle sets."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,11 +499,11 @@ def _decided(near: DataFrame, texts: DataFrame, words: int, similarity: float) -
     if doubtful.isEmpty():
         return sure
     ids = doubtful.select(F.col("a").alias("node")).union(doubtful.select("b")).distinct()
-    exact = _beside(doubtful, written(texts.join(ids, "node", "left_semi"), "texts"), "data").mapInArrow(compared, "a long, b long")
+    exact = _beside(doubtful, written(texts(ids), "texts"), "data").mapInArrow(tidy(compared), "a long, b long")
     return written(sure.union(exact), "links")
 
 
-def _similar(sketches: DataFrame, signatures: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _similar(sketches: DataFrame, signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
     """Components (node, root) of nodes whose verified similarity links them.
 
     Each node is first verified against the least node it met; pairs that this leaves in different
@@ -527,17 +533,23 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Near copies are linked if they share a soft key (see ``softkeys``) and the Jaccard similarity of their sets
     of word shingles is ``similarity`` or more; groups are what links reach. Words are folded and parted as
-    in ``fingerprints``; rows of equal shingle sets, those without words among them, are one. ``docs`` must be
-    a scan of a written table, as its rows are numbered repeatedly in scan order. Of rows with the same smallest id,
-    the first in scan order stays; a null id comes last. An empty table gives no rows, and extra columns stay.
+    in ``fingerprints``; rows of equal shingle sets, those without words among them, are one. Of rows with the same
+    smallest id, the first of those sketched stays; a null id comes last. An empty table gives no rows; extra columns
+    stay, whatever their names.
     """
-    key = "row_key_"
-    numbered = docs.withColumn(key, F.monotonically_increasing_id())
-    slim = written(_sketched(numbered.select(key, F.col(id_col).cast("long").alias("id_"), utf8(text_col).alias("data")), words), "sketches")
-    best = F.min(F.struct(F.col("id_").isNull().alias("no_id"), "id_", key)).alias("best")
-    sets = written(slim.groupBy("set_").agg(F.min(key).alias("node"), best).select("node", "best"), "sets")
-    nodes = slim.select(F.col(key).alias("node"), "sketch").join(sets, "node", "left_semi")
-    texts = numbered.select(F.col(key).alias("node"), utf8(text_col).alias("data"))
-    roots = _similar(nodes, slim.select(F.col(key).alias("node"), "signature"), texts, words, similarity)
-    kept = sets.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(f"best.{key}")
-    return numbered.join(kept, key, "left_semi").drop(key)
+    rows, at = located(docs)
+    place = [F.col(c).alias(n) for c, n in zip(at, ("file", "row"))]
+    slim = _sketched(rows.select(*place, F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("data")), words)
+    slim = written(slim.withColumn("node", F.monotonically_increasing_id()), "sketches")
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("best")
+    sets = written(slim.groupBy("set_").agg(F.min("node").alias("node"), best).select("node", "best"), "sets")
+    nodes = slim.select("node", "sketch").join(sets, "node", "left_semi")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = written(slim.select("node", "file", "row").join(ids, "node", "left_semi"), "wanted")
+        return beside(rows.select(*place, utf8(text_col).alias("data")), wanted, ["file", "row"]).select("node", "data")
+
+    roots = _similar(nodes, slim.select("node", "signature"), texts, words, similarity)
+    kept = sets.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.node")
+    gone = written(slim.select("node", *[F.col(n).alias(c) for c, n in zip(at, ("file", "row"))]).join(kept, "node", "left_anti").drop("node"), "gone")
+    return beside(rows, gone, at, "left_anti").select(*[rows[c] for c in docs.columns])
