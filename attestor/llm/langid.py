@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import only, utf8
+from attestor.llm.shared import only, tidy, utf8
 
 _TABLE = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _BATCH = 256
@@ -114,10 +114,11 @@ def quotas(counts: dict[str, int], most_per_language: int, most_rows: int) -> di
     return out
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", most_per_language: int = 1000, most_rows: int = 6000, most_chars: int = 100_000) -> Model:
+def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", most_per_language: int = 1000, most_rows: int = 6000, most_chars: int = 20_000) -> Model:
     """Fit on at most ``most_per_language`` rows of each language and ``most_rows`` in all, drawn by a hash of their
-    ids; rows without text or language and texts over ``most_chars`` characters aren't drawn. Every language with
-    other rows is learned, so more languages than ``most_rows`` give a row each."""
+    ids; rows without text or language and texts over ``most_chars`` characters aren't drawn, so the driver gets
+    ``most_rows`` times ``most_chars`` characters at most. Every language with other rows is learned, so more languages
+    than ``most_rows`` give a row each."""
     rows = only(docs, id_col, text_col, lang_col).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("y"))
     rows = rows.where(F.col("y").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= most_chars))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -133,6 +134,17 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     return train([r["t"] for r in sample], [r["y"] for r in sample])
 
 
+def _predicted(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    known = [k for k, t in enumerate(texts) if t and model.languages and has_letter(t)]
+    langs, best = ["und"] * len(texts), np.zeros(len(texts))
+    if known:
+        s = model.scores([normal(texts[k]) for k in known])
+        for k, c, v in zip(known, s.argmax(1).tolist(), s.max(1).tolist()):
+            langs[k], best[k] = model.languages[c], min(1.0, max(0.0, v))
+    return langs, best
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) for every row; ``und`` with score 0 for null texts and texts without a
     letter, and for any text where no language was learned. Null ids are kept."""
@@ -140,28 +152,28 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
                 part = batch.slice(at, _BATCH)
-                texts = [x.as_py() or "" for x in part.column(1)]
-                known = [k for k, t in enumerate(texts) if model.languages and has_letter(t)]
-                langs, best = ["und"] * len(texts), np.zeros(len(texts))
-                if known:
-                    s = model.scores([normal(texts[k]) for k in known])
-                    for k, c, v in zip(known, s.argmax(1).tolist(), s.max(1).tolist()):
-                        langs[k], best[k] = model.languages[c], min(1.0, max(0.0, v))
+                langs, best = _predicted(shared.value, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(best, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: Model, least_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recognised(docs: DataFrame, model: Model, least_score: float = 0.4, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a recognised language: not ``und``, and a score of ``least_score`` or more.
 
-    ``docs`` must be a scan of a written table, as its rows are numbered twice in scan order.
+    One pass without a shuffle: whole rows go through Arrow and those that aren't recognised are left out. All columns
+    stay, whatever their names; null and empty texts go, and an empty table gives no rows.
     """
-    key = "row_key_"
-    numbered = docs.withColumn(key, F.monotonically_increasing_id())
-    kept = predict(numbered, model, key, text_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(F.col("doc_id").alias(key))
-    return numbered.join(kept, key, "left_semi").drop(key)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, _BATCH):
+                part = batch.slice(k, _BATCH)
+                langs, best = _predicted(shared.value, part.column(at).to_pylist())
+                yield part.filter(pa.array([y != "und" and v >= least_score for y, v in zip(langs, best)], pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
