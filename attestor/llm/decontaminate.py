@@ -1,25 +1,28 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is written as a table. A row is a shard: some documents of one task, up to a number of tokens, with
-the documents' token counts and, for each term, the sorted positions of its tokens (counted through the shard, with a gap
-between documents so that no phrase runs from one into the next). Each shard answers phrases by itself:
-from the phrase's rarest term on, in order of corpus frequency, position lists are shifted by the term's offset
-and intersected, so nothing is shuffled. By default the index holds the terms that the test items use, as no
-other term can be asked for.
+The index is written as a table, once. A row is a shard: some documents of one task, up to a number of tokens, with
+the documents' token counts and, for every term of theirs, the sorted positions of its tokens (counted through the
+shard, with a gap between documents so that no phrase runs from one into the next). Test items are matched in blocks,
+one at a time; each block is broadcast. A shard looks up which of the block's rarest terms it has, which leads
+to the phrases that may be there, and answers these by itself: from the phrase's rarest term on, in order of corpus
+frequency, position lists are shifted by the term's offset and intersected, so nothing is shuffled. Only documents with
+matches are returned from a block.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import only, utf8, written
+from attestor.llm.shared import beside, located, only, tidy, utf8, written
 
 #: ASCII letters become lower case; letters, digits and bytes above 127 make words; all else parts them.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -57,64 +60,71 @@ def phrases(block: list[tuple[str, list[bytes]]], width: int) -> dict[tuple[byte
     return out
 
 
-_INDEX = "shard string, doc_ids array<long>, n_words array<long>, starts array<long>, terms array<binary>, ends array<long>, postings binary"
+_INDEX = "shard string, ids array<array<long>>, n_words array<long>, starts array<long>, terms array<binary>, ends array<long>, postings binary"
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: set[bytes] | None = None, gap: int = 64, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Write the index of whole texts; ``terms`` limits it (None: every term). Null texts have no words.
+def build_index(docs: DataFrame, ids: list[str], text_col: str = "text", gap: int = 64, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Write the index of whole texts with all their terms. Null texts have no words.
 
-    Postings are 32-bit positions, term after term in the order of ``terms``; ``ends`` says where each one's end.
-    A document longer than a shard gets one of its own.
+    ``ids`` are columns of ``docs`` (cast to long) that name a document. Postings are the 32-bit steps from one
+    position of a term to its next, term after term in the order of ``terms``; ``ends`` says where each one's end. A
+    document longer than a shard gets one of its own.
     """
-    rows = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data"))
-    known = None if terms is None else docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(sorted(terms))})
+    rows = only(docs, *ids, text_col).select(*[F.col(c).cast("long").alias(f"id{k}") for k, c in enumerate(ids)], utf8(text_col).alias("data"))
 
-    def shard(name: str, ids: list, counts: list[int], tokens: list[np.ndarray], names: list[bytes]) -> pa.RecordBatch:
+    def shard(name: str, keys: list[list], counts: list[int], tokens: list[np.ndarray], seen: dict[bytes, int]) -> pa.RecordBatch:
         sizes = np.array(counts, np.int64)
         starts = np.cumsum(sizes + gap) - (sizes + gap)
-        term = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
-        at = np.concatenate([np.arange(n) + s for n, s in zip(counts, starts.tolist())]) if counts else np.zeros(0, np.int64)
-        keep = term >= 0
-        term, at = term[keep], at[keep]
+        term = np.concatenate(tokens)
+        at = np.arange(len(term)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
         order = np.argsort(term, kind="stable")
-        term, at = term[order], at[order].astype("<u4")
-        used, first = np.unique(term, return_index=True)
-        ends = np.r_[first[1:], len(term)] if len(used) else first
+        at = at[order]
+        ends = np.cumsum(np.bincount(term, minlength=len(seen)))
+        steps = np.diff(at, prepend=0)
+        first = np.r_[0, ends[:-1]].astype(np.int64)[: len(seen)]
+        steps[first] = at[first]
         return pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int64())), pa.array([[names[k] for k in used]], pa.list_(pa.binary())), pa.array([ends.astype(np.int64)], pa.list_(pa.int64())), pa.array([at.tobytes()], pa.binary())],
-            ["shard", "doc_ids", "n_words", "starts", "terms", "ends", "postings"],
+            [pa.array([name]), pa.array([keys], pa.list_(pa.list_(pa.int64()))), pa.array([counts], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int64())), pa.array([list(seen)], pa.list_(pa.binary())), pa.array([ends], pa.list_(pa.int64())), pa.array([steps.astype("<u4").tobytes()], pa.binary())],
+            ["shard", "ids", "n_words", "starts", "terms", "ends", "postings"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, total = TaskContext.get().partitionId(), 0, 0
-        names = None if known is None else sorted(known.value)
-        ids, counts, tokens = [], [], []
+        keys, counts, tokens = [[] for _ in ids], [], []
         seen: dict[bytes, int] = {}
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for *key, data in zip(*[batch.column(k).to_pylist() for k in range(len(ids))], batch.column(len(ids))):
                 w = words(data.as_py())
                 if counts and total + len(w) > shard_tokens:
-                    yield shard(f"{part}-{made}", ids, counts, tokens, list(seen) if names is None else names)
-                    ids, counts, tokens, seen, made, total = [], [], [], {}, made + 1, 0
-                if names is None:
-                    tokens.append(np.fromiter((seen.setdefault(x, len(seen)) for x in w), np.int32, len(w)))
-                else:
-                    get = known.value.get
-                    tokens.append(np.fromiter((get(x, -1) for x in w), np.int32, len(w)))
-                ids.append(doc_id)
+                    yield shard(f"{part}-{made}", keys, counts, tokens, seen)
+                    keys, counts, tokens, seen, made, total = [[] for _ in ids], [], [], {}, made + 1, 0
+                tokens.append(np.fromiter((seen.setdefault(x, len(seen)) for x in w), np.int32, len(w)))
+                for k, v in zip(keys, key):
+                    k.append(v)
                 counts.append(len(w))
                 total += len(w)
         if counts:
-            yield shard(f"{part}-{made}", ids, counts, tokens, list(seen) if names is None else names)
+            yield shard(f"{part}-{made}", keys, counts, tokens, seen)
 
-    return written(rows.mapInArrow(run, _INDEX), "positions")
+    return written(rows.mapInArrow(tidy(run), _INDEX), "positions")
 
 
-def frequencies(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
+def frequencies(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
     """Tokens in the corpus of each of these terms (of a block of items, hence bounded)."""
-    each = index.select(F.explode(F.arrays_zip("terms", F.expr("transform(ends, (e, i) -> e - if(i = 0, 0L, ends[i - 1]))").alias("n"))).alias("x")).select("x.*")
-    found = {bytes(r["terms"]): r["n"] for r in each.groupBy("terms").agg(F.sum("n").alias("n")).toLocalIterator()}
-    return {t: found.get(t, 0) for t in terms}
+    shared = index.sparkSession.sparkContext.broadcast(pa.array(terms, pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for own, ends in zip(batch.column(0), batch.column(1)):
+                at = pc.index_in(own.values, shared.value)
+                good = at.is_valid().to_numpy(zero_copy_only=False)
+                total[at.drop_null().to_numpy()] += np.diff(ends.values.to_numpy(), prepend=0)[good]
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["term", "n"])
+
+    found = index.select("terms", "ends").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {terms[r["term"]]: r["n"] for r in found.toLocalIterator()}
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,7 +136,21 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[b[at] == a]
 
 
-def phrase_starts(postings: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], order: list[int]) -> np.ndarray:
+class _Postings:
+    """Positions of a shard's terms, worked out when they are asked for."""
+
+    def __init__(self, terms: list[bytes], ends: np.ndarray, steps: np.ndarray):
+        self.place = {t: k for k, t in enumerate(terms)}
+        self.ends, self.steps, self.known = ends, steps, {}
+
+    def get(self, term: bytes) -> np.ndarray | None:
+        if term not in self.known:
+            k = self.place.get(term)
+            self.known[term] = None if k is None else np.cumsum(self.steps[self.ends[k - 1] if k else 0 : self.ends[k]], dtype=np.int64)
+        return self.known[term]
+
+
+def phrase_starts(postings: _Postings, phrase: tuple[bytes, ...], order: list[int]) -> np.ndarray:
     """Positions where the words of ``phrase`` stand one after another; ``order``: its offsets, rarest first."""
     starts = None
     for k in order:
@@ -140,7 +164,7 @@ def phrase_starts(postings: dict[bytes, np.ndarray], phrase: tuple[bytes, ...],
     return starts[starts >= 0]
 
 
-def near_spans(postings: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], order: list[int], slop: int) -> np.ndarray:
+def near_spans(postings: _Postings, phrase: tuple[bytes, ...], order: list[int], slop: int) -> np.ndarray:
     """Positions of the rarest word from which every other word is at most ``slop`` tokens away, in any order."""
     anchors = postings.get(phrase[order[0]])
     if anchors is None:
@@ -155,45 +179,51 @@ def near_spans(postings: dict[bytes, np.ndarray], phrase: tuple[bytes, ...], ord
     return anchors
 
 
-_MATCH = "shard string, doc int, doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+_MATCH = "shard string, doc int, spans array<struct<a:long,b:long>>, items array<string>"
 
 
 def match(index: DataFrame, block: list[tuple[str, list[bytes]]], width: int = 10, slop: int | None = None) -> DataFrame:
-    """One row for each document of the index: spans of token numbers [a, b) that windows of the block's items
-    cover, merged, and the items with windows there. With ``slop``, proximity matches instead of exact phrases."""
+    """One row for each document with matches: spans of token numbers [a, b) that windows of the block's items cover,
+    merged, and the items with windows there. With ``slop``, proximity matches instead of exact phrases."""
     found = phrases(block, width)
-    freq = frequencies(index, {t for p in found for t in p})
-    table = [(p, sorted(range(len(p)), key=lambda k: (freq[p[k]], k)), sorted(items)) for p, items in found.items() if all(freq[t] for t in p)]
-    shared = index.sparkSession.sparkContext.broadcast(table)
+    freq = frequencies(index, sorted({t for p in found for t in p}))
+    rarest: dict[bytes, list] = {}
+    for p, items in found.items():
+        if all(t in freq for t in p):
+            order = sorted(range(len(p)), key=lambda k: (freq[p[k]], k))
+            rarest.setdefault(p[order[0]], []).append((p, order, sorted(items)))
+    shared = index.sparkSession.sparkContext.broadcast(rarest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                name, ids, counts, starts, terms, ends = (batch.column(k)[row].as_py() for k in range(6))
-                at = np.frombuffer(batch.column(6)[row].as_buffer(), "<u4").astype(np.int64)
-                postings = {t: at[a:b] for t, a, b in zip(terms, [0, *ends], ends)}
-                begin, spans, items = np.array(starts), {}, {}
-                for phrase, order, owners in shared.value:
-                    if phrase[order[0]] not in postings:
-                        continue
+                name, terms = batch.column(0)[row].as_py(), batch.column(2)[row].as_py()
+                here = shared.value.keys() & set(terms)
+                if not here:
+                    continue
+                starts = batch.column(1)[row].values.to_numpy()
+                postings = _Postings(terms, batch.column(3)[row].values.to_numpy(), np.frombuffer(batch.column(4)[row].as_buffer(), "<u4"))
+                spans, items = {}, {}
+                for phrase, order, owners in (x for t in here for x in shared.value[t]):
                     hits = phrase_starts(postings, phrase, order) if slop is None else near_spans(postings, phrase, order, slop)
                     if not len(hits):
                         continue
-                    for d, h in zip((np.searchsorted(begin, hits, "right") - 1).tolist(), hits.tolist()):
-                        a = h - starts[d]
+                    for d, h in zip((np.searchsorted(starts, hits, "right") - 1).tolist(), hits.tolist()):
+                        a = h - int(starts[d])
                         spans.setdefault(d, []).append((a, a + len(phrase)) if slop is None else (a, a + 1))
                         items.setdefault(d, set()).update(owners)
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()),
-                        pa.array([[{"a": a, "b": b} for a, b in merged(spans.get(d, []))] for d in range(n)], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-                        pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
-                    ],
-                    ["shard", "doc", "doc_id", "n_words", "spans", "items"],
-                )
+                if spans:
+                    docs = sorted(spans)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([name] * len(docs)), pa.array(docs, pa.int32()),
+                            pa.array([[{"a": a, "b": b} for a, b in merged(spans[d])] for d in docs], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+                            pa.array([sorted(items[d]) for d in docs], pa.list_(pa.string())),
+                        ],
+                        ["shard", "doc", "spans", "items"],
+                    )
 
-    return index.mapInArrow(run, _MATCH)
+    return index.select("shard", "starts", "terms", "ends", "postings").mapInArrow(tidy(run), _MATCH)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -206,25 +236,42 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_JOINED = "aggregate(array_sort(spans), named_struct('o', cast(array() as array<struct<a:bigint,b:bigint>>), 'c', cast(null as struct<a:bigint,b:bigint>)), (s, x) -> if(s.c is not null and x.a <= s.c.b, named_struct('o', s.o, 'c', named_struct('a', s.c.a, 'b', greatest(s.c.b, x.b))), named_struct('o', if(s.c is null, s.o, concat(s.o, array(s.c))), 'c', x)), s -> if(s.c is null, s.o, concat(s.o, array(s.c))))"
+
+
+def hits(index: DataFrame, benchmark: DataFrame, width: int, item_id_col: str = "item_id", item_text_col: str = "text", slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows (shard, doc, spans, items) of documents of the index with matches, over all blocks of the benchmark.
+
+    The driver holds a block at a time. Each block is a pass over the index, and writes the documents it hits.
+    """
+    outs = [written(match(index, block, width, slop), "matches") for block in item_blocks(benchmark, item_id_col, item_text_col, block_words)]
+    if not outs:
+        return index.sparkSession.createDataFrame([], _MATCH)
+    out = functools.reduce(DataFrame.union, outs)
+    if len(outs) > 1:
+        out = out.groupBy("shard", "doc").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = out.withColumn("spans", F.expr(_JOINED))
+    return out
+
+
+def _documents(index: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (shard, doc, id columns, n_words) of all documents of an index."""
+    each = F.posexplode(F.arrays_zip(F.col("n_words").alias("n_words"), *[F.col("ids")[k].alias(n) for k, n in enumerate(names)]))
+    return index.select("shard", each.alias("doc", "x")).select("shard", "doc", *[f"x.{n}" for n in names], "x.n_words")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", slop: int | None = None, block_words: int = BLOCK_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, spans, items (sorted ids as text).
 
     Null texts have no words; null ids are kept; equal rows give a row each. Benchmark rows without an id or
-    words count for nothing, and equal ids are one item. An empty benchmark gives no spans.
+    words count for nothing, and equal ids are one item. An empty benchmark gives no spans. Extra columns of either
+    table are ignored.
     """
-    blocks = list(item_blocks(benchmark, item_id_col, item_text_col, block_words)) or [[]]
-    outs = []
-    for block in blocks:
-        index = build_index(docs, id_col, text_col, {t for _, w in block for t in w}, max(64, 2 * width + 2 * (slop or 0)), shard_tokens)
-        outs.append(match(index, block, width, slop))
-    out = outs[0]
-    for more in outs[1:]:
-        out = out.union(more)
-    if len(outs) > 1:  # a row of each document for each block of items
-        out = out.groupBy("shard", "doc", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        join = "aggregate(array_sort(spans), named_struct('o', cast(array() as array<struct<a:bigint,b:bigint>>), 'c', cast(null as struct<a:bigint,b:bigint>)), (s, x) -> if(s.c is not null and x.a <= s.c.b, named_struct('o', s.o, 'c', named_struct('a', s.c.a, 'b', greatest(s.c.b, x.b))), named_struct('o', if(s.c is null, s.o, concat(s.o, array(s.c))), 'c', x)), s -> if(s.c is null, s.o, concat(s.o, array(s.c))))"
-        out = out.withColumn("spans", F.expr(join))
-    return out.select("doc_id", "n_words", "spans", "items")
+    index = build_index(docs, [id_col], text_col, max(64, 2 * width + 2 * (slop or 0)), shard_tokens)
+    found = written(hits(index, benchmark, width, item_id_col, item_text_col, slop, block_words), "hits")
+    out = beside(_documents(index, ["doc_id"]), found, ["shard", "doc"], "left")
+    none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType))
+    return out.select("doc_id", "n_words", none("spans").alias("spans"), none("items").alias("items"))
 
 
 def digest(items: list[str]) -> str:
@@ -238,15 +285,16 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10)
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no window of a benchmark item occurs.
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no window of a benchmark item occurs, with all their columns, whatever their names.
 
-    ``docs`` must be a scan of a written table, as its rows are numbered twice in scan order.
+    Null and empty texts stay; an empty benchmark or table removes nothing.
     """
-    key = "row_key_"
-    numbered = docs.withColumn(key, F.monotonically_increasing_id())
-    hit = contamination(numbered.select(key, text_col), benchmark, width, key, text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias(key))
-    return numbered.join(hit, key, "left_anti").drop(key)
+    rows, at = located(docs)
+    index = build_index(rows, at, text_col, max(64, 2 * width))
+    hit = written(hits(index, benchmark, width).select("shard", "doc"), "hits")
+    gone = written(beside(_documents(index, at), hit, ["shard", "doc"], "left_semi").select(*at), "gone")
+    return beside(rows, gone, at, "left_anti").select(*[rows[c] for c in docs.columns])
 
 
 ORACLE_SQL = """

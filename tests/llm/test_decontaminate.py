@@ -58,9 +58,10 @@ def test_proximity(spark, documents):
     assert near == {1: 1, 2: 0, 3: 0}
 
 
-def test_whole_index_holds_every_term(spark, documents):
-    index = dc.build_index(documents([(1, "b a b"), (2, "a c")]))
-    assert sum(len(x.terms) for x in index.collect()) >= 3 and dc.frequencies(index, {b"a", b"b", b"z"}) == {b"a": 2, b"b": 2, b"z": 0}
+def test_index_holds_every_term(spark, documents):
+    index = dc.build_index(documents([(1, "b a b"), (2, "a c"), (3, None)]), ["doc_id"])
+    assert sum(len(x.terms) for x in index.collect()) >= 3 and dc.frequencies(index, [b"a", b"b", b"z"]) == {b"a": 2, b"b": 2}
+    assert sorted(r.n_words for r in dc._documents(index, ["doc_id"]).collect()) == [0, 2, 3]
 
 
 def test_clean_documents(spark, documents, tmp_path):
