@@ -1,11 +1,14 @@
 """Repeated runs of lines, found by winnowing and deleted wherever they are not the first; DataFrame functions only.
 
-The unit is a non-blank line. A window is the shortest stretch from a line on that has ``min_lines`` lines or
-``min_words`` words; a run of lines counts as repeated if it holds a window that stands in an earlier place
-(by id, then line). The line with the smallest hash in a window is its fingerprint, so equal windows select
-the same fingerprint, and fingerprints that occur once rule out every window that selected them. Around each
-fingerprint that occurs again, the window that chose it is hashed whole, its first place is joined back, and
-windows found in an earlier place are merged in both directions into maximal runs, which are deleted.
+The unit is a non-blank line. A run of lines is long enough if it has ``min_lines`` lines or ``min_words`` words; a
+line goes if it lies in a run, long enough, that also stands in an earlier place (by id, then line). All runs that are
+long enough are made of windows of up to ``min_lines`` lines that are, so these decide.
+
+Texts are split and hashed once, into a small written table of line hashes. Of every window the line with the least hash
+is its fingerprint, so equal windows select equal lines. Positions of fingerprints are joined on their hash, and those
+that occur once are out, with every window that selected them. From each position that is left, the match is extended
+both ways to the windows that selected it; these are hashed whole and the first place of each is joined back. Windows
+found in an earlier place cover the repeated runs, whose lines are deleted.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm.shared import beside, unused, written
+
 
 def _hash2(*columns: Column) -> Column:
     """128 bits: two differently seeded 64-bit hashes."""
@@ -34,30 +39,42 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int = 50) -> DataFrame:
-    """Per document with repeated runs: its key ``dk`` (two hashes of id and text) and ``drop``, the numbers
-    (from 0, in no order) of the lines to delete. A line's words are its inner spaces plus one."""
+def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Write a row for each document with non-blank lines: id ``d``, key ``dk`` (two hashes of id and text), and of each
+    such line its number ``q`` in the text, its words ``w`` (inner spaces plus one) and two hashes ``h`` and ``g``."""
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     base = base.select("d", _hash2(F.col("d"), F.col("t")).alias("dk"), F.filter(F.transform(_lines(F.col("t")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~_blank(s["x"])).alias("s"))
     base = _once(base.where(F.size("s") > 0), s2=F.col("s")).select("d", "dk", F.col("s2").alias("s"))
-    base = _once(
-        base,
-        l=F.transform("s", lambda s: s["x"]),
-        q=F.transform("s", lambda s: s["i"]),
-        h=F.transform("s", lambda s: F.xxhash64(s["x"])),
-        w=F.transform("s", lambda s: F.length(F.trim(s["x"])) - F.length(F.replace(F.trim(s["x"]), F.lit(" "), F.lit(""))) + 1),
-    ).drop("s")
-    # lines in the shortest window from each line on: where words decide, fewer than min_lines; 0 if none fits
-    words = " ".join(f"when aggregate(slice(w, i + 1, {k}), 0, (a, b) -> a + b) >= {min_words} then {k}" for k in range(1, min_lines))
-    size = f"transform(sequence(0, size(l) - 1), i -> case {words} when i + {min_lines} <= size(l) then {min_lines} else 0 end)"
-    windows = f"filter(transform({size}, (k, i) -> struct(i as p, k as k, slice(q, i + 1, k) as q, array_min(slice(h, i + 1, k)) as fp, xxhash64(slice(l, i + 1, k)) as a, xxhash64(7919, slice(l, i + 1, k)) as b)), v -> v.k > 0)"
-    windows = base.select("d", "dk", F.expr(f"inline({windows})"))
-    # fingerprints selected in one place only can't be in a repeated run
-    again = windows.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    anchors = windows.join(again, "fp")
+    words = lambda s: F.length(F.trim(s["x"])) - F.length(F.replace(F.trim(s["x"]), F.lit(" "), F.lit(""))) + 1
+    out = base.select("d", "dk", F.transform("s", lambda s: s["i"]).alias("q"), F.transform("s", words).alias("w"), F.transform("s", lambda s: F.xxhash64(s["x"])).alias("h"), F.transform("s", lambda s: F.xxhash64(F.lit(7919), s["x"])).alias("g"))
+    return written(out, "lines")
+
+
+def _windows(min_lines: int, min_words: int, keep: str = "true") -> str:
+    """SQL of the windows of a row of ``line_hashes``: struct(i, k, p) of first line, number of lines and fingerprint's
+    place, those for which ``keep`` holds."""
+    place = "i + cast(array_position(slice(h, i + 1, k), array_min(slice(h, i + 1, k))) as int) - 1"
+    each = [
+        f"transform(filter(sequence(0, size(h) - {k}), i -> {f'aggregate(slice(w, i + 1, {k}), 0, (a, b) -> a + b) >= {min_words}' if k < min_lines else 'true'}), i -> struct(i, {k} as k, {place.replace('k)', f'{k})')} as p))"
+        for k in range(1, min_lines + 1)
+    ]
+    return f"filter(concat({', '.join(f'if(size(h) >= {k}, {e}, array())' for k, e in enumerate(each, 1))}), v -> {keep})"
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int = 50) -> DataFrame:
+    """Per document with repeated runs: its key ``dk`` (two hashes of id and text) and ``drop``, the numbers
+    (from 0, in no order) of the lines to delete."""
+    lines = line_hashes(docs, id_col, text_col)
+    chosen = lines.select("dk", F.expr(f"explode(array_distinct(transform({_windows(min_lines, min_words)}, v -> struct(h[v.p] as fp, v.p as p))))").alias("x")).select("dk", "x.fp", "x.p")
+    chosen = written(chosen, "fingerprints")
+    again = written(chosen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "recurring")
+    marks = beside(chosen, again, "fp", "left_semi").groupBy("dk").agg(F.collect_set("p").alias("marks"))
+    found = lines.join(marks, "dk").select("d", "dk", "q", "h", "g", F.expr(_windows(min_lines, min_words, "array_contains(marks, v.p)")).alias("v")).where("size(v) > 0")
+    found = found.select("d", "dk", F.expr("inline(transform(v, v -> struct(v.i as p, slice(q, v.i + 1, v.k) as q, xxhash64(slice(h, v.i + 1, v.k)) as a, xxhash64(slice(g, v.i + 1, v.k)) as b)))"))
+    found = written(found, "windows")
     place = F.struct(F.col("d").isNull().alias("z"), "d", "dk", "p")
-    first = anchors.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    later = anchors.join(first, ["a", "b"]).where("not (first.dk = dk and first.p = p)")
+    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    later = beside(found, written(first, "first-places"), ["a", "b"]).where("not (first.dk = dk and first.p = p)")
     return later.select("dk", F.explode("q").alias("p")).groupBy("dk").agg(F.collect_set("p").alias("drop"))
 
 
@@ -66,20 +83,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts have no lines and stay as they are. Blank lines stay. Within a document too, later
     repeats go and the first stays. Rows equal in id and text are one document written twice: they get equal
-    results. Null ids come last in the order. Columns named n_lines or n_removed are replaced. An empty table
-    gives no rows.
+    results. Null ids come last in the order. Columns named n_lines or n_removed are replaced, all others stay,
+    whatever their names. An empty table gives no rows.
     """
-    key = "line_key_"
-    found = repeated_lines(docs, id_col, text_col, min_lines, min_words).select(F.col("dk").alias(key), F.col("drop").alias("line_drop_"))
-    out = docs.drop("n_lines", "n_removed", key, "line_drop_")
+    docs = docs.drop("n_lines", "n_removed")
+    key, drop, lines = (unused(docs, n) for n in ("line_key_", "line_drop_", "line_all_"))
+    found = written(repeated_lines(docs, id_col, text_col, min_lines, min_words).select(F.col("dk").alias(key), F.col("drop").alias(drop)), "drops")
     text = F.col(text_col).cast("string")
-    out = out.withColumn(key, _hash2(F.col(id_col).cast("long"), F.coalesce(text, F.lit("")))).join(found, key, "left")
-    out = _once(out, line_all_=_lines(F.col(text_col)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("line_all_") - 1), F.col("line_drop_"))
-    kept = F.array_join(F.transform(left, lambda i: F.get("line_all_", i)), "\n")
-    out = out.withColumn("n_lines", F.size(F.filter("line_all_", lambda x: ~_blank(x))))
-    out = out.withColumn("n_removed", F.coalesce(F.array_size("line_drop_"), F.lit(0)))
-    return out.withColumn(text_col, F.when(F.col("line_drop_").isNull(), text).otherwise(kept)).drop(key, "line_drop_", "line_all_")
+    out = beside(docs.withColumn(key, _hash2(F.col(id_col).cast("long"), F.coalesce(text, F.lit("")))), found, key, "left")
+    out = _once(out, **{lines: _lines(F.col(text_col))})
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    out = out.withColumn("n_lines", F.size(F.filter(lines, lambda x: ~_blank(x)))).withColumn("n_removed", F.coalesce(F.array_size(drop), F.lit(0)))
+    return out.withColumn(text_col, F.when(F.col(drop).isNull(), text).otherwise(kept)).drop(key, drop, lines)
 
 
 ORACLE_SQL = """
@@ -92,15 +108,14 @@ WITH lines AS (
 ), ahead AS (
   SELECT *, lead(x, 1) OVER d AS x2, lead(x, 2) OVER d AS x3, lead(w, 1) OVER d AS w2, lead(ln, 1) OVER d AS l2, lead(ln, 2) OVER d AS l3
   FROM kept WINDOW d AS (PARTITION BY doc_id ORDER BY i)
-), sized AS (
-  SELECT *, CASE WHEN w >= 50 THEN 1 WHEN w + w2 >= 50 THEN 2 WHEN l3 IS NOT NULL THEN 3 END AS k FROM ahead
 ), windows AS (
-  SELECT doc_id, i, k, ln, l2, l3, CASE k WHEN 1 THEN x WHEN 2 THEN x || chr(10) || x2 ELSE x || chr(10) || x2 || chr(10) || x3 END AS run
-  FROM sized WHERE k IS NOT NULL
+  SELECT doc_id, i, [ln] AS lns, x AS run FROM ahead WHERE w >= 50
+  UNION ALL SELECT doc_id, i, [ln, l2], x || chr(10) || x2 FROM ahead WHERE w + w2 >= 50
+  UNION ALL SELECT doc_id, i, [ln, l2, l3], x || chr(10) || x2 || chr(10) || x3 FROM ahead WHERE l3 IS NOT NULL
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS r FROM windows
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(CASE k WHEN 1 THEN [ln] WHEN 2 THEN [ln, l2] ELSE [ln, l2, l3] END) AS ln FROM ranked WHERE r > 1
+  SELECT DISTINCT doc_id, unnest(lns) AS ln FROM ranked WHERE r > 1
 ), texts AS (
   SELECT l.doc_id, string_agg(CASE WHEN g.ln IS NULL THEN x END, chr(10) ORDER BY l.ln) AS text, count(g.ln) AS n_removed
   FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.ln = g.ln GROUP BY l.doc_id
