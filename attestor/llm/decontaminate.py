@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import beside, located, only, tidy, utf8, written
+from attestor.llm.shared import beside, kept, located, only, tidy, utf8, written
 
 #: ASCII letters become lower case; letters, digits and bytes above 127 make words; all else parts them.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -242,9 +242,9 @@ _JOINED = "aggregate(array_sort(spans), named_struct('o', cast(array() as array<
 def hits(index: DataFrame, benchmark: DataFrame, width: int, item_id_col: str = "item_id", item_text_col: str = "text", slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (shard, doc, spans, items) of documents of the index with matches, over all blocks of the benchmark.
 
-    The driver holds a block at a time. Each block is a pass over the index, and writes the documents it hits.
+    The driver holds a block at a time. Each block is a pass over the index, and gives only the documents it hits.
     """
-    outs = [written(match(index, block, width, slop), "matches") for block in item_blocks(benchmark, item_id_col, item_text_col, block_words)]
+    outs = [kept(match(index, block, width, slop)) for block in item_blocks(benchmark, item_id_col, item_text_col, block_words)]
     if not outs:
         return index.sparkSession.createDataFrame([], _MATCH)
     out = functools.reduce(DataFrame.union, outs)
@@ -268,7 +268,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     table are ignored.
     """
     index = build_index(docs, [id_col], text_col, max(64, 2 * width + 2 * (slop or 0)), shard_tokens)
-    found = written(hits(index, benchmark, width, item_id_col, item_text_col, slop, block_words), "hits")
+    found = kept(hits(index, benchmark, width, item_id_col, item_text_col, slop, block_words))
     out = beside(_documents(index, ["doc_id"]), found, ["shard", "doc"], "left")
     none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType))
     return out.select("doc_id", "n_words", none("spans").alias("spans"), none("items").alias("items"))
@@ -292,8 +292,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, text
     """
     rows, at = located(docs)
     index = build_index(rows, at, text_col, max(64, 2 * width))
-    hit = written(hits(index, benchmark, width).select("shard", "doc"), "hits")
-    gone = written(beside(_documents(index, at), hit, ["shard", "doc"], "left_semi").select(*at), "gone")
+    hit = kept(hits(index, benchmark, width).select("shard", "doc"))
+    gone = kept(beside(_documents(index, at), hit, ["shard", "doc"], "left_semi").select(*at))
     return beside(rows, gone, at, "left_anti").select(*[rows[c] for c in docs.columns])
 
 

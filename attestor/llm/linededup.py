@@ -4,7 +4,7 @@ The unit is a non-blank line. A run of lines is long enough if it has ``min_line
 line goes if it lies in a run, long enough, that also stands in an earlier place (by id, then line). All runs that are
 long enough are made of windows of up to ``min_lines`` lines that are, so these decide.
 
-Texts are split and hashed once, into a small written table of line hashes. Of every window the line with the least hash
+Texts are split and hashed once, into a small table of line hashes that is kept. Of every window the line with the least hash
 is its fingerprint, so equal windows select equal lines. Positions of fingerprints are joined on their hash, and those
 that occur once are out, with every window that selected them. From each position that is left, the match is extended
 both ways to the windows that selected it; these are hashed whole and the first place of each is joined back. Windows
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import beside, unused, written
+from attestor.llm.shared import beside, kept, unused
 
 
 def _hash2(*columns: Column) -> Column:
@@ -39,15 +39,17 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
-def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Write a row for each document with non-blank lines: id ``d``, key ``dk`` (two hashes of id and text), and of each
-    such line its number ``q`` in the text, its words ``w`` (inner spaces plus one) and two hashes ``h`` and ``g``."""
+def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_words: int) -> DataFrame:
+    """A row for each document with non-blank lines: id ``d``, key ``dk`` (two hashes of id and text), of each such line
+    its number ``q`` in the text, its words ``w`` (inner spaces plus one) and two hashes ``h`` and ``g``, and the
+    fingerprints ``chosen`` by its windows: struct(fp, p), the hash and the line's place among these."""
     base = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     base = base.select("d", _hash2(F.col("d"), F.col("t")).alias("dk"), F.filter(F.transform(_lines(F.col("t")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~_blank(s["x"])).alias("s"))
     base = _once(base.where(F.size("s") > 0), s2=F.col("s")).select("d", "dk", F.col("s2").alias("s"))
     words = lambda s: F.length(F.trim(s["x"])) - F.length(F.replace(F.trim(s["x"]), F.lit(" "), F.lit(""))) + 1
     out = base.select("d", "dk", F.transform("s", lambda s: s["i"]).alias("q"), F.transform("s", words).alias("w"), F.transform("s", lambda s: F.xxhash64(s["x"])).alias("h"), F.transform("s", lambda s: F.xxhash64(F.lit(7919), s["x"])).alias("g"))
-    return written(out, "lines")
+    out = _once(out.select("d", "dk", "q", "w", "h", "g"), h2=F.col("h"), w2=F.col("w")).select("d", "dk", "q", F.col("w2").alias("w"), F.col("h2").alias("h"), "g")
+    return out.withColumn("chosen", F.expr(f"array_distinct(transform({_windows(min_lines, min_words)}, v -> struct(h[v.p] as fp, v.p as p)))"))
 
 
 def _windows(min_lines: int, min_words: int, keep: str = "true") -> str:
@@ -64,17 +66,15 @@ def _windows(min_lines: int, min_words: int, keep: str = "true") -> str:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int = 50) -> DataFrame:
     """Per document with repeated runs: its key ``dk`` (two hashes of id and text) and ``drop``, the numbers
     (from 0, in no order) of the lines to delete."""
-    lines = line_hashes(docs, id_col, text_col)
-    chosen = lines.select("dk", F.expr(f"explode(array_distinct(transform({_windows(min_lines, min_words)}, v -> struct(h[v.p] as fp, v.p as p))))").alias("x")).select("dk", "x.fp", "x.p")
-    chosen = written(chosen, "fingerprints")
-    again = written(chosen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "recurring")
-    marks = beside(chosen, again, "fp", "left_semi").groupBy("dk").agg(F.collect_set("p").alias("marks"))
-    found = lines.join(marks, "dk").select("d", "dk", "q", "h", "g", F.expr(_windows(min_lines, min_words, "array_contains(marks, v.p)")).alias("v")).where("size(v) > 0")
-    found = found.select("d", "dk", F.expr("inline(transform(v, v -> struct(v.i as p, slice(q, v.i + 1, v.k) as q, xxhash64(slice(h, v.i + 1, v.k)) as a, xxhash64(slice(g, v.i + 1, v.k)) as b)))"))
-    found = written(found, "windows")
+    lines = kept(line_hashes(docs, id_col, text_col, min_lines, min_words))
+    chosen = lines.select("dk", F.explode("chosen").alias("x")).select("dk", "x.fp", "x.p")
+    again = chosen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    marks = chosen.join(again, "fp", "left_semi").groupBy("dk").agg(F.collect_set("p").alias("marks"))
+    found = lines.drop("chosen").join(marks, "dk").select("d", "dk", "q", "h", "g", F.expr(_windows(min_lines, min_words, "array_contains(marks, v.p)")).alias("v")).where("size(v) > 0")
+    found = kept(found.select("d", "dk", F.expr("inline(transform(v, v -> struct(v.i as p, slice(q, v.i + 1, v.k) as q, xxhash64(slice(h, v.i + 1, v.k)) as a, xxhash64(slice(g, v.i + 1, v.k)) as b)))")))
     place = F.struct(F.col("d").isNull().alias("z"), "d", "dk", "p")
     first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    later = beside(found, written(first, "first-places"), ["a", "b"]).where("not (first.dk = dk and first.p = p)")
+    later = found.join(first, ["a", "b"]).where("not (first.dk = dk and first.p = p)")
     return later.select("dk", F.explode("q").alias("p")).groupBy("dk").agg(F.collect_set("p").alias("drop"))
 
 
@@ -88,14 +88,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop("n_lines", "n_removed")
     key, drop, lines = (unused(docs, n) for n in ("line_key_", "line_drop_", "line_all_"))
-    found = written(repeated_lines(docs, id_col, text_col, min_lines, min_words).select(F.col("dk").alias(key), F.col("drop").alias(drop)), "drops")
+    found = kept(repeated_lines(docs, id_col, text_col, min_lines, min_words).select(F.col("dk").alias(key), F.col("drop").alias(drop)))
     text = F.col(text_col).cast("string")
     out = beside(docs.withColumn(key, _hash2(F.col(id_col).cast("long"), F.coalesce(text, F.lit("")))), found, key, "left")
     out = _once(out, **{lines: _lines(F.col(text_col))})
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    rest = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     out = out.withColumn("n_lines", F.size(F.filter(lines, lambda x: ~_blank(x)))).withColumn("n_removed", F.coalesce(F.array_size(drop), F.lit(0)))
-    return out.withColumn(text_col, F.when(F.col(drop).isNull(), text).otherwise(kept)).drop(key, drop, lines)
+    return out.withColumn(text_col, F.when(F.col(drop).isNull(), text).otherwise(rest)).drop(key, drop, lines)
 
 
 ORACLE_SQL = """

@@ -10,13 +10,16 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Files of a table that may be broadcast have at most so many bytes (compressed).
-SMALL_BYTES = 2 << 20
+#: A table of narrow rows may be broadcast if it has at most so many.
+SMALL_ROWS = 50_000
+ROWS_A_FILE = 200_000
 _OWN: dict[str, str] = {}
+_KEPT: list[DataFrame] = []
 _HELD: list[Callable[[], None]] = []
 
 
@@ -77,14 +80,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again.
+
+    ``rows``, if known, is how many narrow rows there are at most: they go to few files, as many small ones would cost
+    more to open, and on some file systems a process each, than what they hold.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table that is read more than once before its results are written: executors keep it on their disks, and what a
+    lost one had is made anew. ``drop_kept`` lets go of it. Plans grow with kept tables made of kept tables: write one
+    now and then."""
+    _KEPT.append(df.persist(StorageLevel.DISK_ONLY))
+    return _KEPT[-1]
+
+
+def drop_kept() -> None:
+    """Let go of all kept tables, once the results that were made of them are written."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def _folders(df: DataFrame) -> list:
     """Hadoop paths and file systems of the folders that a written table is in."""
     spark = df.sparkSession
@@ -98,17 +121,11 @@ def drop_written(df: DataFrame) -> None:
         fs.delete(path, True)
 
 
-def size_of(df: DataFrame) -> int:
-    """Bytes of the files of a written table."""
-    return sum(fs.getContentSummary(path).getLength() for path, fs in _folders(df))
-
-
 def beside(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join with a written table: it is broadcast if its files have at most ``SMALL_BYTES``, else both are shuffled.
-
-    Rows of a hot key are split by the adaptive skew join, as only ``rows`` can hold a key often.
-    """
-    return rows.join(F.broadcast(table) if size_of(table) <= SMALL_BYTES else table, on, how)
+    """Join with a written or kept table: it is broadcast if it has at most ``SMALL_ROWS`` rows (narrow ones: a few
+    numbers or a short list), else both are shuffled, and rows of a hot key are split by the adaptive skew join, as
+    only ``rows`` can hold a key often."""
+    return rows.join(F.broadcast(table) if table.count() <= SMALL_ROWS else table, on, how)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -158,7 +175,9 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
     the shuffle) and two joins, so no neighbourhood is ever gathered in one place. Each round is written to
     the shared folder. Nodes without an edge don't appear. Self-loops are ignored; an empty table gives none.
     """
-    e = written(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), name)
+    e = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().persist(StorageLevel.DISK_ONLY)
+    first, e = e, written(e, name, e.count())
+    first.unpersist()
 
     def digest(df: DataFrame) -> tuple:
         row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -176,7 +195,7 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v")
         nxt = small.select(F.col("m").alias("u"), F.col("u").alias("v")).where("u <> v").union(least.select(F.col("m").alias("u"), "v")).distinct()
-        nxt = written(nxt, name)
+        nxt = written(nxt, name, seen[0])
         now = digest(nxt)
         drop_written(e)
         e = nxt

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm import softkeys
 from attestor.llm.golay import remainder
-from attestor.llm.shared import beside, components, located, only, tidy, utf8, written
+from attestor.llm.shared import beside, components, kept, located, only, tidy, utf8, written
 
 #: Fixed value: the seed of the shingle hash.
 SEED = 42
@@ -282,10 +282,10 @@ def link(fps: DataFrame, distance: int = 4, dense: int = 256) -> DataFrame:
             if out := forest.new_edges(fp[lead][good], fp[good]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    distinct = written(only(fps, "fp").distinct(), "distinct")
+    distinct = kept(only(fps, "fp").distinct())
     tasks = max(1, -(-distinct.count() // _KEYED_ROWS))
     keys = distinct.repartition(tasks).mapInArrow(tidy(keyed), "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    met = written(keys.mapInArrow(tidy(verified), "a long, b long"), "links")
+    met = kept(keys.mapInArrow(tidy(verified), "a long, b long"))
     edges = met.where("b is not null")
     hot = met.where("b is null").select("a").distinct()
     if distance and not met.where("b is null").isEmpty():
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = link(rows, distance, dense)
     named = low.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = named.join(named.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return beside(rows, written(named, "named"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return beside(rows, kept(named), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -397,8 +397,8 @@ def _meetings(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield from out([x[order] for x in kept])
 
     keys = sketches.mapInArrow(tidy(keyed), "key long, node long, sign long").repartition("key").sortWithinPartitions("key")
-    rows = written(keys.mapInArrow(tidy(meet), "key long, sign long, a long, b long"), "meetings")
-    met = written(rows.where("key is null").select("a", "b").distinct(), "met")
+    rows = kept(keys.mapInArrow(tidy(meet), "key long, sign long, a long, b long"))
+    met = written(rows.where("key is null").select("a", "b").distinct(), "met", rows.count())
     return met, rows.where("key is not null").select("key", F.col("a").alias("node"), "sign")
 
 
@@ -452,8 +452,8 @@ def _left_apart(crowded: DataFrame, roots: DataFrame, signatures: DataFrame, sim
     rows = rows.join(still, "key").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "sign", "root")
     names = "key long, lo long, hi long, side long, node long, sign long, root long"
-    rows = written(rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(partnered), names), "apart")
-    signatures = written(signatures.join(rows.select("node").distinct(), "node", "left_semi"), "signatures")
+    rows = kept(rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(partnered), names))
+    signatures = signatures.join(rows.select("node").distinct(), "node", "left_semi")
     rows = rows.join(signatures, "node").select(*group, "side", "node", "sign", "root", "signature")
     rows = rows.repartition(*group).sortWithinPartitions(*group)
     return written(rows.mapInArrow(tidy(estimated), "a long, b long, near double").distinct(), "estimates")
@@ -479,7 +479,7 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: Callable[[DataFram
                 rows = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(near)], ["a", "b", "near"])
                 yield rows.filter(pa.array(near >= similarity - softkeys.DOUBT))
 
-    return _decided(written(_beside(pairs, signatures, "signature").mapInArrow(tidy(estimated), "a long, b long, near double"), "estimates"), texts, words, similarity)
+    return _decided(written(_beside(pairs, signatures, "signature").mapInArrow(tidy(estimated), "a long, b long, near double"), "estimates", pairs.count()), texts, words, similarity)
 
 
 def _decided(near: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
@@ -499,8 +499,8 @@ def _decided(near: DataFrame, texts: Callable[[DataFrame], DataFrame], words: in
     if doubtful.isEmpty():
         return sure
     ids = doubtful.select(F.col("a").alias("node")).union(doubtful.select("b")).distinct()
-    exact = _beside(doubtful, written(texts(ids), "texts"), "data").mapInArrow(tidy(compared), "a long, b long")
-    return written(sure.union(exact), "links")
+    exact = _beside(doubtful, texts(ids), "data").mapInArrow(tidy(compared), "a long, b long")
+    return written(sure.union(exact), "links", near.count())
 
 
 def _similar(sketches: DataFrame, signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
@@ -512,7 +512,7 @@ def _similar(sketches: DataFrame, signatures: DataFrame, texts: Callable[[DataFr
     """
     met, crowded = _meetings(sketches)
     ids = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
-    every, signatures = signatures, written(signatures.join(ids, "node", "left_semi"), "signatures")
+    every, signatures = signatures, kept(signatures.join(ids, "node", "left_semi"))
     first = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _verified(first, signatures, texts, words, similarity)
     roots = components(links, "similar-cc")
@@ -542,14 +542,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = _sketched(rows.select(*place, F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("data")), words)
     slim = written(slim.withColumn("node", F.monotonically_increasing_id()), "sketches")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("best")
-    sets = written(slim.groupBy("set_").agg(F.min("node").alias("node"), best).select("node", "best"), "sets")
+    sets = kept(slim.groupBy("set_").agg(F.min("node").alias("node"), best).select("node", "best"))
     nodes = slim.select("node", "sketch").join(sets, "node", "left_semi")
 
     def texts(ids: DataFrame) -> DataFrame:
-        wanted = written(slim.select("node", "file", "row").join(ids, "node", "left_semi"), "wanted")
-        return beside(rows.select(*place, utf8(text_col).alias("data")), wanted, ["file", "row"]).select("node", "data")
+        wanted = kept(slim.select("node", "file", "row").join(ids, "node", "left_semi"))
+        return kept(beside(rows.select(*place, utf8(text_col).alias("data")), wanted, ["file", "row"]).select("node", "data"))
 
     roots = _similar(nodes, slim.select("node", "signature"), texts, words, similarity)
-    kept = sets.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.node")
-    gone = written(slim.select("node", *[F.col(n).alias(c) for c, n in zip(at, ("file", "row"))]).join(kept, "node", "left_anti").drop("node"), "gone")
+    stay = sets.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.node")
+    gone = kept(slim.select("node", *[F.col(n).alias(c) for c, n in zip(at, ("file", "row"))]).join(stay, "node", "left_anti").drop("node"))
     return beside(rows, gone, at, "left_anti").select(*[rows[c] for c in docs.columns])
