@@ -28,7 +28,7 @@ from attestor.llm.shared import beside, kept, located, only, tidy, utf8, written
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Item words handled at once; each block of items is broadcast and matched by itself, so a broadcast stays this small.
 BLOCK_WORDS = 100_000
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 
 
 def words(data: bytes) -> list[bytes]:
@@ -106,7 +106,7 @@ def build_index(docs: DataFrame, ids: list[str], text_col: str = "text", gap: in
         if counts:
             yield shard(f"{part}-{made}", keys, counts, tokens, seen)
 
-    return written(rows.mapInArrow(tidy(run), _INDEX), "positions")
+    return written(rows.mapInArrow(tidy(run), _INDEX), "positions", docs.count(), heavy=True)
 
 
 def frequencies(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:

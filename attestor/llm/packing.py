@@ -109,4 +109,4 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 4000, seed: int = 1
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, cut and pack whole documents; rows as ``pack`` gives them."""
-    return pack(written(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces"), capacity, group_rows)
+    return pack(written(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces", docs.count(), heavy=True), capacity, group_rows)

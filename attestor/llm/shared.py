@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: A table of narrow rows may be broadcast if it has at most so many.
 SMALL_ROWS = 50_000
-ROWS_A_FILE = 200_000
+ROWS_A_FILE, HEAVY_ROWS_A_FILE = 200_000, 20_000
 _OWN: dict[str, str] = {}
 _KEPT: list[DataFrame] = []
 _HELD: list[Callable[[], None]] = []
@@ -80,16 +80,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, heavy: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again.
 
-    ``rows``, if known, is how many narrow rows there are at most: they go to few files, as many small ones would cost
-    more to open, and on some file systems a process each, than what they hold.
+    ``rows``, if known, is how many rows there are at most: they go to few files, as many small ones would cost more to
+    open, and on some file systems a process each, than what they hold. Rows that are ``heavy`` to make keep all cores
+    busy.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+        least = 2 * spark.sparkContext.defaultParallelism if heavy else 1
+        df = df.coalesce(max(least, -(-rows // (HEAVY_ROWS_A_FILE if heavy else ROWS_A_FILE))))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

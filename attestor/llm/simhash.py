@@ -33,8 +33,9 @@ SHIFTS = (43, 22, 0)
 _MOST_KNOWN = 200_000
 #: Fingerprints whose keys one task makes.
 _KEYED_ROWS = 20_000
-#: A soft key of more rows is crowded: its rows first meet their leaders alone.
-_CROWD = 32
+#: A soft key of more rows is crowded: its rows first meet their leaders alone, so that a group of copies has about as
+#: many pairs as members.
+_CROWD = 2
 #: Rows of a crowded key that a task holds at a time.
 _HELD, _BLOCK = 1 << 16, 2048
 
@@ -305,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id is never the smallest; a component of null ids alone has component_id null. An empty table gives
     no rows. Extra columns are ignored. Copies meet in one fingerprint before anything is joined.
     """
-    rows = written(fingerprints(docs.withColumn("doc_id", F.col(id_col)), ["doc_id"], text_col, words), "fingerprints")
+    rows = written(fingerprints(docs.withColumn("doc_id", F.col(id_col)), ["doc_id"], text_col, words), "fingerprints", docs.count(), heavy=True)
     low = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = link(rows, distance, dense)
     named = low.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -540,7 +541,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, at = located(docs)
     place = [F.col(c).alias(n) for c, n in zip(at, ("file", "row"))]
     slim = _sketched(rows.select(*place, F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("data")), words)
-    slim = written(slim.withColumn("node", F.monotonically_increasing_id()), "sketches")
+    slim = written(slim.withColumn("node", F.monotonically_increasing_id()), "sketches", docs.count(), heavy=True)
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("best")
     sets = kept(slim.groupBy("set_").agg(F.min("node").alias("node"), best).select("node", "best"))
     nodes = slim.select("node", "sketch").join(sets, "node", "left_semi")

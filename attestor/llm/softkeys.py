@@ -95,8 +95,9 @@ def soft_keys(sketches: np.ndarray) -> np.ndarray:
 
 
 def in_order(key: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Order of rows by key and, within it, by a shuffle of the nodes that is the group's own."""
-    return np.lexsort((mixed(node.view(np.uint64) + (key >> 36).view(np.uint64) * _ODD[0]), key))
+    """Order of rows by key and, within it, by a shuffle of the nodes; it is the same in all keys, so that what copies
+    have in common leads them wherever they meet."""
+    return np.lexsort((mixed(node.view(np.uint64)), key))
 
 
 def close_pairs(key: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
