@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import only, tidy, utf8
+from attestor.llm.shared import only, short_batches, tidy, utf8
 
 _TABLE = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _BATCH = 256
@@ -167,6 +167,7 @@ def recognised(docs: DataFrame, model: Model, least_score: float = 0.4, text_col
     One pass without a shuffle: whole rows go through Arrow and those that aren't recognised are left out. All columns
     stay, whatever their names; null and empty texts go, and an empty table gives no rows.
     """
+    short_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 #: A table of narrow rows may be broadcast if it has at most so many.
 SMALL_ROWS = 50_000
+#: Rows of a file: of narrow tables, and of those whose rows are heavy to make.
 ROWS_A_FILE, HEAVY_ROWS_A_FILE = 200_000, 20_000
+ARROW_ROWS = 1000
 _OWN: dict[str, str] = {}
 _KEPT: list[DataFrame] = []
 _HELD: list[Callable[[], None]] = []
@@ -141,6 +143,7 @@ def unused(df: DataFrame, name: str) -> str:
 def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with two more columns, and their names, that say where a row stands: a hash of its file's path, and its
     number there. They are the same in every scan, however it is split. What isn't a scan of files is written first."""
+    short_batches(docs.sparkSession)
     names = [unused(docs, "file_key_"), unused(docs, "file_row_")]
     try:
         at = docs.metadataColumn("_metadata")
@@ -164,8 +167,17 @@ def fold_of(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of the session hold ``ARROW_ROWS`` rows at most: whole texts go through them, and a batch is
+    several times in memory, outside the heap too. A lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """These columns alone, so that extra columns of the input can never clash with those made here."""
+    short_batches(df.sparkSession)
     return df.select(*[df[c] for c in columns])
 
 
