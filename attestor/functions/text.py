@@ -6,7 +6,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
@@ -14,15 +14,29 @@ from pyspark.sql.types import BooleanType, StringType
 REASONING_BLOCKS = ("reasoning", "thinking", "redacted_thinking")
 
 
+def let(c: Column, use) -> Column:
+    """``use`` of a value that is worked out once: an expression that is named often would be copied as often."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once for each row: a generator between projections keeps the optimizer from
+    merging these and copying an expression to wherever its column is named."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def strip_thinking(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", ""), F.lit(" \t\r\n"))
 
 
 def strip_fence(c: Column) -> Column:
     """A fenced text loses its first line, and its last if that begins with a fence."""
-    body = F.regexp_replace(c, r"^[^\n]*\n?", "")
-    body = F.regexp_replace(body, r"(?:^|\n)```[^\n]*$", "")
-    return F.when(c.startswith("```"), F.trim(body, F.lit(" \t\r\n"))).otherwise(c)
+
+    def inside(t: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(t, r"^[^\n]*\n?", ""), r"(?:^|\n)```[^\n]*$", "")
+        return F.when(t.startswith("```"), F.trim(body, F.lit(" \t\r\n"))).otherwise(t)
+
+    return let(c, inside)
 
 
 def flatten_blocks(blocks: Column) -> Column:
@@ -57,9 +71,14 @@ def error_category(error_type: Column) -> Column:
 
 
 def expected_type(error_type: Column, message: Column) -> Column:
-    """The type that a type error asks for; the first of int, float, bool, str that is named."""
-    both = F.lower(F.concat_ws(" ", error_type, message))
-    return F.when(both.contains("int"), "integer").when(both.contains("float") | both.contains("number"), "number").when(both.contains("bool"), "boolean").when(both.contains("str"), "string").otherwise("valid value")
+    """The type that a type error asks for: the first of int, float, bool, str that its kind or message names; else a
+    list or an object, if the message names one; else the message itself."""
+    low = F.lower(message)
+    out = None
+    for key, label in (("int", "integer"), ("float", "float"), ("bool", "boolean"), ("str", "string")):
+        named = error_type.contains(key) | low.contains(key)
+        out = F.when(named, label) if out is None else out.when(named, label)
+    return out.when(low.contains("list") | low.contains("array"), "list").when(low.contains("dict") | low.contains("object"), "object").otherwise(low)
 
 
 def squashed(c: Column) -> Column:
@@ -84,35 +103,48 @@ def fold(text: str) -> str:
     return " ".join(plain.split()).casefold()
 
 
+def _fold_each(texts: pd.Series) -> pd.Series:
+    """``fold`` of a column; texts that repeat in a batch are folded once."""
+    known: dict[str, str] = {}
+    return texts.map(lambda t: None if t is None else known.setdefault(t, fold(t)) if t not in known else known[t])
+
+
 @F.pandas_udf(StringType())
 def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else fold(t))
+    return _fold_each(texts)
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
 
 
 def normalized(c: Column) -> Column:
-    """``fold`` for any text. For texts known to be ASCII use ``normalized_ascii``, which stays in the JVM."""
-    return _folded(c)
+    """``fold`` for any text; ASCII is folded in the JVM, and only other text reaches Python."""
+    plain = is_ascii(c)
+    return F.when(plain, normalized_ascii(c)).otherwise(_folded(F.when(~plain, c)))
 
 
 def normalized_ascii(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"[\s\x1c-\x1f]+", " ")))
 
 
+@F.pandas_udf(BooleanType())
+def _holds_any(all_forms: pd.Series, sources: pd.Series) -> pd.Series:
+    hay = _fold_each(sources)
+    return pd.Series([None if forms is None or h is None else any(fold(f) in h for f in forms if f is not None) for forms, h in zip(all_forms, hay)], dtype=object)
+
+
 def contains_any(forms: Column, source: Column) -> Column:
-    """Whether the folded ``source`` holds any of an array of forms, folded; each text is folded once."""
+    """Whether the folded ``source`` holds any of an array of forms, folded.
 
-    @F.pandas_udf(BooleanType())
-    def hit(all_forms: pd.Series, sources: pd.Series) -> pd.Series:
-        found = []
-        for forms, source in zip(all_forms, sources):
-            if forms is None or source is None:
-                found.append(None)
-            else:
-                hay = fold(source)
-                found.append(any(fold(f) in hay for f in forms if f is not None))
-        return pd.Series(found, dtype=object)
-
-    return hit(forms, source)
+    Where source and forms are ASCII, all of it happens in the JVM; each source is folded once. Forms that take several
+    steps to make should be a column of their own (see ``once``), as an argument of a Python function is worked out
+    beside it.
+    """
+    plain = F.coalesce(is_ascii(source) & F.forall(forms, lambda f: F.coalesce(is_ascii(f), F.lit(True))), F.lit(False))
+    here = let(normalized_ascii(source), lambda hay: F.exists(forms, lambda f: F.coalesce(F.contains(hay, normalized_ascii(f)), F.lit(False))))
+    there = _holds_any(F.when(~plain, forms), F.when(~plain, source))
+    return F.when(forms.isNull() | source.isNull(), F.lit(None)).when(plain, here).otherwise(there)
 
 
 def substring_distance(needle: str, haystack: str) -> int:

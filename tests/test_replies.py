@@ -1,33 +1,31 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from attestor.functions import replies, text
 
+#: A shipment of tea, told in the ways in which replies go wrong.
 CASES = [
-    ('{"a": 1}', {"a": 1}),
-    ('```json\n{"a": 1}\n```', {"a": 1}),
-    ("```\r\n{\"a\": 1}\r\n```", {"a": 1}),
-    ('<think>{"no": 1}</think>\n{"a": 1}', {"a": 1}),
-    ('<THINKING>x\ny</THINKING>{"a": 1}', {"a": 1}),
-    ('Here you are:\n\n{"a": 1}\n\nAnything else?', {"a": 1}),
-    ('{\n // who\n "a": "x", /* y */ "b": 2\n}', {"a": "x", "b": 2}),
-    ('{"a": "x" "b": 2, "c": "z"}', {"a": "x", "b": 2, "c": "z"}),
-    ('"a": "x", "b": 2}', {"a": "x", "b": 2}),
-    ('{"l": [{"n": "x", "r": ["p" "q"]}, {"n": \'y\', "r": [],}], "m": {c: 2,}', {"l": [{"n": "x", "r": ["p", "q"]}, {"n": "y", "r": []}], "m": {"c": 2}}),
-    ('{"p": +7, "e": 2.5e2, "s": 1E-1, "w": 98765432109876543210}', {"p": 7, "e": 250.0, "s": 0.1, "w": 98765432109876543210}),
-    ('{"a": None, "b": True, "c": False}', {"a": None, "b": True, "c": False}),
-    ("{'a': 'x', 'l': ['p', 'q']}", {"a": "x", "l": ["p", "q"]}),
-    ('[{"a": 1}, {"a": 2},]', [{"a": 1}, {"a": 2}]),
-    ('{"l": [1, 2,], "ok": true,}', {"l": [1, 2], "ok": True}),
-    ('{"p": {"n": "x", "l": ["d", "e"]', {"p": {"n": "x", "l": ["d", "e"]}}),
-    ('{"n": "x", "b": "cut off he', {"n": "x", "b": "cut off he"}),
-    ('{"a": 1}\n{"b": 2}', [{"a": 1}, {"b": 2}]),
-    ('{n: "x", age: 36}', {"n": "x", "age": 36}),
-    ('{"z": "Zo\\u00eb", "q": "say \\"hi\\"\\n",}', {"z": "Zoë", "q": 'say "hi"'}),
-    ("""It's this: {"n": "O'Neil", "t": "see /* x */", "k": 3}""", {"n": "O'Neil", "t": "see /* x */", "k": 3}),
-    ("{'n': 'O'Neil', 'u': 'http://x.org/a', 'k': 3}", {"n": "O'Neil", "u": "http://x.org/a", "k": 3}),
-    ('{"n": "x", "u": https://a.b/c, "k": 3}', {"n": "x", "u": "https://a.b/c", "k": 3}),
+    ('{"tea": "sencha", "grams": 250}', {"tea": "sencha", "grams": 250}),
+    ('```\n{"crates": [4, 9]}\n```', {"crates": [4, 9]}),
+    ('<thinking>is it {"crates": 0}?</thinking>{"crates": 12}', {"crates": 12}),
+    ('The harbour log reads {"ship": "Adele", "berth": 7}, signed by the clerk.', {"ship": "Adele", "berth": 7}),
+    ('{"berth": 7, // by the crane\n "tide": "low" /* at noon */}', {"berth": 7, "tide": "low"}),
+    ('{"berth": 7 "tide": "low"}', {"berth": 7, "tide": "low"}),
+    ('{"holds": [{"no": 1, "tea": ["oolong", "assam",]}, {"no": 2}], "sealed": true,}', {"holds": [{"no": 1, "tea": ["oolong", "assam"]}, {"no": 2}], "sealed": True}),
+    ('{"draught": +3, "list": -0.5, "load": 4E3}', {"draught": 3, "list": -0.5, "load": 4000.0}),
+    ('{"pilot": None, "tug": True, "fog": False}', {"pilot": None, "tug": True, "fog": False}),
+    ("{'mate': 'Ines', 'crew': ['Bo', 'Lev']}", {"mate": "Ines", "crew": ["Bo", "Lev"]}),
+    ('{"hold": {"no": 3, "tea": ["darjeeling"', {"hold": {"no": 3, "tea": ["darjeeling"]}}),
+    ('{"note": "left unfinish', {"note": "left unfinish"}),
+    ('{"hold": 1} {"hold": 2},\n{"hold": 3}', [{"hold": 1}, {"hold": 2}, {"hold": 3}]),
+    ('{port: "Leith", quay: 2}', {"port": "Leith", "quay": 2}),
+    ('{"call": "\\u00c9toile", "said": "\\"ahoy\\""}', {"call": "Étoile", "said": '"ahoy"'}),
+    ("The captain's entry: {\"owner\": \"D'Arcy\", \"mark\": \"a // b\"}", {"owner": "D'Arcy", "mark": "a // b"}),
+    ('{"chart": ftp://quay.example/7, "sheet": 7}', {"chart": "ftp://quay.example/7", "sheet": 7}),
+    ('{"big": 123456789012345678901234567890}', {"big": 123456789012345678901234567890}),
+    ('{"weights": {"net": 1.25, "tare": 0.5}} ]', {"weights": {"net": 1.25, "tare": 0.5}}),
 ]
 
 
@@ -36,48 +34,75 @@ def test_extract(raw, want):
     assert replies.extract_json(raw) == want
 
 
-@pytest.mark.parametrize("raw", ["", "  \n ", "Sorry, no.", "<think>{}</think>"])
+@pytest.mark.parametrize("raw", ["", "\t\r\n", "No cargo today.", "<think>{\"cargo\": 1}</think> none"])
 def test_no_object(raw):
     with pytest.raises(ValueError):
         replies.extract_json(raw)
 
 
-@pytest.mark.parametrize("raw,want", [('{"a": 1} // t\n{"b": 2}', '{"a": 1} \n{"b": 2}'), ('{"a": /* y */ 3}', '{"a":   3}'), ('{"a": 1} /* open', '{"a": 1}  '), ('{"a": "http://x"}', '{"a": "http://x"}'), ("{'u': http://x.org/a // c\n}", "{'u': http://x.org/a \n}"), (r'{"a": "q\" // in"}', r'{"a": "q\" // in"}')])
-def test_comments(raw, want):
-    assert replies.strip_comments(raw) == want
+def test_comments_stand_outside_quotes_and_addresses():
+    quoted = ('"a // b"', '"say \\" // more"', "'it /* holds */'", "x-y+z.1://host/p", "the mate's log")
+    for whole in quoted:
+        assert replies.strip_comments(whole) == whole
+        assert replies.strip_comments(f"[{whole}] // gone\n[{whole}]/* gone */") == f"[{whole}] \n[{whole}] "
+    assert replies.strip_comments("[1, /* never closed") == "[1,  " and replies.strip_comments('["never closed // kept') == '["never closed // kept'
+    assert replies.strip_comments("/**/[//\n]") == " [\n]"
+
+
+def test_split_needs_objects_alone():
+    assert replies._several('{"a": "}{"} {"b": [{}]}') == [{"a": "}{"}, {"b": [{}]}]
+    for other in ("", '{"a": 1}', '{"a": 1} {"b": }', '{"a": 1} [2]', '{"a": 1} and {"b": 2}', '{"a": 1} {"b": 2} x'):
+        assert replies._several(other) is None
 
 
 def test_columns(spark):
-    df = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(CASES)] + [(90, None), (91, "none")], "k int, c string")
+    odd = [(90, None), (91, "nothing"), (92, '{"a": 1}] }'), (93, '{"a": 1}, {"b": 2}')]
+    df = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(CASES)] + odd, "k int, c string")
     got = {r.k: r.p for r in df.select("k", replies.parsed("c").alias("p")).collect()}
     assert all(json.loads(got[k].json) == w for k, (_, w) in enumerate(CASES)) and got[90].json is None and got[91].error
-    args = spark.createDataFrame([("<think>a</think>{\"a\": 1}",), ("[1]",), ("{a: 1",), (None,)], "c string")
-    assert [r[0] for r in args.select(replies.repair_args(args.c)).collect()] == ['{"a":1}', None, '{"a":1}', None]
+    assert json.loads(got[92].json) == {"a": 1} and json.loads(got[93].json) == [{"a": 1}, {"b": 2}]
+    args = spark.createDataFrame([("<think>hm</think>{\"net\": 4}",), ("[4]",), ("{net: 4",), (None,)], "c string")
+    assert [r[0] for r in args.select(replies.repair_args(args.c)).collect()] == ['{"net":4}', None, '{"net":4}', None]
+
+
+def test_strict_replies_never_reach_python(spark):
+    df = spark.createDataFrame([('```json\n{"net": 1.50}\n```',)], "c string")
+    assert df.select(replies.parsed("c")["json"]).first()[0] == '{"net": 1.50}'  # as it stands, not written anew
 
 
 def test_arrays(spark):
-    docs = ['{"a":1}', '[{"a":1}]', '[{"z":1}]', '[{"a":1},{"a":2}]', "[]", "[1]", '"x"']
+    docs = ['{"no":1}', '[{"no":1}]', '[{"far":1}]', '[{"no":1},{"no":2}]', "[]", "[7]", '"no"']
     df = spark.createDataFrame([(d,) for d in docs], "d string").coalesce(1)
-    plain = [tuple(r[0]) for r in df.select(replies.unwrap_array(df.d, ["a", "b"])).collect()]
-    assert [p[0] for p in plain] == ['{"a":1}', '{"a":1}', None, None, None, None, None] and "2 separate" in plain[3][1]
-    listed = [r[0].json for r in df.select(replies.unwrap_array(df.d, ["items"], "items")).collect()]
-    assert json.loads(listed[3]) == {"items": [{"a": 1}, {"a": 2}]} and json.loads(listed[4]) == {"items": []} and listed[5] is None
+    plain = [tuple(r[0]) for r in df.select(replies.unwrap_array(df.d, ["no", "tea"])).collect()]
+    assert [p[0] for p in plain] == ['{"no":1}', '{"no":1}', None, None, None, None, None] and "2 separate" in plain[3][1]
+    listed = [r[0].json for r in df.select(replies.unwrap_array(df.d, ["holds"], "holds")).collect()]
+    assert json.loads(listed[3]) == {"holds": [{"no": 1}, {"no": 2}]} and json.loads(listed[4]) == {"holds": []} and listed[5] is None
 
 
 def test_blocks(spark):
-    df = spark.sql("select array(named_struct('type', 'text', 'text', 'a'), named_struct('type', 'thinking', 'text', 'no'), named_struct('type', 'image', 'text', cast(null as string)), named_struct('type', 'tool_use', 'text', 'z')) b, '```\nx\n```' f")
+    df = spark.sql("select array(named_struct('type', 'text', 'text', 'fore'), named_struct('type', 'reasoning', 'text', 'hm'), named_struct('type', 'image', 'text', cast(null as string)), named_struct('type', 'function_call', 'text', 'aft')) b, '```\nsail\n```' f")
     r = df.select(text.flatten_blocks(df.b), text.plain_text(df.b), text.strip_fence(df.f)).first()
-    assert tuple(r) == ("a\nz", "a [thinking] [image]", "x")
-
-
-def test_fold_and_fuzzy(spark):
-    assert text.fold("ACME   GmbH") == "acme gmbh" and text.fold("Müller") == text.fold("Muller") and text.fold("Straße") == "strasse"
-    assert text.fuzzy_hit("corporation", "the corporatlon ltd", 0.85) and not text.fuzzy_hit("acme", "acne", 0.9) and not text.fuzzy_hit("", "x", 0.5)
-    for a, b in (("abc", "xabdx"), ("kitten", "the sitting cat"), ("q", "")):
-        prev = [0] * (len(b) + 1)
-        for i in range(1, len(a) + 1):
-            row = [i]
-            for j in range(1, len(b) + 1):
-                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (a[i - 1] != b[j - 1])))
-            prev = row
-        assert text.substring_distance(a, b) == min(prev)
+    assert tuple(r) == ("fore\naft", "fore [reasoning] [image]", "sail")
+
+
+def test_fold(spark):
+    assert text.fold(" \tTwo\n  Masts ") == "two masts" and text.fold("Ångström") == text.fold("angstrom") and text.fold("GROSS") == text.fold("Groß")
+    df = spark.createDataFrame([("Two \n MASTS",), ("Groß É",), (None,), ("",)], "t string").coalesce(1)
+    assert [r[0] for r in df.select(text.normalized(F.col("t"))).collect()] == ["two masts", "gross e", None, ""]
+
+
+def distance(needle, haystack):
+    """Least edits to any substring, cell by cell."""
+    row = [0] * (len(haystack) + 1)
+    for i, ch in enumerate(needle, 1):
+        left = [i]
+        for j, other in enumerate(haystack, 1):
+            left.append(min(row[j] + 1, left[-1] + 1, row[j - 1] + (ch != other)))
+        row = left
+    return min(row)
+
+
+def test_fuzzy():
+    for needle, haystack in (("spinnaker", "the spinaker tore"), ("mast", ""), ("keel", "keel"), ("rudder", "udde"), ("bow", "stern")):
+        assert text.substring_distance(needle, haystack) == distance(needle, haystack)
+    assert text.fuzzy_hit("spinnaker", "the spinaker tore", 0.85) and not text.fuzzy_hit("bow", "stern", 0.5) and not text.fuzzy_hit("", "bow", 0.1)
