@@ -42,7 +42,7 @@ def iban(c: Column) -> Column:
 
 
 def vat_id(c: Column) -> Column:
-    v = _squeezed(c, r"(?U)[\s.\-]+")
+    v = _squeezed(c, r"[ .\-]+")
     return _result(v, v.rlike("^[A-Z]{2}[A-Z0-9]{2,12}$"), "not a VAT id", c)
 
 
@@ -58,10 +58,30 @@ def phone(c: Column) -> Column:
     return _result(v, v.rlike(r"^\+[1-9][0-9]{1,14}$"), "not an international phone number", c)
 
 
+#: ISO 4217 codes in use.
+CURRENCIES = (
+    "AED", "AFN", "ALL", "AMD", "ANG", "AOA", "ARS", "AUD", "AWG", "AZN", "BAM", "BBD", "BDT", "BGN", "BHD", "BIF", "BMD", "BND", "BOB", "BOV",
+    "BRL", "BSD", "BTN", "BWP", "BYN", "BZD", "CAD", "CDF", "CHE", "CHF", "CHW", "CLF", "CLP", "CNY", "COP", "COU", "CRC", "CUC", "CUP", "CVE",
+    "CZK", "DJF", "DKK", "DOP", "DZD", "EGP", "ERN", "ETB", "EUR", "FJD", "FKP", "GBP", "GEL", "GHS", "GIP", "GMD", "GNF", "GTQ", "GYD", "HKD",
+    "HNL", "HTG", "HUF", "IDR", "ILS", "INR", "IQD", "IRR", "ISK", "JMD", "JOD", "JPY", "KES", "KGS", "KHR", "KMF", "KPW", "KRW", "KWD", "KYD",
+    "KZT", "LAK", "LBP", "LKR", "LRD", "LSL", "LYD", "MAD", "MDL", "MGA", "MKD", "MMK", "MNT", "MOP", "MRU", "MUR", "MVR", "MWK", "MXN", "MXV",
+    "MYR", "MZN", "NAD", "NGN", "NIO", "NOK", "NPR", "NZD", "OMR", "PAB", "PEN", "PGK", "PHP", "PKR", "PLN", "PYG", "QAR", "RON", "RSD", "RUB",
+    "RWF", "SAR", "SBD", "SCR", "SDG", "SEK", "SGD", "SHP", "SLE", "SOS", "SRD", "SSP", "STN", "SVC", "SYP", "SZL", "THB", "TJS", "TMT", "TND",
+    "TOP", "TRY", "TTD", "TWD", "TZS", "UAH", "UGX", "USD", "USN", "UYI", "UYU", "UYW", "UZS", "VED", "VES", "VND", "VUV", "WST", "XAF", "XAG",
+    "XAU", "XCD", "XDR", "XOF", "XPD", "XPF", "XPT", "YER", "ZAR", "ZMW", "ZWG", "ZWL",
+)
+#: ISO 639-1 codes that were withdrawn but that a JVM still lists.
+WITHDRAWN_LANGUAGES = ("in", "iw", "ji", "mo")
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def member(c: Column, codes: list[str], what: str, lower: bool = False) -> Column:
-    """Trimmed, case-folded membership in a code list (a literal set, checked by hash)."""
-    v = F.trim(c)
-    v = F.lower(v) if lower else F.upper(v)
+    """Membership in a code list (a literal set, checked by hash) without outer white space, in one case."""
+    v = F.lower(stripped(c)) if lower else F.upper(stripped(c))
     return _result(v, v.isin(*codes), f"not a {what}", c)
 
 
@@ -70,21 +90,16 @@ def country_codes(spark: SparkSession) -> list[str]:
     return sorted(spark._jvm.java.util.Locale.getISOCountries())
 
 
-def currency_codes(spark: SparkSession) -> list[str]:
-    """ISO 4217 codes of the running JVM."""
-    return sorted({x.getCurrencyCode() for x in spark._jvm.java.util.Currency.getAvailableCurrencies()})
-
-
 def language_codes(spark: SparkSession) -> list[str]:
-    """ISO 639-1 codes of the running JVM."""
-    return sorted({x for x in spark._jvm.java.util.Locale.getISOLanguages() if len(x) == 2})
+    """ISO 639-1 codes in use: those of the running JVM, less the withdrawn ones."""
+    return sorted({x for x in spark._jvm.java.util.Locale.getISOLanguages() if len(x) == 2}.difference(WITHDRAWN_LANGUAGES))
 
 
 def country(c: Column, codes: list[str]) -> Column:
     return member(c, codes, "country code")
 
 
-def currency(c: Column, codes: list[str]) -> Column:
+def currency(c: Column, codes: list[str] = CURRENCIES) -> Column:
     return member(c, codes, "currency code")
 
 

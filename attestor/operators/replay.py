@@ -8,22 +8,24 @@ source would.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RETRIED = ("parse", "schema", "ground", "rule")
 TERMINAL = ("ok", "llm_error", "crash")
-#: Kinds of model errors by exception class name, first match wins (fixed values).
+#: Kinds of model errors by the name of the exception's class; the first match wins.
 ERROR_KINDS = (
-    ("context_overflow", ("ContextWindowExceededError", "ContextOverflowError")),
-    ("rate_limit", ("RateLimitError", "ResourceExhausted", "TooManyRequests", "ThrottlingException")),
-    ("timeout", ("APITimeoutError", "Timeout", "TimeoutError", "TimeoutException", "ReadTimeout", "DeadlineExceeded")),
-    ("connection", ("APIConnectionError", "ConnectionError", "ConnectError", "ConnectionResetError")),
-    ("server_error", ("InternalServerError", "ServiceUnavailable", "ServiceUnavailableError", "OverloadedError")),
-    ("authentication", ("AuthenticationError", "Unauthenticated")),
-    ("permission_denied", ("PermissionDeniedError", "PermissionDenied")),
-    ("not_found", ("NotFoundError", "NotFound")),
-    ("invalid_request", ("BadRequestError", "InvalidRequestError", "UnprocessableEntityError", "InvalidArgument")),
+    ("context_overflow", ("ContextOverflowError", "ContextWindowExceededError")),
+    ("rate_limit", ("ModelRateLimitError", "RateLimitError")),
+    ("timeout", ("ModelTimeoutError", "APITimeoutError", "TimeoutException", "ConnectTimeout", "ReadTimeout", "WriteTimeout", "PoolTimeout", "TimeoutError")),
+    ("connection", ("ModelConnectionError", "APIConnectionError", "ConnectError", "RemoteProtocolError", "NetworkError", "ReadError", "WriteError", "CloseError", "ConnectionError", "ConnectionResetError", "ConnectionRefusedError", "ConnectionAbortedError", "BrokenPipeError")),
+    ("server_error", ("ModelAPIError", "InternalServerError")),
+    ("authentication", ("ModelAuthenticationError", "AuthenticationError")),
+    ("permission_denied", ("ModelPermissionDeniedError", "PermissionDeniedError")),
+    ("not_found", ("ModelNotFoundError", "NotFoundError")),
+    ("invalid_request", ("ModelInvalidRequestError", "BadRequestError")),
 )
 
 
@@ -91,20 +93,35 @@ def merged_stats(stats: DataFrame, *keys: str) -> DataFrame:
     return stats.groupBy(*keys).agg(F.count("*").alias("runs"), F.count_if("success").alias("successes"), *sums, F.max("fallback_used").alias("fallback_used"))
 
 
-def network_retry(errors: Column, most: int = 3, rate_interval: float = 10.0, rate_limit: float = 900.0) -> Column:
-    """Fold of an array of error kinds that a call met before it worked: struct(retries, waited, gave_up).
+@dataclass(frozen=True)
+class RetryConfig:
+    """How a client meets failing calls: ``delays`` before each retry (the last repeats; none given: a second), and the
+    fixed interval and longest time for which a rate limit is waited out."""
+
+    most: int = 3
+    delays: tuple[float, ...] = (1.0, 2.0, 4.0)
+    rate_interval: float = 10.0
+    rate_limit: float = 900.0
+    transient: tuple[str, ...] = ("timeout", "connection", "server_error")
+
+
+def network_retry(errors: Column, config: RetryConfig = RetryConfig()) -> Column:
+    """Fold of an array of error kinds that a call met before it worked: struct(retries, waited, limited, gave_up).
 
-    Transient errors cost a retry and wait 1, 2, 4 seconds; a rate limit waits a fixed interval, as long as the time so
-    spent is within its limit, and costs no retry; any other error gives up at once.
+    Transient errors cost a retry and wait by the list of delays; a rate limit waits a fixed interval, as long as the
+    time so spent is within its limit, and costs no retry; any other error gives up at once.
     """
+    delays = F.array(*[F.lit(float(d)) for d in config.delays or (1.0,)])
+    state = lambda s, **x: F.struct(*[(x[n] if n in x else s[n]).alias(n) for n in ("retries", "waited", "limited", "gave_up")])
     start = F.struct(F.lit(0).alias("retries"), F.lit(0.0).alias("waited"), F.lit(0.0).alias("limited"), F.lit(False).alias("gave_up"))
 
     def step(s: Column, e: Column) -> Column:
-        rate, passing = e == "rate_limit", e.isin("timeout", "connection", "server_error")
-        go = F.when(rate, s["limited"] + rate_interval <= rate_limit).otherwise(passing & (s["retries"] < most))
-        pause = F.when(rate, F.lit(rate_interval)).otherwise(F.element_at(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)), F.least(s["retries"] + 1, F.lit(3))))
-        nxt = F.struct((s["retries"] + F.when(rate, 0).otherwise(1)).alias("retries"), (s["waited"] + pause).alias("waited"), (s["limited"] + F.when(rate, rate_interval).otherwise(0.0)).alias("limited"), F.lit(False).alias("gave_up"))
-        stop = F.struct(s["retries"].alias("retries"), s["waited"].alias("waited"), s["limited"].alias("limited"), F.lit(True).alias("gave_up"))
-        return F.when(s["gave_up"], s).when(go, nxt).otherwise(stop)
+        pause = F.element_at(delays, F.least(s["retries"] + 1, F.lit(len(config.delays or (1.0,)))))
+        again = state(s, retries=s["retries"] + 1, waited=s["waited"] + pause)
+        later = state(s, waited=s["waited"] + config.rate_interval, limited=s["limited"] + config.rate_interval)
+        stop = state(s, gave_up=F.lit(True))
+        limited = F.when(s["limited"] < config.rate_limit, later).otherwise(stop)
+        moved = F.when(e.isin(*config.transient) & (s["retries"] < config.most), again).otherwise(stop)
+        return F.when(s["gave_up"], s).when(e == "rate_limit", limited).otherwise(moved)
 
     return F.aggregate(errors, start, step)
