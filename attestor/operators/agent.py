@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STATE = "struct<iterations:int,retries:int,format_errors:int,helpers:int,reason:string,success:boolean,answer:string,candidate:string,done:boolean>"
@@ -46,7 +46,8 @@ def replay_agent(turns: DataFrame, most_iterations: int = 12, most_retries: int
     A run ends with the turn in which a final answer is accepted (the last accepted one counts; every call of the
     turn is answered first), with one rejected when no retry is left, or after ``most_iterations`` turns.
     """
-    run = turns.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("turn", "kind", "calls"))).alias("turns"))
+    first = turns.withColumn("nth_", F.row_number().over(Window.partitionBy("run_id").orderBy("turn"))).where(F.col("nth_") <= most_iterations)
+    run = first.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("turn", "kind", "calls"))).alias("turns"))
     start = F.expr(f"cast(named_struct('iterations', 0, 'retries', 0, 'format_errors', 0, 'helpers', 0, 'reason', null, 'success', false, 'answer', null, 'candidate', null, 'done', false) as {_STATE})")
     step = lambda s, t: F.when(s["done"] | (s["iterations"] >= most_iterations), s).otherwise(_turn(s, t, most_retries, json_mode).cast(_STATE))
     out = run.select("run_id", F.aggregate("turns", start, step).alias("s"))

@@ -22,11 +22,6 @@ def issue_rows(runs: DataFrame, bare: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def first_distinct(samples: Column, n: int = MOST_SAMPLES) -> Column:
-    """First ``n`` distinct values of struct(order..., received) samples."""
-    return F.slice(F.array_distinct(F.transform(F.array_sort(samples), lambda s: s["received"])), 1, n)
-
-
 def field_summary(runs: DataFrame, bare: DataFrame | None = None) -> DataFrame:
     """A row for each (schema, field): counts, recovery, average first attempt, severity."""
     rows = issue_rows(runs, bare)
@@ -58,7 +53,7 @@ def field_samples(runs: DataFrame, bare: DataFrame | None = None) -> DataFrame:
     place = F.struct(F.col("run_id").isNull().alias("loose"), F.col("run_id").alias("run"), F.coalesce("pos", F.lit(0)).alias("pos"))
     firsts = rows.groupBy("schema_name", "field_path", "received").agg(F.min(place).alias("place"))
     ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("schema_name", "field_path").orderBy("place", "received"))).where(F.col("rank") <= MOST_SAMPLES)
-    return ranked.groupBy("schema_name", "field_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "received"))), lambda s: s["received"]), "|").alias("samples"))
+    return ranked.groupBy("schema_name", "field_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "received"))), lambda s: s["received"]).alias("samples"))
 
 
 def schema_summary(runs: DataFrame, bare: DataFrame | None = None) -> DataFrame:
@@ -96,17 +91,60 @@ def ranked_schemas(schemas: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def escaped(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    """A text as a cell of a Markdown table."""
+    return F.replace(F.replace(F.replace(c, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
+
+
+#: The report's table head, and what stands where there is nothing.
+_TABLE = "| Field | Category | Top error | Hits | In failed runs | Recovery | Samples |\n| --- | --- | --- | ---: | ---: | ---: | --- |"
+_TITLE, _NOTHING, _NONE = "# Field issue report", "_No field issues recorded._", "—"
+SHOWN_SAMPLES = 3
 
 
 def markdown(schemas: DataFrame, fields: DataFrame, tops: DataFrame, samples: DataFrame) -> DataFrame:
-    """One report section for each schema. ``tops``: top_category and top_error_type by (schema, field)."""
+    """One report section for each schema, with its place. ``tops``: top_category and top_error_type by (schema, field)."""
     rows = ranked_fields(fields).join(tops, ["schema_name", "field_path"], "left").join(samples, ["schema_name", "field_path"], "left")
-    shown = F.array_join(F.transform(F.slice(F.split(F.coalesce("samples", F.lit("")), "\\|"), 1, 3), escaped), ", ")
-    line = F.format_string("| %s | %s | %s | %d | %d | %s | %s |", escaped(F.col("field_path")), F.coalesce("top_category", F.lit("—")), F.coalesce("top_error_type", F.lit("—")), "total_occurrences", "failed_runs_with_problem", percent(F.col("recovery_rate")), shown)
+    shown = F.array_join(F.transform(F.slice(F.coalesce("samples", F.array().cast("array<string>")), 1, SHOWN_SAMPLES), lambda x: F.concat(F.lit("`"), escaped(x), F.lit("`"))), ", ")
+    line = F.format_string("| %s | %s | %s | %d | %d | %s | %s |", escaped(F.col("field_path")), F.coalesce("top_category", F.lit(_NONE)), F.coalesce("top_error_type", F.lit(_NONE)), "total_occurrences", "failed_runs_with_problem", percent(F.col("recovery_rate")), shown)
     body = rows.withColumn("line", line).groupBy("schema_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    head = F.format_string("## %s\n\nSuccess rate %s, %d failed of %d runs\n\n| Field | Category | Top error | Hits | In failed runs | Recovery | Samples |\n| --- | --- | --- | ---: | ---: | ---: | --- |", "schema_name", percent(F.col("success_rate")), "failed_runs", "total_runs")
-    return schemas.join(body, "schema_name", "left").select("schema_name", F.concat_ws("\n", head, "body").alias("section"))
+    saved = F.when(F.col("salvaged_runs") > 0, F.format_string(", %d salvaged", "salvaged_runs")).otherwise("")
+    head = F.format_string("## %s — %s success (%d/%d runs failed%s)\n\n", "schema_name", percent(F.col("success_rate")), "failed_runs", "total_runs", saved)
+    table = F.when(F.col("body").isNull(), F.lit(_NOTHING)).otherwise(F.concat(F.lit(_TABLE + "\n"), F.col("body")))
+    return ranked_schemas(schemas, fields).join(body, "schema_name", "left").select("schema_name", "place", F.concat(head, table).alias("section"))
+
+
+def report(sections: DataFrame) -> DataFrame:
+    """The sections of ``markdown``, one for each schema, as one document; a note if there are none."""
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "section"))), lambda x: x["section"]), "\n\n")
+    return sections.agg(F.concat(F.lit(_TITLE + "\n\n"), F.when(F.count("*") > 0, F.concat(every, F.lit("\n"))).otherwise(_NOTHING)).alias("report"))
+
+
+def console_summary(schemas: DataFrame, fields: DataFrame, first_errors: DataFrame, top_n: int = 5) -> DataFrame:
+    """Lines (schema_name, line_no, line) of the worst ``top_n`` fields of each schema that has any. ``first_errors``: the
+    most frequent error type by (schema, field), of ties the one seen first (see ``first_seen_error``)."""
+    worst = ranked_fields(fields).where(F.col("place") <= top_n).join(first_errors, ["schema_name", "field_path"], "left")
+    line = F.concat(F.lit("    "), F.rpad("field_path", F.greatest(F.lit(24), F.length("field_path")), F.lit(" ")), F.format_string(" hits=%s failed_runs=%s recovery=%s  top_error=%s", F.rpad(F.col("total_occurrences").cast("string"), 3, " "), F.rpad(F.col("failed_runs_with_problem").cast("string"), 3, " "), percent(F.col("recovery_rate")), F.coalesce("top_error", F.lit(_NONE))))
+    head = schemas.join(fields.select("schema_name").distinct(), "schema_name", "left_semi")
+    heads = head.select("schema_name", F.lit(0).alias("line_no"), F.format_string("  %s: %s success (%d/%d runs failed)", "schema_name", percent(F.col("success_rate")), "failed_runs", "total_runs").alias("line"))
+    return heads.unionByName(worst.select("schema_name", F.col("place").alias("line_no"), line.alias("line")))
+
+
+def first_seen_error(rows: DataFrame) -> DataFrame:
+    """``top_error`` of each (schema, field): the most frequent error type; of ties the one that was seen first."""
+    place = F.struct(F.col("run_id").isNull().alias("loose"), F.col("run_id").alias("run"), F.coalesce("pos", F.lit(0)).alias("pos"))
+    counts = rows.groupBy("schema_name", "field_path", "error_type").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+    return counts.groupBy("schema_name", "field_path").agg(F.min_by("error_type", F.struct(-F.col("n"), F.col("place"))).alias("top_error"))
+
+
+def results_to_runs(results: DataFrame) -> DataFrame:
+    """Benchmark results as runs: what ``field_summary`` and ``schema_summary`` take. No result counts as salvaged."""
+    return results.select("run_id", "schema_name", "success", F.lit(False).alias("salvaged"), F.coalesce("field_issues", F.array().cast(results.schema["field_issues"].dataType)).alias("field_issues"))
+
+
+def group_summary(results: DataFrame) -> DataFrame:
+    """By group and scenario of a benchmark: results, successes, and the models that failed, in order."""
+    failed = F.array_sort(F.collect_set(F.when(~F.col("success"), F.col("model"))))
+    return results.groupBy("group", "scenario").agg(F.count("*").alias("total"), F.count_if("success").alias("successes"), F.array_join(failed, ", ").alias("failed_models"))
 
 
 def percent(c: Column) -> Column:
@@ -127,14 +165,18 @@ def quality_ranking(results: DataFrame) -> DataFrame:
 
 
 def overall_ranking(results: DataFrame) -> DataFrame:
-    """All figures by model in one pass: rate, one-shot share and retries of successes, tokens where known."""
+    """All figures by model in one pass: rate, one-shot share and retries of successes, field accuracy where checks are
+    (columns correct and total), tokens where known."""
     ok = F.col("success")
+    checked = [F.sum("correct").alias("correct_checks"), F.sum("total").alias("total_checks")] if {"correct", "total"} <= set(results.columns) else []
     out = results.groupBy("model").agg(
         F.count("*").alias("total"), F.count_if(ok).alias("successes"),
         F.count_if(ok & (F.col("retries") == 0)).alias("one_shot"), F.avg(F.when(ok, F.col("retries"))).alias("avg_retries"),
         F.avg(F.when(ok, F.col("duration_s"))).alias("avg_s"), F.sum("duration_s").alias("total_s"),
-        F.avg("tokens_in").alias("avg_tokens_in"), F.avg("tokens_out").alias("avg_tokens_out"),
+        F.avg("tokens_in").alias("avg_tokens_in"), F.avg("tokens_out").alias("avg_tokens_out"), *checked,
     )
+    if checked:
+        out = out.withColumn("field_accuracy", F.try_divide("correct_checks", "total_checks"))
     out = out.withColumn("rate", F.col("successes") / F.col("total")).withColumn("one_shot_rate", F.coalesce(F.try_divide("one_shot", "successes"), F.lit(0.0)))
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rate"), F.asc_nulls_last("avg_s"), "model")))
 

@@ -2,12 +2,78 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestor.functions.text import lenient_match, numeric_equal, squashed
 
 
+@dataclass(frozen=True)
+class AtLeast:
+    value: float
+
+
+@dataclass(frozen=True)
+class Between:
+    low: float
+    high: float
+
+
+def check_field(actual: Column, expected: object, is_list: bool = False) -> Column:
+    """The check that the kind of an expected value asks for: a bound, a list of objects (dicts of the same keys), a list of
+    scalars, a flag, a number (of a list: its length), else equal text. ``is_list`` says that ``actual`` is an array."""
+    text = lambda x: str(x) if x is not None else None
+    if isinstance(expected, AtLeast):
+        return at_least(actual, expected.value)
+    if isinstance(expected, Between):
+        return between(actual, expected.low, expected.high)
+    if isinstance(expected, list) and expected and isinstance(expected[0], dict):
+        whole = F.array(*[F.create_map(*[F.lit(x) for k, v in e.items() for x in (k, text(v))]) for e in expected])
+        return object_list(actual, whole.cast("array<map<string,string>>"), list(expected[0]))
+    if isinstance(expected, list):
+        return scalar_list(actual.cast("array<string>"), F.array(*[F.lit(text(e)) for e in expected]).cast("array<string>"))
+    if isinstance(expected, bool):
+        return equals_bool(actual, F.lit(expected))
+    if isinstance(expected, (int, float)):
+        return has_length(actual, F.lit(expected)) if is_list else equals_number(actual.cast("string"), F.lit(float(expected)))
+    return _check(squashed(actual.cast("string")) == squashed(F.lit(text(expected))))
+
+
+def field_total(expected: object) -> int:
+    """Checks that an expected value stands for."""
+    if isinstance(expected, list):
+        return 1 + sum(map(len, expected)) if expected and isinstance(expected[0], dict) else len(expected)
+    return 1
+
+
+def record_accuracy(record: Column, success: Column, expected: dict[str, object], lists: tuple[str, ...] = ()) -> Column:
+    """struct(correct, total) of a record against its scenario's expected values; a failed run has none right."""
+    if not expected:
+        return F.struct(F.lit(0).cast("long").alias("correct"), F.lit(0).cast("long").alias("total"))
+    return accuracy(success, *[check_field(record[k], v, k in lists) for k, v in expected.items()])
+
+
+def cell(value: Column, most: int = 60) -> Column:
+    """A value as a cell of a benchmark report: null as a dash, long text cut, pipes and line ends made harmless."""
+    text = F.regexp_replace(F.replace(value.cast("string"), F.lit("|"), F.lit("\\|")), r"\s*[\r\n]+\s*", " ")
+    return F.coalesce(F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text), F.lit("—"))
+
+
+def expected_cell(expected: object) -> str:
+    """An expected value as a report shows it."""
+    if isinstance(expected, AtLeast):
+        return f"≥ {expected.value:g}"
+    if isinstance(expected, Between):
+        return f"{expected.low:g} to {expected.high:g}"
+    if isinstance(expected, list):
+        return "; ".join(expected_cell(e) for e in expected)
+    if isinstance(expected, dict):
+        return ", ".join(f"{k}={expected_cell(v)}" for k, v in expected.items())
+    return "—" if expected is None else str(expected)
+
+
 def _check(ok: Column, total: int = 1) -> Column:
     return F.struct(F.when(F.coalesce(ok, F.lit(False)), 1).otherwise(0).cast("long").alias("correct"), F.lit(total).cast("long").alias("total"))
 
