@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from attestor.plans import catalogue
+from attestor.plans import catalogue, extraction_queries  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 
