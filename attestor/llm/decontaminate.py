@@ -1,18 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is written as a table, once. A row is a shard: some documents of one task, up to a number of tokens, with
-the documents' token counts and, for every term of theirs, the sorted positions of its tokens (counted through the
-shard, with a gap between documents so that no phrase runs from one into the next). Test items are matched in blocks,
-one at a time; each block is broadcast. A shard looks up which of the block's rarest terms it has, which leads
-to the phrases that may be there, and answers these by itself: from the phrase's rarest term on, in order of corpus
-frequency, position lists are shifted by the term's offset and intersected, so nothing is shuffled. Only documents with
-matches are returned from a block.
+The index is written once: a file for each task, with a record batch for each shard, and a table that lists them. A shard
+is some documents, up to a number of tokens: the documents' token counts and, for every term of theirs, the sorted
+positions of its tokens (counted through the shard, with a gap between documents so that no phrase runs from one into
+the next). Test items are matched in blocks, one at a time; each block is broadcast. A shard looks up which of the
+block's rarest terms it has, which leads to the phrases that may be there, and answers these by itself: from the phrase's
+rarest term on, in order of corpus frequency, position lists are shifted by the term's offset and intersected, so nothing
+is shuffled. Only documents with matches are returned from a block.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import beside, kept, located, only, tidy, utf8, written
+from attestor.llm.shared import HEAVY_ROWS_A_FILE, beside, file_system, fresh_path, kept, located, only, tidy, utf8, written
 
 #: ASCII letters become lower case; letters, digits and bytes above 127 make words; all else parts them.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Item words handled at once; each block of items is broadcast and matched by itself, so a broadcast stays this small.
 BLOCK_WORDS = 100_000
-SHARD_TOKENS = 1 << 18
+SHARD_TOKENS = 1 << 19
 
 
 def words(data: bytes) -> list[bytes]:
@@ -60,53 +61,91 @@ def phrases(block: list[tuple[str, list[bytes]]], width: int) -> dict[tuple[byte
     return out
 
 
-_INDEX = "shard string, ids array<array<long>>, n_words array<long>, starts array<long>, terms array<binary>, ends array<long>, postings binary"
+_INDEX = "shard string, path string, batch int, ids array<array<long>>, n_words array<long>, starts array<long>"
+_SHARD = pa.schema([("terms", pa.list_(pa.binary())), ("ends", pa.list_(pa.int64())), ("steps", pa.list_(pa.uint32()))])
 
 
 def build_index(docs: DataFrame, ids: list[str], text_col: str = "text", gap: int = 64, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Write the index of whole texts with all their terms. Null texts have no words.
+    """Write the index of whole texts with all their terms, and return the written list of its shards. Null texts have no
+    words.
 
-    ``ids`` are columns of ``docs`` (cast to long) that name a document. Postings are the 32-bit steps from one
-    position of a term to its next, term after term in the order of ``terms``; ``ends`` says where each one's end. A
-    document longer than a shard gets one of its own.
+    ``ids`` are columns of ``docs`` (cast to long) that name a document. Postings are the steps from one position of a
+    term to its next, term after term in the order of ``terms``; ``ends`` says where each one's end. A document longer
+    than a shard gets one of its own. Only files in the list count; a task that runs again writes a new one.
     """
+    base = fresh_path(docs.sparkSession, "positions")
     rows = only(docs, *ids, text_col).select(*[F.col(c).cast("long").alias(f"id{k}") for k, c in enumerate(ids)], utf8(text_col).alias("data"))
 
-    def shard(name: str, keys: list[list], counts: list[int], tokens: list[np.ndarray], seen: dict[bytes, int]) -> pa.RecordBatch:
+    def shard(counts: list[int], tokens: list[np.ndarray], seen: dict[bytes, int]) -> tuple[np.ndarray, pa.RecordBatch]:
         sizes = np.array(counts, np.int64)
         starts = np.cumsum(sizes + gap) - (sizes + gap)
         term = np.concatenate(tokens)
         at = np.arange(len(term)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
-        order = np.argsort(term, kind="stable")
-        at = at[order]
+        at = at[np.argsort(term, kind="stable")]
         ends = np.cumsum(np.bincount(term, minlength=len(seen)))
         steps = np.diff(at, prepend=0)
         first = np.r_[0, ends[:-1]].astype(np.int64)[: len(seen)]
         steps[first] = at[first]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.array([keys], pa.list_(pa.list_(pa.int64()))), pa.array([counts], pa.list_(pa.int64())), pa.array([starts], pa.list_(pa.int64())), pa.array([list(seen)], pa.list_(pa.binary())), pa.array([ends], pa.list_(pa.int64())), pa.array([steps.astype("<u4").tobytes()], pa.binary())],
-            ["shard", "ids", "n_words", "starts", "terms", "ends", "postings"],
-        )
+        columns = [pa.array(list(seen), pa.binary()), pa.array(ends, pa.int64()), pa.array(steps.astype(np.uint32))]
+        return starts, pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(c)], c) for c in columns], schema=_SHARD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, total = TaskContext.get().partitionId(), 0, 0
+        part, made, total = TaskContext.get().partitionId(), [], 0
+        path, out = f"{base}/{part:06d}-{uuid.uuid4().hex[:8]}.arrow", None
         keys, counts, tokens = [[] for _ in ids], [], []
         seen: dict[bytes, int] = {}
+
+        def flush() -> None:
+            nonlocal out, file, keys, counts, tokens, seen, total
+            if out is None:
+                fs, at = file_system(path)
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                file = fs.open_output_stream(at)
+                out = pa.ipc.new_file(file, _SHARD, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            starts, batch = shard(counts, tokens, seen)
+            out.write_batch(batch)
+            made.append((f"{part}-{len(made)}", path, len(made), keys, counts, starts.tolist()))
+            keys, counts, tokens, seen, total = [[] for _ in ids], [], [], {}, 0
+
+        file = None
         for batch in batches:
             for *key, data in zip(*[batch.column(k).to_pylist() for k in range(len(ids))], batch.column(len(ids))):
                 w = words(data.as_py())
                 if counts and total + len(w) > shard_tokens:
-                    yield shard(f"{part}-{made}", keys, counts, tokens, seen)
-                    keys, counts, tokens, seen, made, total = [[] for _ in ids], [], [], {}, made + 1, 0
+                    flush()
                 tokens.append(np.fromiter((seen.setdefault(x, len(seen)) for x in w), np.int32, len(w)))
                 for k, v in zip(keys, key):
                     k.append(v)
                 counts.append(len(w))
                 total += len(w)
         if counts:
-            yield shard(f"{part}-{made}", keys, counts, tokens, seen)
+            flush()
+        if out is not None:
+            out.close()
+            file.close()
+        many, nested = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
+        for row in made:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.string(), pa.int32(), nested, many, many))], ["shard", "path", "batch", "ids", "n_words", "starts"])
+
+    n = docs.count()
+    tasks = rows.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-n // HEAVY_ROWS_A_FILE)))
+    return written(tasks.mapInArrow(tidy(run), _INDEX), "shards")
+
+
+def _shards(paths: list[str], numbers: list[int], *columns: int) -> Iterator[list[pa.Array]]:
+    """These columns' values of the shards of index files, one shard at a time."""
+    opened, reader = None, None
+    for path, number in zip(paths, numbers):
+        if path != opened:
+            fs, at = file_system(path)
+            opened, reader = path, pa.ipc.open_file(fs.open_input_file(at), options=pa.ipc.IpcReadOptions(included_fields=list(columns)))
+        batch = reader.get_batch(number)
+        yield [batch.column(k).values for k in range(len(columns))]
+
 
-    return written(rows.mapInArrow(tidy(run), _INDEX), "positions", docs.count(), heavy=True)
+def _spread(index: DataFrame) -> DataFrame:
+    """The list of shards dealt out over all cores, the shards of a file together."""
+    return index.repartition(max(1, 4 * index.sparkSession.sparkContext.defaultParallelism), "path").sortWithinPartitions("path", "batch")
 
 
 def frequencies(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
@@ -116,14 +155,14 @@ def frequencies(index: DataFrame, terms: list[bytes]) -> dict[bytes, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for own, ends in zip(batch.column(0), batch.column(1)):
-                at = pc.index_in(own.values, shared.value)
-                good = at.is_valid().to_numpy(zero_copy_only=False)
-                total[at.drop_null().to_numpy()] += np.diff(ends.values.to_numpy(), prepend=0)[good]
+            for own, ends in _shards(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, 1):
+                at = pc.index_in(shared.value, own)
+                n = np.diff(ends.to_numpy(), prepend=0)
+                total[at.is_valid().to_numpy(zero_copy_only=False)] += n[at.drop_null().to_numpy()]
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["term", "n"])
 
-    found = index.select("terms", "ends").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = _spread(index.select("path", "batch")).mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {terms[r["term"]]: r["n"] for r in found.toLocalIterator()}
 
 
@@ -137,16 +176,16 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Postings:
-    """Positions of a shard's terms, worked out when they are asked for."""
+    """Positions of a shard's terms, worked out when they are asked for. ``place`` says where the block's terms (numbered
+    by ``number``) are among the shard's, -1 for those that aren't."""
 
-    def __init__(self, terms: list[bytes], ends: np.ndarray, steps: np.ndarray):
-        self.place = {t: k for k, t in enumerate(terms)}
-        self.ends, self.steps, self.known = ends, steps, {}
+    def __init__(self, number: dict[bytes, int], place: np.ndarray, ends: np.ndarray, steps: np.ndarray):
+        self.number, self.place, self.ends, self.steps, self.known = number, place, ends, steps, {}
 
     def get(self, term: bytes) -> np.ndarray | None:
         if term not in self.known:
-            k = self.place.get(term)
-            self.known[term] = None if k is None else np.cumsum(self.steps[self.ends[k - 1] if k else 0 : self.ends[k]], dtype=np.int64)
+            k = int(self.place[self.number[term]])
+            self.known[term] = None if k < 0 else np.cumsum(self.steps[self.ends[k - 1] if k else 0 : self.ends[k]], dtype=np.int64)
         return self.known[term]
 
 
@@ -186,25 +225,30 @@ def match(index: DataFrame, block: list[tuple[str, list[bytes]]], width: int = 1
     """One row for each document with matches: spans of token numbers [a, b) that windows of the block's items cover,
     merged, and the items with windows there. With ``slop``, proximity matches instead of exact phrases."""
     found = phrases(block, width)
-    freq = frequencies(index, sorted({t for p in found for t in p}))
+    terms = sorted({t for p in found for t in p})
+    freq = frequencies(index, terms)
     rarest: dict[bytes, list] = {}
     for p, items in found.items():
         if all(t in freq for t in p):
             order = sorted(range(len(p)), key=lambda k: (freq[p[k]], k))
             rarest.setdefault(p[order[0]], []).append((p, order, sorted(items)))
-    shared = index.sparkSession.sparkContext.broadcast(rarest)
+    shared = index.sparkSession.sparkContext.broadcast((terms, rarest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, rarest = shared.value
+        wanted, number = pa.array(terms, pa.binary()), {t: k for k, t in enumerate(terms)}
+        first = np.array([number[t] for t in rarest], np.int64)
         for batch in batches:
-            for row in range(batch.num_rows):
-                name, terms = batch.column(0)[row].as_py(), batch.column(2)[row].as_py()
-                here = shared.value.keys() & set(terms)
-                if not here:
+            names, starts_of = batch.column(2).to_pylist(), batch.column(3)
+            for row, (own, ends, steps) in enumerate(_shards(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, 1, 2)):
+                place = pc.index_in(wanted, own).fill_null(-1).to_numpy()
+                here = first[place[first] >= 0]
+                if not len(here):
                     continue
-                starts = batch.column(1)[row].values.to_numpy()
-                postings = _Postings(terms, batch.column(3)[row].values.to_numpy(), np.frombuffer(batch.column(4)[row].as_buffer(), "<u4"))
+                starts = starts_of[row].values.to_numpy()
+                postings = _Postings(number, place, ends.to_numpy(), steps.to_numpy())
                 spans, items = {}, {}
-                for phrase, order, owners in (x for t in here for x in shared.value[t]):
+                for phrase, order, owners in (x for k in here.tolist() for x in rarest[terms[k]]):
                     hits = phrase_starts(postings, phrase, order) if slop is None else near_spans(postings, phrase, order, slop)
                     if not len(hits):
                         continue
@@ -216,14 +260,14 @@ def match(index: DataFrame, block: list[tuple[str, list[bytes]]], width: int = 1
                     docs = sorted(spans)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([name] * len(docs)), pa.array(docs, pa.int32()),
+                            pa.array([names[row]] * len(docs)), pa.array(docs, pa.int32()),
                             pa.array([[{"a": a, "b": b} for a, b in merged(spans[d])] for d in docs], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
                             pa.array([sorted(items[d]) for d in docs], pa.list_(pa.string())),
                         ],
                         ["shard", "doc", "spans", "items"],
                     )
 
-    return index.select("shard", "starts", "terms", "ends", "postings").mapInArrow(tidy(run), _MATCH)
+    return _spread(index.select("path", "batch", "shard", "starts")).mapInArrow(tidy(run), _MATCH)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
