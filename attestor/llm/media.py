@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from attestor.llm.shared import only, tidy, utf8
 
+#: A frame of more samples is taken as damaged.
+MOST_SAMPLES = 1 << 26
 #: A row of pixels has this many samples; payloads are padded with spaces to a multiple of it.
 UNIT = 192
 #: Rows of pixels in a frame, and frames in a second.
@@ -175,6 +177,11 @@ def _header(jpeg: bytes) -> dict:
         at += 2 + n
         if marker in (0xC0, 0xC1, 0xC3):
             depth, h, w, count = struct.unpack_from(">BHHB", body)
+            sampling = [body[7 + 3 * k] for k in range(count)]
+            if not h or not w or not sampling or any(not 1 <= f <= 4 for s in sampling for f in (s >> 4, s & 15)):
+                raise ValueError("an image has no size, or components without samples")
+            if h * w * count > MOST_SAMPLES:
+                raise ValueError(f"an image has over {MOST_SAMPLES} samples")
             out |= {"lossless": marker == 0xC3, "depth": depth, "height": h, "width": w, "parts": [tuple(body[6 + 3 * k : 9 + 3 * k]) for k in range(count)]}
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("this JPEG process isn't supported")
@@ -322,6 +329,8 @@ def decode_baseline(jpeg: bytes, head: dict) -> np.ndarray:
                     grid[_ZIGZAG] = block * head["quant"][q]
                     y, x = ((mcu // across) * (sampling & 15) + v) * 8, ((mcu % across) * (sampling >> 4) + h) * 8
                     planes[c][y : y + 8, x : x + 8] = _BASIS.T @ grid.reshape(8, 8) @ _BASIS
+    if any(hmax % (s >> 4) or vmax % (s & 15) for _, s, _ in parts):
+        raise ValueError("components of fractional size aren't supported")
     full = [np.repeat(np.repeat(p, vmax // (s & 15), 0), hmax // (s >> 4), 1) for p, (_, s, _) in zip(planes, parts)]
     return np.clip(np.rint(np.stack(full, -1) + 128), 0, 255).astype(np.uint8)[: head["height"], : head["width"]]
 
@@ -413,7 +422,7 @@ def clip_rows(table: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     shots, diff = detect_shots(decode_frames([media.as_py()[a:b] for a, b in info["frames"]]))
                     rate = info["rate"] or 1.0
                     out += [(key, k, a, b - a, a / rate, b / rate, max(diff[a:b]), None) for k, (a, b) in enumerate(shots)]
-                except (ValueError, IndexError, KeyError, struct.error, StopIteration) as e:
+                except (ArithmeticError, AttributeError, LookupError, TypeError, ValueError, struct.error, StopIteration) as e:  # whatever a damaged file may lead to
                     out.append((key, None, None, None, None, None, None, str(e) or type(e).__name__))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string()))], ["id", "clip", "first_frame", "frames", "start_s", "end_s", "peak_difference", "error"])

@@ -1,5 +1,8 @@
+import hashlib
 import os
+import random
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -86,6 +89,60 @@ def test_stored_texts(spark, documents, odd_rows):
     assert media.stored_texts(documents([])).count() == 0
 
 
+def plain_feature(payload):
+    """Clips of a payload by the definition, without the module's arrays: 8 rows of 192 samples a frame, 25 a second."""
+    size = 8 * 192
+    frames = [payload[k : k + size] + bytes(max(0, size - len(payload[k : k + size]))) for k in range(0, len(payload), size)]
+    hists = []
+    for f in frames:
+        h = [0] * 32
+        for x in f:
+            h[x >> 3] += 1
+        hists.append([n / size for n in h])
+    diff = [0.0] + [sum(abs(a - b) for a, b in zip(x, y)) / 2 for x, y in zip(hists, hists[1:])]
+    cuts = [0]
+    for k in range(1, len(frames)):
+        past = diff[max(1, k - 8) : k]
+        mean = sum(past) / len(past) if past else 0.0
+        limit = mean + 3 * (sum((x - mean) ** 2 for x in past) / len(past)) ** 0.5 if past else 0.0
+        if diff[k] >= 0.15 and diff[k] > limit:
+            cuts.append(k)
+    return ";".join(f"{a / 25:.2f}-{b / 25:.2f}@{round(1000 * max(diff[a:b]))}" for a, b in zip(cuts, [*cuts[1:], len(frames)]))
+
+
+def test_every_column_by_brute_force(spark, documents):
+    rng = random.Random(8)
+    texts = [None, "", "a" * 192, "b" * 193, "ü" * 1000, "".join(rng.choice("abc \n") for _ in range(4000)), "x" * 5000 + "\u7fff" * 4000 + "y" * 3000, " ".join(str(rng.random()) for _ in range(900))]
+    got = {r.doc_id: r for r in media.stored_texts(documents(list(enumerate(texts)))).collect()}
+    for k, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data + b" " * (192 if not data else -len(data) % 192)
+        r, stored = got[k], media.store_text(data)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and stored[:4] == b"RIFF" and stored[8:12] == b"AVI "
+        assert r.feature == plain_feature(payload)
+
+
+def test_damaged_media_give_error_rows(spark):
+    frames = [media._frame(media.encode_rows(np.full((8, 192), v, np.uint8)), 8) for v in (10, 200)]
+    good = media.write_avi(frames, 192, 8)
+    at = good.index(b"\xff\xc3")
+    bad = [good[: at + 11] + b"\x00" + good[at + 12 :], good[: at + 5] + b"\xff\xff\xff\xff" + good[at + 9 :], good[: at + 5] + b"\x00\x00" + good[at + 7 :]]
+    blocks = np.zeros((1, 64), int)
+    jpeg = _baseline(blocks, 1, 1)
+    c0 = jpeg.index(b"\xff\xc0")
+    bad.append(media.write_avi([jpeg[: c0 + 11] + b"\x00" + jpeg[c0 + 12 :]], 8, 8))
+    bad.append(media.write_avi([jpeg[: c0 + 5] + b"\xff\xff\xff\xff" + jpeg[c0 + 9 :]], 8, 8))
+    rng = random.Random(1)
+    for _ in range(150):
+        x = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            x[rng.randrange(len(x))] = rng.randrange(256)
+        bad.append(bytes(x[: rng.randrange(len(x) // 2, len(x) + 1)]))
+    out = media.clip_rows(spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(bad)], "id int, m binary"), "id", "m").collect()
+    assert {int(r.id) for r in out} == set(range(len(bad))) and all(any(r.error for r in out if r.id == str(k)) for k in range(5))
+
+
 def test_clip_rows(spark):
     frames = [media._frame(media.encode_rows(np.full((8, 192), v, np.uint8)), 8) for v in (10, 10, 10, 200, 200)]
     avi = media.write_avi(frames, 192, 8)
