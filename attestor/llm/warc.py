@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import file_system, fresh_path, only, tidy, utf8, written
+from attestor.llm.shared import beside, file_system, fresh_path, kept, located, only, tidy, utf8, written
 
 #: Fixed values of the format: magic of the dictionary's frame, and magic of a Zstandard frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -158,17 +158,17 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """page_id, url, data, digest and refers_to (the smallest page_id of equal payloads, or null).
 
     Only payloads of at least ``least_bytes`` are revisited. Rows that share the smallest id all count as
-    the response. Null ids are never referred to. First ids come from a grouped minimum and are joined back,
-    so copies of one payload are never gathered; a skewed join side can be split.
+    the response. Null ids are never referred to. First ids come from a grouped minimum over digests; what is joined
+    back to the payloads is, for each revisit, its row's place and the id it refers to, so copies of one payload never
+    meet.
     """
-    rows = only(pages, id_col, url_col, html_col).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(html_col).alias("data"))
+    pages, at = located(pages)
+    rows = only(pages, *at, id_col, url_col, html_col).select(*at, F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(html_col).alias("data"))
     rows = rows.withColumn("digest", F.sha2("data", 256))
-    large = F.octet_length("data") >= least_bytes
-    first = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1 and low is not null").select(F.col("digest").alias("k"), "low")
-    # short payloads match nothing; their join keys are spread
-    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
-    joined = rows.withColumn("k", key).join(first, "k", "left")
-    return joined.select("page_id", "url", "data", "digest", F.when(~F.col("low").eqNullSafe(F.col("page_id")), F.col("low")).alias("refers_to"))
+    slim = rows.where(F.octet_length("data") >= least_bytes).select(*at, "page_id", "digest")
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1 and low is not null").select("digest", "low")
+    refs = kept(slim.join(first, "digest").where(~F.col("low").eqNullSafe(F.col("page_id"))).select(*at, F.col("low").alias("refers_to")))
+    return beside(rows, refs, at, "left").select("page_id", "url", "data", "digest", "refers_to")
 
 
 def write_archives(records: DataFrame, archive_bytes: int = 16 << 20, sample_bytes: int = 1 << 20) -> DataFrame:
