@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.shared import file_system, fresh_path, only, tidy, utf8, written
+from attestor.llm.shared import file_system, fresh_path, located, only, tidy, utf8, written
 from attestor.llm.tokens import encoder
 
 #: Fixed values of the format: reflected Castagnoli polynomial and the mask's addend.
@@ -153,18 +153,22 @@ def read_at(path: str, entries: np.ndarray) -> Iterator[bytes]:
             yield _verified([raw[12 : 12 + n]], [raw[:8]], [(crc, int.from_bytes(raw[12 + n :], "little"))], path)[0]
 
 
-def write_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", rows_a_file: int = 20_000) -> DataFrame:
     """Encode whole texts and write them in ascending id order as record files with indexes.
 
     Returns the manifest, one row for each file: part (files ascend in id order), path, index_path, records,
-    tokens. Null texts are empty; a null id sorts first and is stored as null. Rows of equal id are ordered by
-    a hash of their text. Equal rows are kept, each as its own record. An empty table gives no files. Range
-    partitions are cut by id, hash and a row number, so that one id may hold any share of the rows.
+    tokens. Null texts are empty; a null id sorts first and is stored as null. Rows of equal id are in the order of
+    their places in the input. Equal rows are kept, each as its own record. An empty table gives no files. Range
+    partitions are cut by id and place, so that one id may hold any share of the rows, and there are as many as keep a
+    file at about ``rows_a_file`` records; the pass that samples their bounds reads no texts.
     """
     spark = docs.sparkSession
     base = fresh_path(spark, "records")
-    rows = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data")).withColumn("h", F.xxhash64("data")).withColumn("r", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h", "r").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "r").select("doc_id", "data")
+    docs, at = located(docs)
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-docs.count() // rows_a_file))
+    order = [F.col("doc_id").asc_nulls_first(), *at]
+    rows = only(docs, id_col, text_col, *at).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("data"), *at)
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "data")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, name = TaskContext.get().partitionId(), f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}"
@@ -210,12 +214,10 @@ def write_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 def scan_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Read record files back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The manifest has a row for each file, so its running total is made on the driver.
+    The running total that files begin at is a window over the manifest, which has a row for each file.
     """
-    files, base = [], 0
-    for r in manifest.orderBy("part").toLocalIterator():
-        files.append((r["path"], base))
-        base += r["tokens"]
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = manifest.select("path", before.cast("long").alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,8 +233,7 @@ def scan_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 if out:
                     yield _columns(out)
 
-    table = spark.createDataFrame(files, "path string, base long")
-    return table.repartition(max(1, len(files))).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.repartition(max(1, min(manifest.count(), 10_000))).mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _columns(rows: list[tuple]) -> pa.RecordBatch:
