@@ -3,11 +3,17 @@
 The relations are those of a plain query - count tables of n-grams, partitioned by hash and joined to the
 n-grams of the documents, then summed per document - but their rows travel in packed blocks. A block of
 documents (a file in the shared folder) sends each hash range the sorted, delta-coded hashes of its distinct
-n-grams with their counts; the range sums them, and answers each block with the totals of those of its n-grams
-that occur ``least`` times or more, named by their places in what the block had sent. Blocks and answers meet by block, where every token is scored.
+n-grams with their counts; the range sums them, and answers each block with the totals of those of its n-grams that
+occur in other blocks too, named by their places in what the block had sent; of all others the block's own count is
+the total. Blocks and answers meet by block, where every token is scored. Work grows with the n-grams: a block sends
+nothing to ranges in which it has none.
+
+A document can be held out of the counts it is scored with, so that its own words don't speak for it: then c(.) below
+are the corpus's counts less the document's, and what it shares with other documents scores high.
 
 S(w | u v) = c(u v w) / c(u v) if c(u v w) >= least; else alpha * S(w | v); S(w | v) likewise with c(v w) / c(v);
-S(w) = c(w) / N. A document's first tokens start at the order that their context allows.
+S(w) = c(w) / N, a word that is nowhere else counting as one. A document's first tokens start at the order that their
+context allows.
 """
 
 from __future__ import annotations
@@ -129,14 +135,16 @@ def _grams(counts: list[int], ids: bytes, hashes: bytes, order: int) -> tuple[np
     return depth, gram_hashes(np.frombuffer(hashes, "<u8")[unpack(ids)], depth, order)
 
 
-def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each hash range begins among sorted keys, and the end."""
-    return np.searchsorted(keys, [(r << BITS) // ranges for r in range(ranges + 1)])
+def _ranges(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which hash ranges sorted keys lie in, and where each of these begins."""
+    own = keys // -(-(1 << BITS) // ranges)
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    return own[first], first
 
 
-def count_answers(blocks: DataFrame, order: int, least: int, ranges: int) -> DataFrame:
-    """Rows (block, n, range, places, totals): each block's n-grams that occur ``least`` times or more in the
-    corpus, by their places among the sorted distinct hashes that the block has in the range.
+def count_answers(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
+    """Rows (block, n, range, places, totals): each block's n-grams that occur in other blocks too, by their places among
+    the sorted distinct hashes that the block has in the range, with their counts in the corpus.
 
     N-gram hashes are dealt to ``ranges`` equal ranges; a range holds a bounded number of keys, as a hot
     n-gram is one key of each block.
@@ -148,8 +156,8 @@ def count_answers(blocks: DataFrame, order: int, least: int, ranges: int) -> Dat
                 name, (_, counts, ids, hashes) = batch.column(0)[k].as_py(), _stored(batch.column(1)[k].as_py())
                 for n, (_, keys) in enumerate(_grams(counts, ids, hashes, order)[1], 1):
                     keys, times = np.unique(keys, return_counts=True)
-                    cuts = _cuts(keys, ranges)
-                    out = [(r, name, n, pack(np.diff(keys[a:b], prepend=np.int64(0))), pack(times[a:b])) for r, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
+                    own, first = _ranges(keys, ranges)
+                    out = [(r, name, n, pack(np.diff(keys[a:b], prepend=np.int64(0))), pack(times[a:b])) for r, a, b in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)])]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["range", "block", "n", "keys", "times"])
 
@@ -163,9 +171,9 @@ def count_answers(blocks: DataFrame, order: int, least: int, ranges: int) -> Dat
             distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             totals, at = np.bincount(inverse, times, len(distinct)).astype(np.int64)[inverse], 0
             for r, k in zip(rows, keys):
-                mine = totals[at : at + len(k)]
+                mine, own = totals[at : at + len(k)], times[at : at + len(k)]
                 at += len(k)
-                good = np.flatnonzero(mine >= least)
+                good = np.flatnonzero(mine > own)
                 if len(good):
                     out.append((names[r], n, here, pack(np.diff(good, prepend=0)), pack(mine[good])))
         return pa.Table.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "n", "range", "places", "totals"])
@@ -175,11 +183,12 @@ def count_answers(blocks: DataFrame, order: int, least: int, ranges: int) -> Dat
     return asked.groupBy("range").applyInArrow(answer, "block string, n int, range int, places binary, totals binary")
 
 
-def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = _BLOCK_BYTES, range_keys: int = _RANGE_KEYS) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 1, held_out: bool = False, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = _BLOCK_BYTES, range_keys: int = _RANGE_KEYS) -> DataFrame:
     """doc_id, n_tokens, log_score (sum of natural logs over tokens), mean_log (null without tokens).
 
     Words are runs of ASCII letters (folded), digits and non-ASCII characters. Counts come from all rows,
-    repeated rows included. Null and empty texts have no tokens and log_score 0. Null ids are kept. An empty
+    repeated rows included; with ``held_out``, a row is scored with the counts of all others. N-grams that occur less
+    than ``least`` times back off. Null and empty texts have no tokens and log_score 0. Null ids are kept. An empty
     table gives no rows.
     """
     if least < 1 or order < 1:
@@ -187,31 +196,32 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: i
     blocks = token_blocks(docs, id_col, text_col, block_bytes)
     total = blocks.agg(F.sum("tokens").alias("n")).first()["n"] or 0
     ranges = max(1, -(-total * order // range_keys))
-    answers = count_answers(blocks, order, max(2, least), ranges)
-    # a total below two is one: nothing is sent for it
-    floor = least
+    answers = count_answers(blocks, order, ranges)
 
     def score(found: pa.Table) -> pa.Table:
         ids, counts, numbers, hashes = _stored(next(p for p in found.column("path").to_pylist() if p))
         depth, grams = _grams(counts, numbers, hashes, order)
         n, size = found.column("n").to_numpy(), len(depth)
+        owner = np.repeat(np.arange(len(counts)), counts)
         log_c = np.full((order + 1, size), -np.inf)  # log count of the n-gram that ends at a token; -inf below the floor
-        log_c[0] = np.log(max(total, 1))
+        log_c[0] = np.log(np.maximum(total - np.array(counts, np.int64)[owner], 1) if held_out else max(total, 1))
         for k, (at, keys) in enumerate(grams, 1):
-            distinct, inverse = np.unique(keys, return_inverse=True)
-            begin, totals = _cuts(distinct, ranges), np.ones(len(distinct), np.int64)
+            distinct, inverse, totals = np.unique(keys, return_inverse=True, return_counts=True)
+            totals, begin = totals.astype(np.int64), dict(zip(*(x.tolist() for x in _ranges(distinct, ranges))))
             for r in np.flatnonzero(n == k).tolist():
                 places = np.cumsum(unpack(found.column("places")[r].as_py()))
                 totals[begin[found.column("range")[r].as_py()] + places] = unpack(found.column("totals")[r].as_py())
             c = totals[inverse]
-            log_c[k, at] = np.where((c >= floor) | (k == 1), np.log(c), -np.inf)
+            if held_out:
+                _, same, own = np.unique(owner[at] * len(distinct) + inverse, return_inverse=True, return_counts=True)
+                c = c - own[same]
+            log_c[k, at] = np.where((c >= least) | (k == 1), np.log(np.maximum(c, 1)), -np.inf)
         value = np.full(size, np.nan)
         for k in range(order, 0, -1):
             steps = np.minimum(depth + 1, order) - k  # backed off so often when order k answers
             context = np.r_[0.0, log_c[k - 1, :-1]] if k > 1 else log_c[0]
             use = np.isnan(value) & (depth >= k - 1) & np.isfinite(log_c[k])
             value[use] = log_c[k, use] - context[use] + steps[use] * np.log(alpha)
-        owner = np.repeat(np.arange(len(counts)), counts)
         sums = np.bincount(owner, value, len(counts))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
@@ -224,20 +234,23 @@ WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
 ), tokens AS (
   SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM words, unnest(range(1, len(w) + 1)) AS t(i)
-), c1 AS (SELECT c AS x, count(*) AS n FROM tokens GROUP BY 1),
-c2 AS (SELECT b, c, count(*) AS n FROM tokens WHERE b IS NOT NULL GROUP BY 1, 2),
-c3 AS (SELECT a, b, c, count(*) AS n FROM tokens WHERE a IS NOT NULL GROUP BY 1, 2, 3),
-total AS (SELECT count(*)::DOUBLE AS n FROM tokens),
+), d1 AS (SELECT doc_id, c AS x, count(*) AS n FROM tokens GROUP BY 1, 2),
+d2 AS (SELECT doc_id, b, c, count(*) AS n FROM tokens WHERE b IS NOT NULL GROUP BY 1, 2, 3),
+d3 AS (SELECT doc_id, a, b, c, count(*) AS n FROM tokens WHERE a IS NOT NULL GROUP BY 1, 2, 3, 4),
+o1 AS (SELECT doc_id, x, sum(n) OVER (PARTITION BY x) - n AS n FROM d1),
+o2 AS (SELECT doc_id, b, c, sum(n) OVER (PARTITION BY b, c) - n AS n FROM d2),
+o3 AS (SELECT doc_id, a, b, c, sum(n) OVER (PARTITION BY a, b, c) - n AS n FROM d3),
+others AS (SELECT doc_id, greatest((SELECT sum(len(w)) FROM words) - len(w), 1) AS n FROM words),
 scored AS (
   SELECT t.doc_id,
-    CASE WHEN c3.n >= 2 THEN ln(c3.n) - ln(ab.n)
-         WHEN bc.n >= 2 THEN ln(bc.n) - ln(ob.n) + CASE WHEN t.a IS NULL THEN 0 ELSE ln(0.4) END
-         ELSE ln(oc.n) - ln(total.n) + CASE WHEN t.b IS NULL THEN 0 WHEN t.a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS s
-  FROM tokens t CROSS JOIN total JOIN c1 oc ON oc.x = t.c
-  LEFT JOIN c3 ON c3.a = t.a AND c3.b = t.b AND c3.c = t.c
-  LEFT JOIN c2 ab ON ab.b = t.a AND ab.c = t.b
-  LEFT JOIN c2 bc ON bc.b = t.b AND bc.c = t.c
-  LEFT JOIN c1 ob ON ob.x = t.b
+    CASE WHEN o3.n >= 1 THEN ln(o3.n) - ln(ab.n)
+         WHEN bc.n >= 1 THEN ln(bc.n) - ln(ob.n) + CASE WHEN t.a IS NULL THEN 0 ELSE ln(0.4) END
+         ELSE ln(greatest(oc.n, 1)) - ln(others.n) + CASE WHEN t.b IS NULL THEN 0 WHEN t.a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS s
+  FROM tokens t JOIN others USING (doc_id) JOIN o1 oc ON oc.doc_id = t.doc_id AND oc.x = t.c
+  LEFT JOIN o3 ON o3.doc_id = t.doc_id AND o3.a = t.a AND o3.b = t.b AND o3.c = t.c
+  LEFT JOIN o2 ab ON ab.doc_id = t.doc_id AND ab.b = t.a AND ab.c = t.b
+  LEFT JOIN o2 bc ON bc.doc_id = t.doc_id AND bc.b = t.b AND bc.c = t.c
+  LEFT JOIN o1 ob ON ob.doc_id = t.doc_id AND ob.x = t.b
 )
 SELECT d.doc_id, count(s)::BIGINT AS n_tokens, round(coalesce(sum(s), 0), 3) AS log_score, round(avg(s), 6) AS mean_log
 FROM documents d LEFT JOIN scored USING (doc_id) GROUP BY d.doc_id

@@ -51,7 +51,7 @@ def op7_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = backoff.backoff_scores(_table(spark, sf_dir, "documents"), order=3, alpha=0.4, least=2)
+    out = backoff.backoff_scores(_table(spark, sf_dir, "documents"), order=3, alpha=0.4, held_out=True)
     return out.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"), F.round("mean_log", 6).alias("mean_log"))
 
 
