@@ -123,7 +123,8 @@ def console_summary(schemas: DataFrame, fields: DataFrame, first_errors: DataFra
     """Lines (schema_name, line_no, line) of the worst ``top_n`` fields of each schema that has any. ``first_errors``: the
     most frequent error type by (schema, field), of ties the one seen first (see ``first_seen_error``)."""
     worst = ranked_fields(fields).where(F.col("place") <= top_n).join(first_errors, ["schema_name", "field_path"], "left")
-    line = F.concat(F.lit("    "), F.rpad("field_path", F.greatest(F.lit(24), F.length("field_path")), F.lit(" ")), F.format_string(" hits=%s failed_runs=%s recovery=%s  top_error=%s", F.rpad(F.col("total_occurrences").cast("string"), 3, " "), F.rpad(F.col("failed_runs_with_problem").cast("string"), 3, " "), percent(F.col("recovery_rate")), F.coalesce("top_error", F.lit(_NONE))))
+    padded = lambda c: F.rpad(F.col(c).cast("string"), F.greatest(F.lit(3), F.length(F.col(c).cast("string"))), F.lit(" "))
+    line = F.concat(F.lit("    "), F.rpad("field_path", F.greatest(F.lit(24), F.length("field_path")), F.lit(" ")), F.format_string(" hits=%s failed_runs=%s recovery=%s  top_error=%s", padded("total_occurrences"), padded("failed_runs_with_problem"), percent(F.col("recovery_rate")), F.coalesce("top_error", F.lit(_NONE))))
     head = schemas.join(fields.select("schema_name").distinct(), "schema_name", "left_semi")
     heads = head.select("schema_name", F.lit(0).alias("line_no"), F.format_string("  %s: %s success (%d/%d runs failed)", "schema_name", percent(F.col("success_rate")), "failed_runs", "total_runs").alias("line"))
     return heads.unionByName(worst.select("schema_name", F.col("place").alias("line_no"), line.alias("line")))
