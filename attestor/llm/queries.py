@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import backoff, decontaminate, langid, linededup, media, packing, records, simhash, toxicity, warc
-from attestor.llm.shared import fold_of
+from attestor.llm.shared import fold_of, gathered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stored_texts(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return gathered(media.stored_texts(docs), docs)
 
 
 def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, distance=4)
+    docs = _table(spark, sf_dir, "documents")
+    return gathered(simhash.near_duplicates(docs, words=4, distance=4), docs)
 
 
 def op3_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,24 +32,26 @@ def op3_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    docs = _table(spark, sf_dir, "documents")
+    return gathered(decontaminate.contamination_report(docs, _table(spark, sf_dir, "benchmark")), docs)
 
 
 def op5_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold_of("doc_id", 5) != 0))
-    out = toxicity.score(docs, model)
+    out = gathered(toxicity.score(docs, model), docs)
     return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_sentence", "worst_score", "worst_text")
 
 
 def op6_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    docs = _table(spark, sf_dir, "documents")
+    return gathered(linededup.dedup_lines(docs), docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold_of("doc_id", 4) != 2))
-    return langid.predict(docs, model).select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return gathered(langid.predict(docs, model), docs).select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

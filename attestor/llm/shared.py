@@ -98,6 +98,13 @@ def written(df: DataFrame, name: str, rows: int | None = None, heavy: bool = Fal
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """Results of whole texts in files of some size: as many partitions as ``docs`` has rows for, and two for each core at
+    least."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(2 * cores, -(-docs.count() // HEAVY_ROWS_A_FILE)))
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A table that is read more than once before its results are written: executors keep it on their disks, and what a
     lost one had is made anew. ``drop_kept`` lets go of it. Plans grow with kept tables made of kept tables: write one
