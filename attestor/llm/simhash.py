@@ -36,6 +36,8 @@ _KEYED_ROWS = 20_000
 #: A soft key of more rows is crowded: its rows first meet their leaders alone, so that a group of copies has about as
 #: many pairs as members.
 _CROWD = 2
+#: Rows that crowded keys connect, up to so many, are compared at once; more are compared key by key.
+_CLUSTER = 100_000
 #: Rows of a crowded key that a task holds at a time.
 _HELD, _BLOCK = 1 << 16, 2048
 
@@ -335,14 +337,10 @@ def _sketched(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(tidy(run), "file long, row long, id long, set_ binary, sketch binary, signature binary")
 
 
-def _meetings(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), a < b, of nodes (node, sketch) that share a soft key and have near signs; rows of crowded keys.
+def _keyed(sketches: DataFrame) -> DataFrame:
+    """Rows (key, node, sign) of all soft keys of nodes (node, sketch)."""
 
-    All such pairs of a key of up to ``_CROWD`` rows are there. Of a crowded key only pairs with leaders are, and
-    its rows (key, node, sign) are returned for ``_left_apart``.
-    """
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             x = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int8).reshape(-1, softkeys.DIRECTIONS)
             live = x.any(1)
@@ -353,54 +351,68 @@ def _meetings(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
             node, sign = (np.repeat(c, keys.shape[1]) for c in (node, softkeys.signs(x)))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), node, sign)], ["key", "node", "sign"])
 
+    return sketches.mapInArrow(tidy(run), "key long, node long, sign long")
+
+
+def _meetings(sketches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of nodes (node, sketch): pairs (a, b), a < b, that share a soft key and have near signs; further pairs that share
+    a key; and rows (node, sign) of crowded keys.
+
+    All near pairs of a key of up to ``_CROWD`` rows are there. Of a crowded key only pairs with leaders are; with the
+    further ones they connect all its rows, which ``_left_apart`` compares.
+    """
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = ["key", "sign", "a", "b"], set()
+        names, seen = ["kind", "a", "b"], set()
 
-        def out(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key, node, sign, fresh = rows
+        def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+
+        def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, node, sign, fresh = part
             _, at, n = np.unique(key, return_index=True, return_counts=True)
             crowded = np.repeat((n > _CROWD) | ~np.logical_and.reduceat(fresh, at), n)
-            pairs: set[tuple[int, int]] = set()
-            for part, meeting in ((~crowded, softkeys.close_pairs), (crowded, softkeys.stars)):
-                a, b = (node[part][k] for k in meeting(key[part], sign[part]))
-                pairs.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-            pairs -= seen
-            if len(seen) > _MOST_KNOWN:
-                seen.clear()
-            seen.update(pairs)
-            if pairs:
-                none = pa.nulls(len(pairs), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, *[pa.array(c, pa.int64()) for c in zip(*pairs)]], names)
-            crowded &= fresh
-            if crowded.any():
-                yield pa.RecordBatch.from_arrays([*[pa.array(c[crowded]) for c in (key, sign, node)], pa.nulls(int(crowded.sum()), pa.int64())], names)
-
-        kept = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+            few, many = node[~crowded], node[crowded]
+            a, b = (few[k] for k in softkeys.close_pairs(key[~crowded], sign[~crowded]))
+            c, d, e, f = (many[k] for k in softkeys.stars(key[crowded], sign[crowded]))
+            for kind, x, y in ((0, np.r_[a, c], np.r_[b, d]), (1, e, f)):
+                pairs = {(kind, *p) for p in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist())} - seen
+                if len(seen) > _MOST_KNOWN:
+                    seen.clear()
+                seen.update(pairs)
+                if pairs:
+                    _, x, y = zip(*pairs)
+                    yield rows(kind, np.array(x, np.int64), np.array(y, np.int64))
+            if len(many):
+                own, first = np.unique(many, return_index=True)
+                yield rows(2, own, sign[crowded][first])
+
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
         for batch in _slices(batches, 10_000):
             new = [*[c.to_numpy() for c in batch.columns], np.ones(batch.num_rows, bool)]
-            kept = [np.concatenate(x) for x in zip(kept, new)]
-            if not len(kept[0]):
+            held = [np.concatenate(x) for x in zip(held, new)]
+            if not len(held[0]):
                 continue
             # the last key may go on in the next batch
-            whole = kept[0] != kept[0][-1]
+            whole = held[0] != held[0][-1]
             if whole.any():
-                order = softkeys.in_order(kept[0][whole], kept[1][whole])
-                yield from out([x[whole][order] for x in kept])
-                kept = [x[~whole] for x in kept]
-            if len(kept[0]) > _HELD:
+                order = softkeys.in_order(held[0][whole], held[1][whole])
+                yield from out([x[whole][order] for x in held])
+                held = [x[~whole] for x in held]
+            if len(held[0]) > _HELD:
                 # a part of it is crowded in any case; its leader stays to meet the other parts
-                order = softkeys.in_order(*kept[:2])
-                kept = [x[order] for x in kept]
-                yield from out(kept)
-                kept = [*[x[:1] for x in kept[:3]], np.zeros(1, bool)]
-        if len(kept[0]):
-            order = softkeys.in_order(*kept[:2])
-            yield from out([x[order] for x in kept])
+                order = softkeys.in_order(*held[:2])
+                held = [x[order] for x in held]
+                yield from out(held)
+                held = [*[x[:1] for x in held[:3]], np.zeros(1, bool)]
+        if len(held[0]):
+            order = softkeys.in_order(*held[:2])
+            yield from out([x[order] for x in held])
 
-    keys = sketches.mapInArrow(tidy(keyed), "key long, node long, sign long").repartition("key").sortWithinPartitions("key")
-    rows = kept(keys.mapInArrow(tidy(meet), "key long, sign long, a long, b long"))
-    met = written(rows.where("key is null").select("a", "b").distinct(), "met", rows.count())
-    return met, rows.where("key is not null").select("key", F.col("a").alias("node"), "sign")
+    keys = _keyed(sketches).repartition("key").sortWithinPartitions("key")
+    found = kept(keys.mapInArrow(tidy(meet), "kind int, a long, b long"))
+    met = written(found.where("kind = 0").select("a", "b").distinct(), "met", found.count())
+    return met, found.where("kind = 1").select("a", "b"), found.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("sign")).distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -454,7 +466,7 @@ def _left_apart(crowded: DataFrame, roots: DataFrame, signatures: DataFrame, sim
     rows = rows.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "sign", "root")
     names = "key long, lo long, hi long, side long, node long, sign long, root long"
     rows = kept(rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(partnered), names))
-    signatures = signatures.join(rows.select("node").distinct(), "node", "left_semi")
+    signatures = kept(beside(signatures, kept(rows.select("node").distinct()), "node", "left_semi"))
     rows = rows.join(signatures, "node").select(*group, "side", "node", "sign", "root", "signature")
     rows = rows.repartition(*group).sortWithinPartitions(*group)
     return written(rows.mapInArrow(tidy(estimated), "a long, b long, near double").distinct(), "estimates")
@@ -509,11 +521,12 @@ def _similar(sketches: DataFrame, signatures: DataFrame, texts: Callable[[DataFr
 
     Each node is first verified against the least node it met; pairs that this leaves in different
     components are verified after that. So a group of n copies needs about n comparisons, not all pairs. Last,
-    rows of crowded keys that are still in different components are compared, each with each.
+    rows that crowded keys connect and that are still in different components are compared, each with each; only
+    pairs that may be similar leave the task.
     """
-    met, crowded = _meetings(sketches)
+    met, further, crowded = _meetings(sketches)
     ids = met.select(F.col("a").alias("node")).union(met.select("b")).distinct()
-    every, signatures = signatures, kept(signatures.join(ids, "node", "left_semi"))
+    every, signatures = signatures, kept(beside(signatures, kept(ids), "node", "left_semi"))
     first = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _verified(first, signatures, texts, words, similarity)
     roots = components(links, "similar-cc")
@@ -525,10 +538,22 @@ def _similar(sketches: DataFrame, signatures: DataFrame, texts: Callable[[DataFr
         roots = components(links, "similar-cc")
     if crowded.isEmpty():
         return roots
-    rest = _decided(_left_apart(crowded, roots, every, similarity), texts, words, similarity)
+    rest = _decided(_left_apart(_clustered(crowded, met.select("a", "b").union(further), sketches), roots, every, similarity), texts, words, similarity)
     return roots if rest.isEmpty() else components(links.union(rest), "similar-cc")
 
 
+def _clustered(crowded: DataFrame, edges: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows (key, node, sign) of crowded rows (node, sign), so that all that share a crowded key share a key here: what the
+    edges connect is one key, if it isn't more than ``_CLUSTER`` rows, and the soft keys themselves stand for the rest."""
+    clusters = components(edges, "clusters").select(F.col("node"), F.col("root").alias("key"))
+    rows = kept(crowded.join(clusters, "node", "left").select(F.coalesce("key", "node").alias("key"), "node", "sign"))
+    large = kept(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > _CLUSTER).select("key"))
+    if large.isEmpty():
+        return rows
+    nodes = beside(rows, large, "key", "left_semi").select("node")
+    return beside(rows, large, "key", "left_anti").union(_keyed(sketches.join(nodes, "node", "left_semi")))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay when one document, that of the smallest id, is kept of each group of near copies.
 

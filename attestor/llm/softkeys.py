@@ -111,14 +111,16 @@ def close_pairs(key: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(a), np.concatenate(b)
 
 
-def stars(key: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Some pairs of rows (as places, rows sorted by key): leaders and members, at most as many as rows.
+def stars(key: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Some pairs of rows (as places, rows sorted by key): leaders and members, and first leaders and later ones.
 
     The first row of a key leads; those whose signs are near it are its members; the first of the others
     leads next, until none is left. Members don't meet one another here: this joins the bulk of a group of
-    copies, and what it leaves apart is for the caller to compare.
+    copies, and what it leaves apart is for the caller to compare. Both lists together connect all rows of a key.
     """
-    active, lead, member = np.arange(len(key)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    none = np.zeros(0, np.int64)
+    active, lead, member, head, later = np.arange(len(key)), [none], [none], [none], [none]
+    begin = np.searchsorted(key, key, "left")
     while len(active):
         k = key[active]
         first = np.r_[True, k[1:] != k[:-1]]
@@ -126,8 +128,11 @@ def stars(key: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = np.bitwise_count((sign[active] ^ sign[leader]).view(np.uint64)) <= MOST_SIGNS
         lead.append(leader[near & ~first])
         member.append(active[near & ~first])
+        other = active[first][begin[active[first]] != active[first]]
+        head.append(begin[other])
+        later.append(other)
         active = active[~(near | first)]
-    return np.concatenate(lead), np.concatenate(member)
+    return tuple(map(np.concatenate, (lead, member, head, later)))
 
 
 def apart(sign: np.ndarray, root: np.ndarray, side: np.ndarray, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -154,8 +154,10 @@ def test_soft_keys_meet_near_the_limit():
     assert met >= 92
 
 
-def test_pairs_inside_a_crowded_group_are_found(spark, documents, tmp_path):
+@pytest.mark.parametrize("at_once", [100_000, 20])
+def test_pairs_inside_a_crowded_group_are_found(spark, documents, tmp_path, monkeypatch, at_once):
     """A hub of edits that are above the limit to their original alone, and below it to one another."""
+    monkeypatch.setattr(simhash, "_CLUSTER", at_once)
     rng = random.Random(11)
     base = [f"t{k}" for k in range(400)]
     texts = []
