@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 SMALL, TINY = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
-_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, data string, fp string, h int, key long, score string, root long, shard string, n_lines string, g int"
+_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, data string, fp string, h int, key long, score string, root long, shard string, n_lines string, g int, line_all_ string, line_key_ int, line_drop_ string, file_key_ string, file_row_ int, row_key_ int, node string, id int, file string, row int, dk int, path string"
 
 
 @pytest.fixture(scope="session")
@@ -10,7 +10,7 @@ def documents(spark):
     """Makes a documents table of (doc_id, text) rows with extra columns whose names clash with inner ones."""
 
     def make(rows, path=None):
-        df = spark.createDataFrame([(i, t, "en", None, None, "x", "y", 1, None, "s", 5, "z", "n", 9) for i, t in rows], _SCHEMA)
+        df = spark.createDataFrame([(i, t, "en", None, None, "x", "y", 1, None, "s", 5, "z", "n", 9, "u", 2, None, "f", 3, 4, "v", None, "w", 5, 6, None) for i, t in rows], _SCHEMA)
         if path is not None:
             df.write.mode("overwrite").parquet(str(path))
             df = spark.read.parquet(str(path))

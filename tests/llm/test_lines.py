@@ -25,6 +25,7 @@ def brute(rows, min_lines=3, min_words=50):
 def check(documents, rows, **options):
     got = linededup.dedup_lines(documents(rows), **options).collect()
     assert sorted((str(r.doc_id), int(r.n_lines), r.n_removed, r.text) for r in got) == brute(rows, **options)
+    assert all((r.line_all_, r.line_key_, r.file_key_) == ("u", 2, "f") for r in got)
     return got
 
 

@@ -35,6 +35,25 @@ def test_noisy_or_is_the_product_form():
     assert abs(model.document(b"bad bad. good")[0] - (1 - np.prod(1 - p))) < 1e-12
 
 
+def test_labels_may_be_null_repeated_or_at_odds(spark, documents, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, *more: drawn.append(sorted(zip(texts, y))))
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (3, 0), (3, 0), (4, 1), (5, 0)], "doc_id long, toxic int")
+    docs = documents([(1, "b"), (1, "a"), (2, "c"), (3, "d"), (3, "d"), (4, None), (5, "x" * 3000), (None, "e")])
+    toxicity.fit(docs, labels, most_chars=1000)
+    assert drawn == [[(b"a", 1), (b"d", 0)]]
+
+
+def test_score_is_noisy_or_over_sentences_by_brute_force(spark, documents):
+    texts = ["You are bad. All is well! Bad bad?", "well", None, "", "Bad " * 3000]
+    model = toxicity.Model(-1.5, {b"bad": 2.0, b"well": -1.0})
+    for r in toxicity.score(documents(list(enumerate(texts))), model).collect():
+        data = (texts[r.doc_id] or "").encode()
+        each = [1 / (1 + np.exp(-(-1.5 + sum(model.weights[w] for w in model.weights.keys() & set(toxicity.features(s)))))) for s in toxicity.sentences(data)]
+        assert abs(r.score - (1 - np.prod([1 - p for p in each]) if each else 0)) < 1e-9
+        assert r.worst_sentence == (int(np.argmax(each)) if each else None)
+
+
 def test_no_labels_give_a_constant_model(spark, documents):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(documents([(1, "a")]), empty)
@@ -57,7 +76,7 @@ def test_language_of_odd_rows(spark, documents, odd_rows, tmp_path):
     none = langid.fit(documents([]))
     assert langid.predict(documents([(1, "abc")]), none).collect()[0].lang_pred == "und"
     kept = langid.recognised(documents([(1, "der hund lief"), (2, None), (3, "...")], tmp_path / "d"), model)
-    assert [r.doc_id for r in kept.collect()] == [1]
+    assert [(r.doc_id, r.row_key_, r.file_row_) for r in kept.collect()] == [(1, 4, 3)]
 
 
 def test_small_languages_are_drawn(spark, monkeypatch):
@@ -77,3 +96,22 @@ def test_kernel_is_shared_distinct_grams():
     a, b = (set(langid.gram_codes(langid.normal(t)).tolist()) for t in ("abab", "abc"))
     x = model.presence([langid.normal("abab"), langid.normal("abc")])
     assert x[0] @ x[1] == len(a & b) and x[0].sum() == len(a)
+
+
+def test_scores_by_brute_force():
+    """Kernel by sets, then Nyström features and ridge regression in plain formulas."""
+    texts = ["the cat sat on the mat", "a dog ran to the park", "the sun is warm today", "der hund lief schnell", "die katze schlief lang", "das haus ist alt", "le chat dort bien", "la maison est belle"]
+    langs = ["en"] * 3 + ["de"] * 3 + ["fr"] * 2
+    model = langid.train(texts, langs, most_grams=10**6, landmarks=6, least_documents=1)
+    sets = {t: set(langid.gram_codes(langid.normal(t)).tolist()) for t in [*texts, "the house is old", "der alte hund"]}
+    known = set().union(*(sets[t] for t in texts))
+    kernel = lambda x, y: len(sets[x] & sets[y] & known) / np.sqrt(len(sets[x] & known) * len(sets[y] & known))
+    turns = [texts[k] for k in (3, 0, 6, 4, 1, 7)]  # languages in order, one of each in turn
+    values, vectors = np.linalg.eigh(np.array([[kernel(x, y) for y in turns] for x in turns]))
+    white = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    phi = np.array([[kernel(x, y) for y in turns] for x in texts]) @ white
+    target = np.array([[float(y == c) for c in ("de", "en", "fr")] for y in langs])
+    w = np.linalg.solve((phi - phi.mean(0)).T @ (phi - phi.mean(0)) + 1e-4 * len(phi) * np.eye(phi.shape[1]), (phi - phi.mean(0)).T @ (target - target.mean(0)))
+    for t in sets:
+        want = (np.array([kernel(t, y) for y in turns]) @ white - phi.mean(0)) @ w + target.mean(0)
+        assert np.abs(model.scores([langid.normal(t)])[0] - want).max() < 2e-3

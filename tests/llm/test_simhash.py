@@ -87,7 +87,7 @@ def test_one_of_each(spark, documents, tmp_path):
     text = " ".join(f"w{k}" for k in range(3000))
     rows = [(9, text), (3, text), (3, text), (4, text.replace("w200 ", "other ")), (5, "alone here"), (None, "x y"), (None, "x y"), (6, None), (7, "")]
     got = simhash.one_of_each(documents(rows, tmp_path / "d")).collect()
-    assert sorted(str(r.doc_id) for r in got) == ["3", "5", "6", "None"] and len(got[0]) == 14
+    assert sorted(str(r.doc_id) for r in got) == ["3", "5", "6", "None"] and len(got[0]) == 26 and all(r.file_key_ == 'f' and r.node == 'v' for r in got)
 
 
 def test_components_of_paths_and_stars(spark):
