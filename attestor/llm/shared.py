@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of narrow rows may be broadcast if it has at most so many.
-SMALL_ROWS = 150_000
+SMALL_ROWS = 50_000
 #: Rows of a file: of narrow tables, and of those whose rows are heavy to make.
 ROWS_A_FILE, HEAVY_ROWS_A_FILE = 200_000, 20_000
 ARROW_ROWS = 1000

@@ -421,7 +421,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in _slices(batches):
         if not batch.num_rows:
             continue
-        new = [np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, softkeys.BINS) if c.type == pa.binary() else c.to_numpy() for c in batch.columns]
+        new = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, softkeys.BINS) if c.type == pa.binary() else c.to_numpy() for c in batch.columns]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in held[:3]])) + 1
         at = [0, *cuts.tolist()]
