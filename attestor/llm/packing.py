@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.shared import only, tidy, utf8, written
-from attestor.llm.tokens import encoder
+from attestor.llm.tokens import CACHED, encoder
 
 PIECE_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key")
 
@@ -61,7 +61,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
     """Encode whole texts, append ``end_id`` and cut into pieces of at most ``capacity`` ids.
 
     A null text counts as empty, so every row gives at least the end id. A null id is kept. ``row_key`` is
@@ -69,7 +69,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, n = encoder(tokenizer), 0
+        enc, n = encoder(tokenizer, cached), 0
         part = TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
@@ -107,6 +107,7 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 4000, seed: int = 1
     return dealt.groupBy("g").applyInArrow(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, cut and pack whole documents; rows as ``pack`` gives them."""
-    return pack(written(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces", docs.count(), heavy=True), capacity, group_rows)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
+    """Encode, cut and pack whole documents; rows as ``pack`` gives them. ``cached`` bounds the pieces that a worker's token
+    cache holds: fewer take less memory and more time."""
+    return pack(written(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, cached), "pieces", docs.count(), heavy=True), capacity, group_rows)

@@ -28,8 +28,8 @@ _PIECE_LENGTH = 64
 #: Size of the table of hashes of pieces met.
 _MET = 1 << 22
 _FINAL = ".,!?;:"
-#: Texts encoded together: at most so many bytes, or one text.
-GROUP_BYTES = 2 << 20
+#: Cached pieces of a worker, unless it is told otherwise; texts encoded together have eight bytes for each.
+CACHED = 500_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -52,7 +52,7 @@ class Encoder:
     splitting that drops white space.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = CACHED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -175,15 +175,16 @@ class Encoder:
         for x in column:
             group.append(x.as_py())
             size += len(group[-1])
-            if size >= GROUP_BYTES:
+            if size >= 8 * self.most:
                 yield from self.many(group)
                 group, size = [], 0
         yield from self.many(group)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = CACHED) -> Encoder:
     """One encoder for each Python worker and file; its cache is emptied when a task ends."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
         on_release(_ENCODERS[path].forget)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
