@@ -75,10 +75,6 @@ class Encoder:
         self.mark = "\n" if self.spaced else " \u4e2d "
         self.mark_ids = self._whole(self.mark)
 
-    def forget(self) -> None:
-        """Empty the cache."""
-        self.cache, self.tails, self.met = {}, {}, bytearray(_MET)
-
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
@@ -182,9 +178,10 @@ class Encoder:
 
 
 def encoder(path: str, most: int = CACHED) -> Encoder:
-    """One encoder for each Python worker and file; its cache is emptied when a task ends."""
+    """One encoder for each Python worker and file. It lives on with its cache, for the worker's next task; one that is to
+    cache fewer pieces than ``CACHED`` leaves its memory to other work when the task ends."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-        on_release(_ENCODERS[path].forget)
-    _ENCODERS[path].most = most
+        _ENCODERS[path] = Encoder(path, most)
+        if most < CACHED:
+            on_release(lambda: _ENCODERS.pop(path, None))
     return _ENCODERS[path]
