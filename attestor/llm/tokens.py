@@ -182,6 +182,12 @@ def encoder(path: str, most: int = CACHED) -> Encoder:
     cache fewer pieces than ``CACHED`` leaves its memory to other work when the task ends."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path, most)
-        if most < CACHED:
-            on_release(lambda: _ENCODERS.pop(path, None))
     return _ENCODERS[path]
+
+
+def _leave() -> None:
+    for path in [p for p, e in _ENCODERS.items() if e.most < CACHED]:
+        del _ENCODERS[path]
+
+
+on_release(_leave)
