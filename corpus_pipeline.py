@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import decontaminate, langid, linededup, packing, simhash
-from attestor.llm.shared import drop_kept, gathered, written
+from attestor.llm.shared import drop_kept, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the classifier learns from the labelled ones among them."""
-    return gathered(langid.recognised(docs, langid.fit(docs)), docs)
+    return langid.recognised(docs, langid.fit(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +24,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(docs)
     out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return gathered(out.select(*docs.columns), docs)
+    return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    return gathered(simhash.one_of_each(docs, words=5, similarity=0.8), docs)
+    return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item (or a whole shorter item) go."""
-    return gathered(decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
