@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import backoff, decontaminate, langid, linededup, media, packing, records, simhash, toxicity, warc
+from attestor.llm import backoff, chat, collocation, decontaminate, langid, linededup, media, packing, records, simhash, toxicity, vectorcodes, warc
 from attestor.llm.shared import fold_of, gathered
 
 
@@ -68,6 +68,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
+def op11_pcy_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_table(spark, sf_dir, "documents"), longest=3, least=10, covered=50, top=2000)
+
+
+def op12_chat_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
+    return chat.digests(chat.format_conversations(rows.union(own)))
+
+
+def op13_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vectorcodes.encode(vectors, vectorcodes.fit(vectors, parts=16, entries=64, rounds=2))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_avi_motion_jpeg, op2_simhash_golay, op3_warc_dictionary, op4_decontamination, op5_toxicity_mil, op6_line_winnowing, op7_language_kernel, op8_stupid_backoff, op9_token_records, op10_packing, pipeline)
+    f.__name__: f for f in (op1_avi_motion_jpeg, op2_simhash_golay, op3_warc_dictionary, op4_decontamination, op5_toxicity_mil, op6_line_winnowing, op7_language_kernel, op8_stupid_backoff, op9_token_records, op10_packing, op11_pcy_collocations, op12_chat_relational, op13_partial_distance_codes, pipeline)
 }
 
 _OP3_SQL = """
@@ -92,3 +108,4 @@ FROM f
 """
 
 ORACLES: dict[str, str] = {"op3_warc_dictionary": _OP3_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op6_line_winnowing": linededup.ORACLE_SQL, "op8_stupid_backoff": backoff.ORACLE_SQL}
+ORACLES |= {"op11_pcy_collocations": collocation.ORACLE_SQL, "op12_chat_relational": chat.ORACLE_SQL, "op13_partial_distance_codes": vectorcodes.ORACLE_SQL}
