@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -128,10 +130,36 @@ def normalized_ascii(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"[\s\x1c-\x1f]+", " ")))
 
 
+def folded_form(c: Column) -> Column:
+    """``normalized_ascii`` of a short text; most have no white space to squeeze, and so need no pattern."""
+    return F.when(c.contains("  ") | (F.translate(c, _WHITE, "") != c), normalized_ascii(c)).otherwise(F.lower(F.trim(c)))
+
+
+_WHITE = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def occurring(forms: Iterable[str], texts: Iterable[str]) -> list[set[str]]:
+    """For each text, which of the forms occur in it: one automaton of all forms reads each text once. An empty form
+    occurs everywhere."""
+    wanted = dict.fromkeys(forms)
+    find = ahocorasick.Automaton()
+    for form in wanted:
+        if form:
+            find.add_word(form, form)
+    always = {""} & wanted.keys()
+    if not len(find):
+        return [set(always) for _ in texts]
+    find.make_automaton()
+    return [always | {form for _, form in find.iter(text)} for text in texts]
+
+
 @F.pandas_udf(BooleanType())
 def _holds_any(all_forms: pd.Series, sources: pd.Series) -> pd.Series:
-    hay = _fold_each(sources)
-    return pd.Series([None if forms is None or h is None else any(fold(f) in h for f in forms if f is not None) for forms, h in zip(all_forms, hay)], dtype=object)
+    known: dict[str, str] = {}
+    each = [None if forms is None or source is None else [known[f] if f in known else known.setdefault(f, fold(f)) for f in forms if f is not None] for forms, source in zip(all_forms, sources)]
+    texts = dict.fromkeys(s for s, forms in zip(sources, each) if forms)
+    found = dict(zip(texts, occurring({f for forms in each if forms for f in forms}, map(fold, texts))))
+    return pd.Series([None if forms is None else bool(forms) and not found[s].isdisjoint(forms) for s, forms in zip(sources, each)], dtype=object)
 
 
 def contains_any(forms: Column, source: Column) -> Column:
@@ -142,7 +170,7 @@ def contains_any(forms: Column, source: Column) -> Column:
     beside it.
     """
     plain = F.coalesce(is_ascii(source) & F.forall(forms, lambda f: F.coalesce(is_ascii(f), F.lit(True))), F.lit(False))
-    here = let(normalized_ascii(source), lambda hay: F.exists(forms, lambda f: F.coalesce(F.contains(hay, normalized_ascii(f)), F.lit(False))))
+    here = let(normalized_ascii(source), lambda hay: F.exists(forms, lambda f: F.coalesce(F.contains(hay, folded_form(f)), F.lit(False))))
     there = _holds_any(F.when(~plain, forms), F.when(~plain, source))
     return F.when(forms.isNull() | source.isNull(), F.lit(None)).when(plain, here).otherwise(there)
 
@@ -160,8 +188,57 @@ def substring_distance(needle: str, haystack: str) -> int:
     return int(row.min())
 
 
+def within(needle: str, haystack: str, most: int) -> bool:
+    """Whether a substring of ``haystack`` is at most so many edits away: a column of the table at a time, held as two
+    whole numbers that have a bit for each row (where it rises and where it falls)."""
+    if most >= len(needle):
+        return True
+    rows, every = {}, (1 << len(needle)) - 1
+    for i, ch in enumerate(needle):
+        rows[ch] = rows.get(ch, 0) | 1 << i
+    up, down, score, last = every, 0, len(needle), 1 << (len(needle) - 1)
+    for ch in haystack:
+        same = rows.get(ch, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        rises = (down | ~(level | up)) & every
+        falls = up & level
+        score += bool(rises & last) - bool(falls & last)
+        if score <= most:
+            return True
+        rises, falls = rises << 1 & every, falls << 1 & every
+        up = (falls | ~(same | down | rises)) & every
+        down = rises & (same | down)
+    return False
+
+
 def fuzzy_hit(needle: str, haystack: str, threshold: float) -> bool:
-    return bool(needle) and (needle in haystack or 1 - substring_distance(needle, haystack) / len(needle) >= threshold)
+    """Whether ``needle`` occurs but for a share of edits.
+
+    With k edits allowed, one of k + 1 parts of the needle stands in the text unchanged. Only the surroundings of such
+    places are searched; where no part occurs, nothing is.
+    """
+    n = len(needle)
+    if not n or needle in haystack:
+        return bool(n)
+    most = max((d for d in range(n + 1) if 1 - d / n >= threshold), default=-1)
+    if most <= 0:
+        return False
+    if most >= n:
+        return True
+    cuts, spans = [n * i // (most + 1) for i in range(most + 2)], []
+    for a, b in zip(cuts, cuts[1:]):
+        at = haystack.find(needle[a:b])
+        while at >= 0:
+            spans.append((at - a - most, at - a + n + most))
+            at = haystack.find(needle[a:b], at + 1)
+    end, start = -1, 0
+    for low, high in sorted(spans):
+        if low > end:
+            if end >= 0 and within(needle, haystack[max(start, 0) : end], most):
+                return True
+            start = low
+        end = max(end, high)
+    return end >= 0 and within(needle, haystack[max(start, 0) : end], most)
 
 
 def fuzzy_contains(needle: Column, haystack: Column, threshold: float = 0.85) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
-from attestor.functions.text import contains_any, fold, fuzzy_contains, fuzzy_hit, is_ascii, let, normalized, normalized_ascii, once, truncated
+from attestor.functions.text import contains_any, fold, folded_form, fuzzy_contains, fuzzy_hit, is_ascii, let, normalized, normalized_ascii, occurring, once, truncated
 from attestor.operators.rules import ISSUE
 from attestor.operators.schema import SEPARATOR, Field, RecordSchema
 
@@ -66,12 +66,15 @@ def number_forms(value: Column, shown: Column, hint: str | None = None) -> Colum
     fixed = F.array_distinct(F.array(F.regexp_replace(shown, "^-", ""), *[F.bround(size, n).cast(f"decimal(38,{n})").cast("string") for n in (2, 0)]))
     pairs = F.array(*[F.struct(F.lit(p).alias("point"), F.lit(g).alias("group")) for p, g in separators(hint)])
 
-    def written(pair: Column, number: Column) -> Column:
-        part = F.when(number.contains("."), F.concat(pair["point"], F.substring_index(number, ".", -1))).otherwise(F.lit(""))
-        halves = F.struct(F.substring_index(number, ".", 1).alias("whole"), part.alias("part"), pair["group"].alias("group"))
-        return let(halves, lambda h: F.array(F.concat(h["whole"], h["part"]), F.concat(F.regexp_replace(h["whole"], F.lit(r"(?<=\d)(?=(\d{3})+$)"), h["group"]), h["part"])))
+    # digits are grouped once, with a mark that each pair of separators then replaces
+    halves = F.transform(fixed, lambda n: F.struct(F.substring_index(n, ".", 1).alias("whole"), F.when(n.contains("."), F.substring_index(n, ".", -1)).alias("part")))
+    marked = F.transform(halves, lambda h: F.struct(h["whole"].alias("whole"), h["part"].alias("part"), F.regexp_replace(h["whole"], r"(?<=\d)(?=(\d{3})+$)", "_").alias("grouped")))
 
-    bodies = F.flatten(F.transform(pairs, lambda p: F.flatten(F.transform(fixed, lambda n: written(p, n)))))
+    def written(pair: Column, h: Column) -> Column:
+        part = F.coalesce(F.concat(pair["point"], h["part"]), F.lit(""))
+        return F.array(F.concat(h["whole"], part), F.concat(F.replace(h["grouped"], F.lit("_"), pair["group"]), part))
+
+    bodies = let(marked, lambda each: F.flatten(F.transform(pairs, lambda p: F.flatten(F.transform(each, lambda h: written(p, h))))))
     signed = F.flatten(F.transform(bodies, lambda x: F.array(F.concat(F.lit("-"), x), F.concat(F.lit("("), x, F.lit(")")), F.concat(x, F.lit("-")))))
     words = F.array(*[F.get(_literals(NUMBER_WORDS[lang]), value.cast("int")) for lang in _first(hint, LANGUAGES)])
     small = F.when((value == F.floor(value)) & (value >= 0) & (value <= 20), words).otherwise(F.array().cast("array<string>"))
@@ -192,7 +195,7 @@ def _checks(record: Column, schema: RecordSchema, path: Column, texts: dict[str,
             if isinstance(check, Grounded):
                 mode, threshold, message = check.mode, check.threshold, f"is not in the source text{f' {check.source}' if check.source else ''}"
                 accepted = text.contains(shown) if mode == "exact" else F.when((shown != "") & text.contains(shown), True)
-                forms = F.array(shown) if mode in ("exact", "fuzzy") else render_candidates(value, f.kind, check.locale)
+                forms = F.array(shown) if mode in ("exact", "fuzzy") else render_candidates(value, f.kind, check.hint(r))
             else:
                 mode, threshold, message, forms = "own", 0.0, check.message, F.lit(None).cast("array<string>")
                 accepted = F.coalesce(check.accepts(value, text), F.lit(True))
@@ -223,20 +226,33 @@ def _checks(record: Column, schema: RecordSchema, path: Column, texts: dict[str,
 
 @F.pandas_udf(ArrayType(BooleanType()))
 def _searched(forms: pd.Series, modes: pd.Series, thresholds: pd.Series, named: pd.Series, names: pd.Series, texts: pd.Series) -> pd.Series:
-    """For each row's open checks, whether a form occurs in the folded text of its source; each text is folded once."""
-    folded: dict[str, str] = {}
+    """For each row's open checks, whether a form occurs in the folded text of its source. The forms of a batch are looked
+    for together, and each text is folded and read once; what may differ by some edits is searched by itself."""
+    known: dict[str, str] = {}
+    short = lambda f: known[f] if f in known else known.setdefault(f, fold(f))
+    rows = [None if all_forms is None or not len(all_forms) else [(m, x, s, [short(f) for f in fs]) for fs, m, x, s in zip(all_forms, mode, threshold, source)] for all_forms, mode, threshold, source in zip(forms, modes, thresholds, named)]
+    wanted = {f for row in rows if row for m, _, _, fs in row if m != "fuzzy" for f in fs}
+    folded = {t: fold(t) for t in dict.fromkeys(t for row, text in zip(rows, texts) if row for t in text if t is not None)}
+    found = dict(zip(folded, occurring(wanted, folded.values())))
     out = []
-    for all_forms, mode, threshold, source, name, text in zip(forms, modes, thresholds, named, names, texts):
-        if all_forms is None or not len(all_forms):
-            out.append([])
-            continue
-        hay = {n: folded.setdefault(t, fold(t)) if t not in folded else folded[t] for n, t in zip(name, text) if t is not None}
-        out.append([any(fuzzy_hit(fold(f), hay[s], x) if m == "fuzzy" else fold(f) in hay[s] for f in fs) for fs, m, x, s in zip(all_forms, mode, threshold, source)])
-        if len(folded) > 256:
-            folded.clear()
+    for row, name, text in zip(rows, names, texts):
+        at = dict(zip(name, text)) if row else {}
+        out.append([any(fuzzy_hit(f, folded[at[s]], x) for f in fs) if m == "fuzzy" else not found[at[s]].isdisjoint(fs) for m, x, s, fs in row or ()])
     return pd.Series(out)
 
 
+def search_forms(df: DataFrame, checks: str, sources: str, out: str) -> DataFrame:
+    """Adds ``out``: whether each of an array of ``checks`` (struct with forms, mode, threshold and the name of a source)
+    finds one of its forms in its source (``sources``: array of struct(name, text), without null texts), as an array of
+    answers. Exact ones are case-sensitive; the others look in folded text."""
+    part = lambda c, n: F.transform(c, lambda x: x[n])
+    rows = df.withColumn(out + "_", _searched(*[part(checks, n) for n in ("forms", "mode", "threshold", "source")], part(sources, "name"), part(sources, "text")))
+    text = F.map_from_arrays(part(sources, "name"), part(sources, "text"))
+    pairs = F.arrays_zip(F.col(checks).alias("c"), F.col(out + "_").alias("a"))
+    exact = lambda t, c: F.exists(c["forms"], lambda f: F.contains(t[c["source"]], f))
+    return rows.withColumn(out, let(text, lambda t: F.transform(pairs, lambda z: F.when(z["c"]["mode"] == "exact", exact(t, z["c"])).otherwise(z["a"])))).drop(out + "_")
+
+
 def required_sources(schema: RecordSchema) -> set[str]:
     """Names of the sources that a schema's checks look in, at any depth."""
     out = set()
@@ -268,7 +284,7 @@ def grounded(df: DataFrame, schema: RecordSchema, record: str = "record", source
 
     def plain(c: Column) -> Column:
         """Normalized checks whose source and forms are ASCII."""
-        here = let(F.col(hay)[c["source"]], lambda h: F.when(h.isNotNull() & F.forall(c["forms"], is_ascii), F.exists(c["forms"], lambda f: F.contains(h, normalized_ascii(f)))))
+        here = let(F.col(hay)[c["source"]], lambda h: F.when(h.isNotNull() & F.forall(c["forms"], is_ascii), F.exists(c["forms"], lambda f: F.contains(h, folded_form(f)))))
         return c.withField("accepted", F.coalesce(c["accepted"], F.when(c["mode"] != "fuzzy", here)))
 
     rows = once(rows.withColumnRenamed(checks, checks + "0"), **{checks: F.transform(checks + "0", plain)}).drop(checks + "0", hay)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import replies, scalars, text
+from attestor.functions.text import once
 from attestor.operators import agent, analytics, grounding, replay, rules, scoring, toolcalls
 from attestor.operators.schema import Field, RecordSchema, validate
 from attestor.sources import messages
@@ -390,14 +391,16 @@ def number_forms_grounding(spark, sf):
     english = F.format_number(v, 2)
     german = F.translate(english, ",.", ".,")
     source = F.concat(F.lit("Betrag:  "), F.when(n == 0, german).when(n == 1, english).when(n == 2, plain).otherwise("unbekannt"), F.lit(" EUR"))
-    return _t(spark, sf, "orders").select("o_orderkey", grounding.Grounded().holds(plain, source, grounding.number_forms(v, plain, "de")).alias("found"))
+    rows = once(_t(spark, sf, "orders"), plain=plain, source=source, forms=grounding.number_forms(v, plain, "de"))
+    return rows.select("o_orderkey", grounding.Grounded().holds(F.col("plain"), F.col("source"), F.col("forms")).alias("found"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 4 < 3 AS found FROM orders")
 def date_forms_grounding(spark, sf):
     d, n = F.to_date("o_orderdate"), F.col("o_orderkey") % 4
     source = F.when(n == 0, F.date_format(d, "dd.MM.yyyy")).when(n == 1, F.concat(F.lit("on "), F.date_format(d, "MMMM d, yyyy"))).when(n == 2, F.date_format(d, "d MMM yyyy")).otherwise("no date")
-    return _t(spark, sf, "orders").select("o_orderkey", grounding.Grounded().holds(d.cast("string"), source, grounding.date_forms(d)).alias("found"))
+    rows = once(_t(spark, sf, "orders"), plain=d.cast("string"), source=source, forms=grounding.date_forms(d))
+    return rows.select("o_orderkey", grounding.Grounded().holds(F.col("plain"), F.col("source"), F.col("forms")).alias("found"))
 
 
 @query()

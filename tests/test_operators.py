@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.functions import scalars
+from attestor.functions import scalars, text
 from attestor.operators import agent, analytics, extraction, grounding, replay, rules, scoring, toolcalls
 from attestor.operators.schema import Field, RecordSchema, completed, error_text, exactly_one, input_json, needed_if, revalidated, validate
 from attestor.sources import messages
@@ -458,3 +458,30 @@ def test_streaming_summary_equals_batch(spark, tmp_path):
     seen = []
     quality.on_runs(spark.readStream.schema(schema).parquet(str(tmp_path / "runs")), lambda df, n: seen.append(df.count()), str(tmp_path / "c")).awaitTermination()
     assert sum(seen) == 30
+
+
+def test_fuzzy_search_equals_cell_by_cell():
+    rng = random.Random(4)
+    for _ in range(3_000):
+        letters = "ab" if rng.random() < 0.5 else "abcdé \U0001f600"
+        hay = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
+        needle = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 14)))
+        if rng.random() < 0.4 and len(hay) > 15:
+            at = rng.randrange(len(hay) - 12)
+            needle = hay[at : at + 6] + rng.choice(letters) + hay[at + 7 : at + 12]
+        for threshold in (0.5, 0.85, 0.9, 1.0, 0.0, -1, 2):
+            want = needle in hay or 1 - text.substring_distance(needle, hay) / len(needle) >= threshold
+            assert text.fuzzy_hit(needle, hay, threshold) == want, (needle, hay, threshold)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    assert text.fuzzy_hit(long[500:620] + "zz" + long[622:700], long, 0.95) and not text.fuzzy_hit("xyz" * 40, long, 0.85)
+
+
+def test_forms_of_a_batch_are_found_together():
+    got = text.occurring(["he", "she", "hers", "", "x y"], ["ushers", "x  y", ""])
+    assert got == [{"he", "she", "hers", ""}, {""}, {""}] and text.occurring([], ["a"]) == [set()] and text.occurring([""], ["a"]) == [{""}]
+
+
+def test_folded_form_equals_normalized(spark):
+    rows = [(x,) for x in ("A  b", " a\tB ", "x", "", "1.234,50", "a\x1cb", "(5)", "\n")]
+    for r in spark.createDataFrame(rows, "t string").select(text.folded_form(F.col("t")).alias("a"), text.normalized_ascii(F.col("t")).alias("b")).collect():
+        assert r.a == r.b

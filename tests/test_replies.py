@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,18 @@ def test_fuzzy():
     for needle, haystack in (("spinnaker", "the spinaker tore"), ("mast", ""), ("keel", "keel"), ("rudder", "udde"), ("bow", "stern")):
         assert text.substring_distance(needle, haystack) == distance(needle, haystack)
     assert text.fuzzy_hit("spinnaker", "the spinaker tore", 0.85) and not text.fuzzy_hit("bow", "stern", 0.5) and not text.fuzzy_hit("", "bow", 0.1)
+
+
+def test_no_reply_ends_the_job(spark):
+    """Half characters, depth, cut and random texts: a row out for each row in, and what was cut stays readable."""
+    rng = random.Random(5)
+    bits = ['{', '}', '[', ']', '"', "'", ":", ",", "\\", "\\u", "\\ud83d", "\\udc00", "\ud83d\ude00", "a", " ", "\n", "1", "-", "1e999", "null", "//", "/*", "*/", "```", "<think>", "</think>", "\x00", "“", "”", "NaN", "9" * 5000]
+    rows = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(2_000)]
+    rows += ['Here: {"a": "\\ud83d"}', 'Here: {"a": "\\ud83d\\ude00"}', "x " + "[" * 20_000, "x " + '{"a":' * 20_000, "[" * 20_000, "{" * 300 + "}" * 300, '{"a": ' * 150 + "1", "x {'a': '" + "b" * 200_000, "x " + '"a" ' * 50_000, None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string")
+    got = {r.k: r for r in df.select("k", replies.parsed("t").alias("p"), replies.repair_args(F.col("t")).alias("args")).collect()}
+    assert len(got) == len(rows) and all((r.p.json is None) != (r.p.error is None) for r in got.values())
+    n = rows.index('Here: {"a": "\\ud83d"}')
+    assert [got[n].p.json, got[n + 1].p.json] == ['{"a":"\ufffd"}', '{"a":"\U0001f600"}'] and got[n].args == '{"a":"\ufffd"}'
+    assert "deep" in got[n + 2].p.error and "deep" in got[n + 3].p.error and got[n + 2].args is None
+    assert got[n + 6].p.json == '{"a":' * 150 + "1" + "}" * 150
