@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.functions.text import once
+from attestor.operators import rules
+from attestor.operators.replay import error_kind
+from attestor.operators.schema import RecordSchema, error_text, input_json, validate
+
 _STATE = "struct<iterations:int,retries:int,format_errors:int,helpers:int,reason:string,success:boolean,answer:string,candidate:string,done:boolean>"
 
 
@@ -47,9 +54,70 @@ def replay_agent(turns: DataFrame, most_iterations: int = 12, most_retries: int
     turn is answered first), with one rejected when no retry is left, or after ``most_iterations`` turns.
     """
     first = turns.withColumn("nth_", F.row_number().over(Window.partitionBy("run_id").orderBy("turn"))).where(F.col("nth_") <= most_iterations)
-    run = first.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("turn", "kind", "calls"))).alias("turns"))
-    start = F.expr(f"cast(named_struct('iterations', 0, 'retries', 0, 'format_errors', 0, 'helpers', 0, 'reason', null, 'success', false, 'answer', null, 'candidate', null, 'done', false) as {_STATE})")
-    step = lambda s, t: F.when(s["done"] | (s["iterations"] >= most_iterations), s).otherwise(_turn(s, t, most_retries, json_mode).cast(_STATE))
-    out = run.select("run_id", F.aggregate("turns", start, step).alias("s"))
+    told = "issues" in turns.schema["calls"].dataType.elementType.names
+    classed = [F.col("error_class")] if "error_class" in turns.columns else []
+    run = first.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("turn", "kind", "calls", *classed))).alias("turns"))
+    out = run.select("run_id", "turns", F.aggregate("turns", started(), lambda s, t: advanced(s, t, most_iterations, most_retries, json_mode)).alias("s"))
     ok = F.col("s.success")
-    return out.select("run_id", ok.alias("success"), "s.iterations", F.col("s.retries").alias("validation_retries"), "s.format_errors", F.col("s.helpers").alias("tool_calls"), F.when(~ok, F.coalesce("s.reason", F.lit("validation_exhausted"))).alias("failure_reason"), F.when(ok, F.col("s.answer")).alias("record"), F.when(~ok, F.col("s.candidate")).alias("candidate"))
+    more = []
+    if told:
+        made = F.flatten(F.transform(F.slice("turns", 1, F.col("s.iterations")), lambda t: t["calls"]))
+        last = F.try_element_at(F.filter(made, lambda c: (c["kind"] != "helper") & c["outcome"].isin("ground", "rule")), F.lit(-1))
+        issues = F.flatten(F.transform(F.filter(made, lambda c: c["issues"].isNotNull()), lambda c: c["issues"]))
+        more += [issues.alias("field_issues"), F.when(~ok, F.filter(last["issues"], lambda i: i["rejecting"])).alias("last_rejection")]
+    if classed:
+        failed = F.get("turns", F.col("s.iterations"))["error_class"]
+        more.append(F.when(~ok & (F.col("s.reason") == "llm_error"), F.coalesce(error_kind(failed), F.lit("other"))).alias("llm_error_kind"))
+    return out.select("run_id", ok.alias("success"), "s.iterations", F.col("s.retries").alias("validation_retries"), "s.format_errors", F.col("s.helpers").alias("tool_calls"), F.when(~ok, F.coalesce("s.reason", F.lit("validation_exhausted"))).alias("failure_reason"), F.when(ok, F.col("s.answer")).alias("record"), F.when(~ok, F.col("s.candidate")).alias("candidate"), *more)
+
+
+def started() -> Column:
+    """State of a run that has made no turn."""
+    return F.expr(f"cast(named_struct('iterations', 0, 'retries', 0, 'format_errors', 0, 'helpers', 0, 'reason', null, 'success', false, 'answer', null, 'candidate', null, 'done', false) as {_STATE})")
+
+
+def advanced(s: Column, t: Column, most_iterations: int, most_retries: int, json_mode: bool = False) -> Column:
+    """State of a run after one more turn."""
+    return F.when(s["done"] | (s["iterations"] >= most_iterations), s).otherwise(_turn(s, t, most_retries, json_mode).cast(_STATE))
+
+
+def replay_agents(turns: DataFrame, most_iterations: int = 12, most_retries: int = 3, json_mode: bool = False, fallback: bool = True) -> DataFrame:
+    """``replay_agent`` of runs of which each may go on with a second model (``model_rank`` 1) where the first failed: one row
+    a run of rank 0, counts summed over both, and fallback_used. The fallback's reason, kind, candidate and rejection
+    win where it has them; a fallback without turns failed with llm_error. Issues of both stay."""
+    first = replay_agent(turns.where("model_rank = 0"), most_iterations, most_retries, json_mode)
+    if not fallback:
+        return first.withColumn("fallback_used", F.lit(False))
+    second = replay_agent(turns.where("model_rank = 1"), most_iterations, most_retries, json_mode)
+    both = first.alias("p").join(second.alias("f"), "run_id", "left")
+    p, f = (lambda c: F.col(f"p.{c}")), (lambda c: F.col(f"f.{c}"))
+    done, won = p("success"), F.coalesce(f("success"), F.lit(False))
+    used, ok, no_turn = ~done, done | won, f("success").isNull()
+    summed = [(p(c) + F.when(used, F.coalesce(f(c), F.lit(0))).otherwise(0)).alias(c) for c in ("iterations", "validation_retries", "format_errors", "tool_calls")]
+    own = F.when(f("candidate").isNotNull(), f("candidate")).otherwise(p("candidate"))
+    out = [
+        ok.alias("success"), *summed, F.when(~ok, F.when(no_turn, "llm_error").otherwise(F.coalesce(f("failure_reason"), p("failure_reason")))).alias("failure_reason"),
+        F.when(done, p("record")).when(won, f("record")).alias("record"), F.when(~ok, own).alias("candidate"), used.alias("fallback_used"),
+    ]
+    if "field_issues" in first.columns:
+        none = F.array().cast(first.schema["field_issues"].dataType)
+        out += [F.concat(F.coalesce(p("field_issues"), none), F.when(used, F.coalesce(f("field_issues"), none)).otherwise(none)).alias("field_issues"), F.when(~ok, F.when(f("candidate").isNotNull(), f("last_rejection")).otherwise(p("last_rejection"))).alias("last_rejection")]
+    if "llm_error_kind" in first.columns:
+        out.append(F.when(~ok, F.when(no_turn, "other").otherwise(f("llm_error_kind"))).alias("llm_error_kind"))
+    return both.select("run_id", *out)
+
+
+def salvaged(finished: DataFrame, schema: RecordSchema, repair: Callable[[Column, Column], Column]) -> DataFrame:
+    """Failed agent runs with a candidate, mended: ``repair`` gets its JSON text and the issues that rejected it and gives
+    the JSON text to take instead (null: none), which is validated by the schema alone. Adds ``salvaged``; what doesn't
+    fit leaves an issue at ``rules.EXHAUSTED_PATH``."""
+    rows = finished.withColumn("repaired_", F.when(~F.col("success") & F.col("candidate").isNotNull(), repair(F.col("candidate"), F.col("last_rejection"))))
+    rows = once(rows, valid_=validate(F.col("repaired_"), schema))
+    rows = once(rows, salvaged=F.coalesce(F.col("valid_.record").isNotNull(), F.lit(False)), mended_=input_json(F.col("valid_.record"), schema))
+    broken = F.struct(F.lit(rules.EXHAUSTED_PATH).alias("field_path"), F.lit("other").alias("category"), F.lit("on_exhausted_invalid").alias("error_type"), F.coalesce(error_text(F.col("valid_.issues"), schema), F.lit("not a JSON object")).alias("message"), F.lit(None).cast("string").alias("received"), F.lit(True).alias("rejecting"))
+    failed = F.col("repaired_").isNotNull() & ~F.col("salvaged")
+    rows = rows.withColumn("field_issues", F.when(failed, F.concat("field_issues", F.array(broken).cast(finished.schema["field_issues"].dataType))).otherwise(F.col("field_issues")))
+    rows = rows.withColumn("record", F.coalesce("record", "mended_")).withColumn("success", F.col("success") | F.col("salvaged"))
+    for c in ("failure_reason", "llm_error_kind"):
+        rows = rows.withColumn(c, F.when(~F.col("success"), F.col(c))) if c in finished.columns else rows
+    return rows.drop("repaired_", "valid_", "mended_")

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from attestor.plans import catalogue, extraction_queries, tree_queries  # noqa: F401  (registers their queries)
+from attestor.plans import catalogue, extraction_queries, run_queries, tree_queries  # noqa: F401  (registers their queries)
 
 SF = "/root/testdata/sf0.001"
 
