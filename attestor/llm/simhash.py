@@ -36,10 +36,8 @@ _KEYED_ROWS = 20_000
 #: A soft key of more rows is crowded: its rows first meet their leaders alone, so that a group of copies has about as
 #: many pairs as members.
 _CROWD = 2
-#: Rows that crowded keys connect, up to so many, are compared at once; more are compared key by key.
-_CLUSTER = 100_000
-#: Rows of a crowded key that a task holds at a time.
-_HELD, _BLOCK = 1 << 16, 2048
+#: Rows of a crowded key that a task holds at a time, and rows of a block of those that are compared with one another.
+_HELD, _BLOCK = 1 << 16, 8192
 
 
 def _syndromes() -> tuple[np.ndarray, np.ndarray]:
@@ -436,10 +434,12 @@ def _left_apart(crowded: DataFrame, roots: DataFrame, signatures: DataFrame, sim
     """Pairs (a, b, near) of rows of one crowded key (key, node, sign) with near signs that are in different
     components (node, root) and whose estimated similarity may reach the limit.
 
-    All such pairs are compared: a key is dealt into blocks, and every two blocks meet in a task. Signatures
-    (node, signature) go only to rows with such a partner.
+    All such pairs are compared. Rows of a key's largest component needn't meet one another: they are dealt into blocks,
+    and so are the others; every block of the ones meets every block of the others, and every two blocks of the others
+    meet, each in a task. So where a component holds the bulk of a key, its rows travel about once. Signatures (node,
+    signature) go only to rows with such a partner.
     """
-    group, block = ["key", "lo", "hi"], F.pmod(F.xxhash64("node"), "blocks")
+    group = ["key", "lo", "hi"]
 
     def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _groups(batches):
@@ -461,8 +461,16 @@ def _left_apart(crowded: DataFrame, roots: DataFrame, signatures: DataFrame, sim
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.minimum(a, b), np.maximum(a, b), near[good])], ["a", "b", "near"])
 
     rows = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    still = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / _BLOCK).alias("blocks")).where("least < most")
-    rows = rows.join(still, "key").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    still = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    many = lambda n: F.greatest(F.ceil(n / _BLOCK), F.lit(1)).cast("long")
+    still = still.select("key", F.col("top.root").alias("top"), many(F.col("top.n")).alias("bulk"), many(F.col("n") - F.col("top.n")).alias("blocks"))
+    rows = rows.join(still, "key").withColumn("is_top", F.col("root") == F.col("top"))
+    rows = rows.withColumn("side", F.when(F.col("is_top"), -1 - F.pmod(F.xxhash64("node"), "bulk")).otherwise(F.pmod(F.xxhash64("node"), "blocks")))
+    # blocks of the bulk are numbered below zero
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    others = F.when(F.col("is_top"), upto(F.col("blocks"))).otherwise(F.concat(F.transform(upto(F.col("bulk")), lambda k: -1 - k), upto(F.col("blocks"))))
+    rows = rows.withColumn("other", F.explode(others))
     rows = rows.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "sign", "root")
     names = "key long, lo long, hi long, side long, node long, sign long, root long"
     rows = kept(rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(partnered), names))
@@ -538,20 +546,15 @@ def _similar(sketches: DataFrame, signatures: DataFrame, texts: Callable[[DataFr
         roots = components(links, "similar-cc")
     if crowded.isEmpty():
         return roots
-    rest = _decided(_left_apart(_clustered(crowded, met.select("a", "b").union(further), sketches), roots, every, similarity), texts, words, similarity)
+    rest = _decided(_left_apart(_clustered(crowded, met.select("a", "b").union(further)), roots, every, similarity), texts, words, similarity)
     return roots if rest.isEmpty() else components(links.union(rest), "similar-cc")
 
 
-def _clustered(crowded: DataFrame, edges: DataFrame, sketches: DataFrame) -> DataFrame:
+def _clustered(crowded: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (key, node, sign) of crowded rows (node, sign), so that all that share a crowded key share a key here: what the
-    edges connect is one key, if it isn't more than ``_CLUSTER`` rows, and the soft keys themselves stand for the rest."""
+    edges connect is one key."""
     clusters = components(edges, "clusters").select(F.col("node"), F.col("root").alias("key"))
-    rows = kept(crowded.join(clusters, "node", "left").select(F.coalesce("key", "node").alias("key"), "node", "sign"))
-    large = kept(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > _CLUSTER).select("key"))
-    if large.isEmpty():
-        return rows
-    nodes = beside(rows, large, "key", "left_semi").select("node")
-    return beside(rows, large, "key", "left_anti").union(_keyed(sketches.join(nodes, "node", "left_semi")))
+    return kept(crowded.join(clusters, "node", "left").select(F.coalesce("key", "node").alias("key"), "node", "sign"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -154,10 +154,10 @@ def test_soft_keys_meet_near_the_limit():
     assert met >= 92
 
 
-@pytest.mark.parametrize("at_once", [100_000, 20])
-def test_pairs_inside_a_crowded_group_are_found(spark, documents, tmp_path, monkeypatch, at_once):
+@pytest.mark.parametrize("block", [8192, 60])
+def test_pairs_inside_a_crowded_group_are_found(spark, documents, tmp_path, monkeypatch, block):
     """A hub of edits that are above the limit to their original alone, and below it to one another."""
-    monkeypatch.setattr(simhash, "_CLUSTER", at_once)
+    monkeypatch.setattr(simhash, "_BLOCK", block)
     rng = random.Random(11)
     base = [f"t{k}" for k in range(400)]
     texts = []
@@ -187,3 +187,17 @@ def test_every_near_pair_of_a_key_is_given():
     for s in (side, side * 0):
         got = {p for x, y in softkeys.apart(sign, root, s, 64) for p in zip(x, y)}
         assert got == {(i, j) for i, j in pairs if root[i] != root[j] and (s[i] != s[j] or not s.any())}
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_all_pairs_between_components_of_a_key_are_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "_BLOCK", block)
+    rng = random.Random(6)
+    bulk = {k: rng.choice([0, 0, 0, 1, 2, 3, None]) for k in range(90)}  # the component of node 0 holds the most
+    crowded = spark.createDataFrame([(k % 2 and 1 or 0, k, rng.choice([0, -1])) for k in bulk] + [(5, 200, 0), (5, 201, 0)], "key long, node long, sign long")
+    roots = spark.createDataFrame([(k, 1000 + r) for k, r in bulk.items() if r is not None] + [(200, 7), (201, 7)], "node long, root long")
+    signatures = spark.createDataFrame([(k, bytearray([1] * softkeys.BINS)) for k in [*bulk, 200, 201]], "node long, signature binary")
+    got = sorted((r.a, r.b) for r in simhash._left_apart(crowded, roots, signatures, 0.8).collect())
+    sign = {r.node: r.sign for r in crowded.collect()}
+    own = lambda k: k if bulk[k] is None else 1000 + bulk[k]
+    assert got == [(a, b) for a in range(90) for b in range(a + 1, 90) if a % 2 == b % 2 and sign[a] == sign[b] and own(a) != own(b)]
