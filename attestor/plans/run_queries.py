@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestor.operators import agent, relaxations
-from attestor.plans.catalogue import _t, query
+from attestor.plans.catalogue import SQL, _t, order_runs, query
+from attestor.streaming import figures
 
 _TURNS = """
 WITH RECURSIVE e AS (SELECT *, event_id % 2 AS m, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS nth FROM events),
@@ -79,3 +80,11 @@ def relaxed_attempts(spark, sf):
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     calls = _t(spark, sf, "events").withColumn("n", nth).withColumn("e", failed).select(F.col("user_id").alias("run_id"), "n", outcome.alias("outcome"), F.col("e.c").alias("error_class"), F.col("e.t").alias("error_text"), F.col("e.s").alias("status"))
     return relaxations.relaxed_attempts(calls, budget=3, levels=("low", "high"))
+
+
+@query(SQL["issue_summary_field"])
+def merged_field_figures(spark, sf):
+    """The field summary out of partial figures of three shares of the runs, merged."""
+    runs = order_runs(spark, sf)
+    parts = [figures.partial_figures(runs.where(F.pmod(F.xxhash64("run_id"), F.lit(3)) == k)) for k in range(3)]
+    return figures.field_summary_of(figures.merged_figures(*parts))
