@@ -80,7 +80,7 @@ def expected_type(error_type: Column, message: Column) -> Column:
     for key, label in (("int", "integer"), ("float", "float"), ("bool", "boolean"), ("str", "string")):
         named = error_type.contains(key) | low.contains(key)
         out = F.when(named, label) if out is None else out.when(named, label)
-    return out.when(low.contains("list") | low.contains("array"), "list").when(low.contains("dict") | low.contains("object"), "object").otherwise(low)
+    return out.when(low.contains("list") | low.contains("array"), "list/array").when(low.contains("dict") | low.contains("object"), "dict/object").otherwise(low)
 
 
 def squashed(c: Column) -> Column:

@@ -49,13 +49,14 @@ def parse_tool_response(calls: Column, invalid: Column, schema: RecordSchema) ->
     return F.struct(args.alias("args"), F.when(args.isNull(), told).alias("feedback"))
 
 
-def extracted(replies: DataFrame, schema: RecordSchema, mode: str = "json", source: Column | None = None, sources: dict[str, Column] | None = None, rule: Callable[[Column], Column] | None = None) -> DataFrame:
+def extracted(replies: DataFrame, schema: RecordSchema, mode: str = "json", source: Column | None = None, sources: dict[str, Column] | None = None, rule: Callable[..., Column] | None = None, budgets: tuple[int, ...] = (3, 3), levels: tuple[str, ...] = ()) -> DataFrame:
     """Adds what becomes of each reply: outcome (ok, parse, schema, ground, rule, llm_error), error_kind, record (of ok,
     ground and rule: the candidate), issues (as ``rules.ISSUE``) and feedback for the model.
 
     ``mode`` is json (the content) or tools (the calls). Values are checked against ``source`` and named ``sources``;
-    ``rule`` gets the record and gives an array of findings (see ``rules.findings``). A row with an error_class never
-    got a reply. Null content is an empty reply.
+    ``rule`` gets the record and gives an array of findings (see ``rules.findings``); a ``rules.contextual`` one also gets
+    what is known of its attempt, for which the ``budgets`` of the models and the reasoning ``levels`` are given. A
+    row with an error_class never got a reply. Null content is an empty reply.
     """
     if mode not in ("json", "tools"):
         raise ValueError("mode is json or tools")
@@ -66,7 +67,15 @@ def extracted(replies: DataFrame, schema: RecordSchema, mode: str = "json", sour
         rows = once(replies, read_=parse_tool_response(*[F.col(c) if c in replies.columns else F.lit(None).cast(CALLS) for c in ("tool_calls", "invalid_tool_calls")], schema))
     rows = once(rows, valid_=validate(F.col("read_.args"), schema)).withColumn("candidate_", F.col("valid_.record"))
     rows = grounding.grounded(rows, schema, "candidate_", source, sources, "grounding_")
-    found = rule(F.col("candidate_")) if rule is not None else rules.findings()
+    if isinstance(rule, rules.Contextual):
+        rank = F.col("model_rank")
+        budget = F.get(F.array(*[F.lit(b) for b in budgets]), rank.cast("int"))
+        found = rule(F.col("candidate_"), rules.with_context(F.col("attempt"), budget, rank, len(budgets) - 1, replay.effort(list(levels), F.col("attempt"))))
+    else:
+        found = rule(F.col("candidate_")) if rule is not None else rules.findings()
+    if rule is not None:  # a rule may be a Python function, which has to be a column of its own
+        rows = rows.withColumn("ruled_", found)
+        found = F.col("ruled_")
     rows = once(rows, found_=F.when(F.col("candidate_").isNotNull(), found))
     rows = once(rows, check_=F.when(F.col("candidate_").isNotNull(), rules.check_candidate(F.col("grounding_"), F.col("found_"))))
     failed = F.col("error_class").isNotNull()
@@ -84,7 +93,7 @@ def extracted(replies: DataFrame, schema: RecordSchema, mode: str = "json", sour
         issues=F.when(F.col("outcome") == "schema", own.cast(rules.ISSUE)).when(held, F.col("check_.issues")).otherwise(none),
         feedback=F.when(F.col("outcome") != "ok", told),
     )
-    return rows.drop("read_", "valid_", "candidate_", "grounding_", "found_", "check_")
+    return rows.drop("read_", "valid_", "candidate_", "grounding_", "found_", "check_", "ruled_")
 
 
 def runs(attempts: DataFrame, all_runs: DataFrame, schema: RecordSchema, primary_budget: int = 3, fallback_budget: int = 3, fallback: bool = True, capture: Column | None = None) -> DataFrame:

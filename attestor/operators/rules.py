@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,7 +42,7 @@ def feedback(issues: Column) -> Column:
     return F.when(single, F.get(issues, F.lit(0))["message"]).otherwise(F.array_join(blocks, "\n"))
 
 
-def with_context(attempt: Column, budget: int, model_rank: Column, last_rank: int, effort: Column | None = None) -> Column:
+def with_context(attempt: Column, budget: int | Column, model_rank: Column, last_rank: int, effort: Column | None = None) -> Column:
     """What a rule may know of its attempt: number from 1, last of the model, final of the run, fallback, level."""
     last = attempt + 1 >= budget
     return F.struct((attempt + 1).alias("attempt"), F.lit(budget).alias("max_attempts"), (last & (model_rank >= last_rank)).alias("is_final"), (model_rank > 0).alias("is_fallback"), (effort if effort is not None else F.lit(None).cast("string")).alias("reasoning_effort"))
@@ -66,7 +71,69 @@ def kept_items(items: Column, issues: Column, list_field: str = "items") -> Colu
     return F.filter(items, lambda x, i: ~F.coalesce(F.array_contains(F.array_compact(bad), i), F.lit(False)))
 
 
-def salvaged(success: Column, candidate: Column, repaired: Column, valid: Column) -> Column:
-    """struct(record, salvaged, success): a failed run with a candidate takes ``repaired`` if its schema accepts it."""
-    saved = ~success & candidate.isNotNull() & repaired.isNotNull() & F.coalesce(valid, F.lit(False))
-    return F.struct(F.when(saved, repaired).alias("record"), saved.alias("salvaged"), (success | saved).alias("success"))
+@dataclass(frozen=True)
+class Finding:
+    """What a Python rule says about a record; ``reject`` or only to be noted."""
+
+    message: str
+    path: str = VALIDATOR_PATH
+    reject: bool = True
+    received: object = None
+
+
+@dataclass(frozen=True)
+class Contextual:
+    """A rule that is also told of its attempt: see ``contextual``."""
+
+    rule: Callable[[Column, Column], Column]
+
+    def __call__(self, record: Column, context: Column) -> Column:
+        return self.rule(record, context)
+
+
+def contextual(rule: Callable[[Column, Column], Column]) -> Contextual:
+    """Mark a rule that takes the record and ``with_context`` of its attempt."""
+    return Contextual(rule)
+
+
+def _found(outcome: object) -> list[Finding]:
+    """Findings out of what a Python rule gave: nothing (or anything false) accepts, a text rejects with it, as does each
+    text of a sequence; findings stay. Anything else is an error of the rule's author and ends the query."""
+    if not outcome:
+        return []
+    if isinstance(outcome, str):
+        return [Finding(outcome)]
+    if isinstance(outcome, Finding):
+        return [outcome]
+    if isinstance(outcome, Sequence) and all(isinstance(x, (str, Finding)) for x in outcome):
+        return [Finding(x) if isinstance(x, str) else x for x in outcome if x]
+    raise TypeError(f"a rule gives None, a text, a Finding or a sequence of texts and Findings; this one gave {outcome!r}")
+
+
+def python_rule(check: Callable, with_attempt: bool = False) -> Callable[..., Column]:
+    """A rule out of a Python function of the record (a dict, nested records as dicts, dates and decimals as text) and, if
+    ``with_attempt``, of its attempt (a dict of ``with_context``). What it raises rejects the record with the error's text.
+
+    Records travel to it in Arrow batches as JSON; rules that columns can express should stay columns.
+    """
+
+    def one(record: str | None, context: str | None) -> list[tuple]:
+        if record is None:
+            return []
+        given = [json.loads(record), *([json.loads(context)] if with_attempt else [])]
+        try:
+            outcome = check(*given)
+        except Exception as e:  # a rule may raise anything to reject
+            outcome = str(e) or f"{type(e).__name__} was raised by the rule"
+        shown = lambda x: None if x is None else (x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, default=str))[:120]
+        return [(f.path, "other", "validator", f.message, shown(f.received), f.reject) for f in _found(outcome)]
+
+    @F.pandas_udf(ISSUE)
+    def run(records: pd.Series, contexts: pd.Series) -> pd.Series:
+        return pd.Series([one(r, c) for r, c in zip(records, contexts)], dtype=object)
+
+    def rule(record: Column, context: Column | None = None) -> Column:
+        told = F.to_json(context, {"ignoreNullFields": "false"}) if context is not None else F.lit(None).cast("string")
+        return run(F.to_json(record, {"ignoreNullFields": "false"}), told)
+
+    return contextual(rule) if with_attempt else rule

@@ -18,14 +18,42 @@ from attestor.functions.text import let as _let
 
 ISSUE = "array<struct<field_path:string,category:string,error_type:string,message:string,received:string>>"
 _TYPES = {"str": "string", "int": "decimal(38,0)", "float": "double", "bool": "boolean", "date": "date"}
-_JSON_TYPES = {"str": {"type": "string"}, "int": {"type": "integer"}, "float": {"type": "number"}, "bool": {"type": "boolean"}, "date": {"type": "string", "format": "date"}}
+_JSON_TYPES = {"str": {"type": "string"}, "int": {"type": "integer"}, "float": {"type": "number"}, "bool": {"type": "boolean"}, "date": {"type": "string", "format": "date"}, "datetime": {"type": "string", "format": "date-time"}, "decimal": {"anyOf": [{"type": "number"}, {"type": "string"}]}, "any": {}}
 _TRUE, _FALSE = ("true", "t", "yes", "y", "on", "1"), ("false", "f", "no", "n", "off", "0")
 SEPARATOR = " -> "
 
 
+@dataclass(frozen=True)
+class OneOf:
+    """A kind: one of several kinds (see ``trees``)."""
+
+    kinds: tuple
+
+
+@dataclass(frozen=True)
+class ListOf:
+    """A kind inside another: a list of some kind (see ``trees``)."""
+
+    kind: object
+
+
+@dataclass(frozen=True)
+class Parts:
+    """A kind: a list of so many values, each of its own kind (see ``trees``)."""
+
+    kinds: tuple
+
+
+def _inside(kind: object) -> tuple:
+    """Kinds that a kind is made of."""
+    if isinstance(kind, RecordSchema):
+        return tuple(f.kind for f in kind.fields)
+    return kind.kinds if isinstance(kind, (OneOf, Parts)) else (kind.kind,) if isinstance(kind, ListOf) else ()
+
+
 @dataclass
 class Field:
-    """``kind``: str, int, float, bool, date, or a RecordSchema; ``many`` makes a list of it, ``keyed`` a map from strings.
+    """``kind``: str, int, float, bool, date, or a RecordSchema (and those of ``trees``); ``many`` makes a list of it, ``keyed`` a map from strings.
 
     A value may be looked up under ``aliases`` and, failing these, at JSON ``paths`` such as ``$.data.name``. ``before``
     gets the text of what is there and gives the text to coerce instead (null: as it is); ``synonyms`` does that by a
@@ -88,30 +116,60 @@ class RecordSchema:
         only = self.fields[0] if len(self.fields) == 1 else None
         return only.keys()[0] if only is not None and only.many and isinstance(only.kind, RecordSchema) else None
 
+    def is_recursive(self) -> bool:
+        """Whether the record can stand inside itself."""
+        seen, todo = set(), list(_inside(self))
+        while todo:
+            kind = todo.pop()
+            if kind is self:
+                return True
+            if not (isinstance(kind, RecordSchema) and id(kind) in seen):
+                seen.add(id(kind))
+                todo += _inside(kind)
+        return False
+
     def json_schema(self, strict: bool = False) -> dict:
-        """JSON Schema of the record; the strict form requires every field and forbids others."""
+        """JSON Schema of the record; the strict form requires every field, forbids others, and tells a default in the
+        field's description instead. Records that contain themselves are definitions that are referred to."""
+        shared: dict[str, dict] = {}
+        out = self._object(strict, shared)
+        return out | ({"$defs": shared} if shared else {})
+
+    def _object(self, strict: bool, shared: dict[str, dict]) -> dict:
         props = {}
         for f in self.fields:
-            one: dict = f.kind.json_schema(strict) if isinstance(f.kind, RecordSchema) else dict(_JSON_TYPES[f.kind])
+            one = _kind_schema(f.kind, strict, shared)
             if f.choices:
                 one = {"enum": list(f.choices)}
             one |= {k: v for k, v in (("minimum", f.ge), ("maximum", f.le), ("exclusiveMinimum", f.gt), ("exclusiveMaximum", f.lt), ("minLength", f.min_length), ("maxLength", f.max_length)) if v is not None}
             one = {"type": "array", "items": one} if f.many else {"type": "object", "additionalProperties": one} if f.keyed else one
             one = {"anyOf": [one, {"type": "null"}]} if f.nullable else one
             one |= {"default": f.default} if f.default is not None and not strict else {}
-            props[f.keys()[0]] = one | ({"description": f.description} if f.description else {})
+            told = " ".join(x for x in (f.description, f"Default: {json.dumps(f.default)}" if strict and f.default is not None else "") if x)
+            props[f.keys()[0]] = one | ({"description": told} if told else {})
         out = {"title": self.name, "type": "object", "properties": props, "required": [f.keys()[0] for f in self.fields if f.required or strict]}
         return out | ({"additionalProperties": False} if strict else {})
 
     def strict_problem(self) -> str | None:
-        """Why the schema has no strict form: maps have free keys; a field that may be absent must be nullable."""
+        """Why the schema has no strict form: a record in itself, free values and free keys can't be told; a field that may
+        be absent must be nullable or have a default."""
+        if self.is_recursive():
+            return f"{self.name} contains itself"
         for f in self.fields:
             if f.keyed:
                 return f"{f.name}: free keys"
             if not f.required and not f.nullable and f.default is None:
                 return f"{f.name}: may be absent but not null"
-            if isinstance(f.kind, RecordSchema) and (inner := f.kind.strict_problem()):
-                return f"{f.name}{SEPARATOR}{inner}"
+            todo = [f.kind]
+            while todo:
+                kind = todo.pop(0)
+                if kind == "any":
+                    return f"{f.name}: free values"
+                if isinstance(kind, RecordSchema):
+                    if inner := kind.strict_problem():
+                        return f"{f.name}{SEPARATOR}{inner}"
+                else:
+                    todo += _inside(kind)
         return None
 
     def tool(self, description: str = "", strict: bool = False) -> dict:
@@ -124,6 +182,23 @@ class RecordSchema:
         return RecordSchema(f"{self.name}List", [Field(key, self, many=True)])
 
 
+def _kind_schema(kind: object, strict: bool, shared: dict[str, dict]) -> dict:
+    if isinstance(kind, RecordSchema):
+        if not kind.is_recursive():
+            return kind._object(strict, shared)
+        if kind.name not in shared:
+            shared[kind.name] = {}
+            shared[kind.name] = kind._object(strict, shared)
+        return {"$ref": f"#/$defs/{kind.name}"}
+    if isinstance(kind, OneOf):
+        return {"anyOf": [_kind_schema(k, strict, shared) for k in kind.kinds]}
+    if isinstance(kind, Parts):
+        return {"type": "array", "prefixItems": [_kind_schema(k, strict, shared) for k in kind.kinds], "minItems": len(kind.kinds), "maxItems": len(kind.kinds)}
+    if isinstance(kind, ListOf):
+        return {"type": "array", "items": _kind_schema(kind.kind, strict, shared)}
+    return dict(_JSON_TYPES[kind])
+
+
 def _issue(path: Column, kind: str, message: Column | str, value: Column | None) -> Column:
     shown = F.lit(None).cast("string") if value is None else received(value)
     return F.struct(path.alias("field_path"), error_category(F.lit(kind)).alias("category"), F.lit(kind).alias("error_type"), (F.lit(message) if isinstance(message, str) else message).alias("message"), shown.alias("received"))

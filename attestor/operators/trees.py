@@ -21,33 +21,12 @@ from pyspark.sql import functions as F
 
 from attestor.functions.text import error_category, once, received, truncated
 from attestor.operators.grounding import Grounded, number_text, render_candidates, search_forms
-from attestor.operators.schema import MESSAGES, SEPARATOR, Field, RecordSchema, _coerced
+from attestor.operators.schema import MESSAGES, SEPARATOR, Field, ListOf, OneOf, Parts, RecordSchema, _coerced
 from attestor.sources.state import written
 
 SCALARS = ("str", "int", "float", "bool", "date", "datetime", "decimal")
 
 
-@dataclass(frozen=True)
-class OneOf:
-    """A field's kind: one of several kinds."""
-
-    kinds: tuple
-
-
-@dataclass(frozen=True)
-class ListOf:
-    """A kind inside another: a list of some kind."""
-
-    kind: object
-
-
-@dataclass(frozen=True)
-class Parts:
-    """A field's kind: a list of so many values, each of its own kind."""
-
-    kinds: tuple
-
-
 #: Messages beside those of ``schema`` (fixed values).
 _MORE = {
     "datetime_type": "Input should be a valid datetime",

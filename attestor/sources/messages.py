@@ -110,7 +110,8 @@ def write_results(df: DataFrame, path: str, kind: str = "json") -> None:
 
 
 def write_benchmark(results: DataFrame, fields: DataFrame, schemas: DataFrame, path: str) -> None:
-    """Write benchmark results as JSON, one document a schema: its results, its figures and those of its fields."""
+    """Write benchmark results as JSON, one document a schema: its results, its figures and those of its fields. A benchmark's
+    size is bounded (``benchmark_grid``); tables of any size go to ``sources.sink``."""
     each = results.groupBy("schema_name").agg(F.collect_list(F.struct(*[c for c in results.columns if c != "schema_name"])).alias("results"))
     problems = fields.groupBy("schema_name").agg(F.sort_array(F.collect_list(F.struct("severity", *[c for c in fields.columns if c not in ("schema_name", "severity")])), asc=False).alias("field_problems"))
     schemas.join(problems, "schema_name", "left").join(each, "schema_name", "left").write.mode("overwrite").json(path)

@@ -5,12 +5,15 @@ Figures are mergeable aggregates, so state is one row for each key. A run is an
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+_log = logging.getLogger(__name__)
+
 
 def live_field_summary(runs: DataFrame) -> DataFrame:
     """Occurrences, runs and failed runs by (schema, field) of a streaming runs table; a run arrives as one row."""
@@ -46,7 +49,7 @@ class Listeners:
             try:
                 listener(gated(batch, capture), number)
             except Exception as e:  # a listener never breaks a run
-                print(f"listener failed on batch {number}: {e}")
+                _log.warning("listener failed on batch %s: %s", number, e)
 
 
 class StatsSink:
