@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from attestor.operators import agent, relaxations
+from attestor.operators import agent, benchreport, extraction, relaxations, rules
+from attestor.operators.scoring import Between
 from attestor.plans.catalogue import SQL, _t, order_runs, query
+from attestor.plans.extraction_queries import _EXTRACTED, VISIT, event_replies
 from attestor.streaming import figures
 
 _TURNS = """
@@ -87,4 +89,36 @@ def merged_field_figures(spark, sf):
     """The field summary out of partial figures of three shares of the runs, merged."""
     runs = order_runs(spark, sf)
     parts = [figures.partial_figures(runs.where(F.pmod(F.xxhash64("run_id"), F.lit(3)) == k)) for k in range(3)]
-    return figures.field_summary_of(figures.merged_figures(*parts))
+    out = figures.field_summary_of(figures.merged_figures(*parts))
+    return out.withColumns({c: F.round(c, 9) for c in ("first_error_attempt_avg", "recovery_rate")})
+
+
+_EXPECTED = {"size": Between(10, 30), "brand": "Brand#23", "words": ["green", "almond", "blue"], "kind": "steel"}
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size, replace(p_brand, '|', '\\|') AS p_brand, p_name, string_split(p_name, ' ') AS w, p_size BETWEEN 10 AND 30 AS s, lower(replace(p_brand, ' ', '')) = 'brand#23' AS b FROM part),
+c AS (SELECT *, len(list_filter(['green', 'almond', 'blue'], lambda e: len(list_filter(w, lambda a: a <> '' AND (contains(lower(a), e) OR contains(e, lower(a))))) > 0)) AS n FROM p)
+SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN '—' ELSE CASE WHEN s THEN '🟢' ELSE '🔴' END || ' size=' || p_size || CASE WHEN s THEN '' ELSE ', expected: 10 to 30' END || '<br>' || CASE WHEN b THEN '🟢' ELSE '🔴' END || ' brand=' || p_brand || CASE WHEN b THEN '' ELSE ', expected: Brand#23' END
+  || '<br>' || CASE WHEN n = 3 THEN '🟢' WHEN n > 0 THEN '🟡' ELSE '🔴' END || ' words=[' || len(w) || '] (' || n || '/3)' || CASE WHEN n < 3 THEN ', expected: green; almond; blue' ELSE '' END || '<br>🔴 kind=∅, expected: steel' || CASE WHEN p_partkey % 2 = 0 THEN '<br>⚪ note=seen' ELSE '' END END AS detail FROM c
+""")
+def value_details(spark, sf):
+    """Parts as records, each field held against what a scenario expects."""
+    record = F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), F.split("p_name", " ").alias("words"), F.lit(None).cast("string").alias("kind"), F.when(F.col("p_partkey") % 2 == 0, "seen").alias("note"))
+    rows = _t(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, record).alias("r"))
+    return rows.select("p_partkey", benchreport.value_detail(F.col("r"), ["size", "brand", "words", "kind", "note"], _EXPECTED, ("words",)).alias("detail"))
+
+
+@query(_EXTRACTED.replace("WHEN k > 80 THEN 'rule'", "WHEN k > 80 AND NOT (attempt >= 2 AND model_rank = 1) THEN 'rule'") + """
+SELECT run_id, model_rank, attempt, outcome, (outcome IN ('schema', 'ground', 'rule') OR (outcome = 'ok' AND k > 80))::INT AS n_issues, CASE WHEN k > 80 AND outcome IN ('ok', 'rule') THEN 'attempt ' || (attempt + 1) || ' of 3 with ' || CASE WHEN attempt = 0 THEN 'low' ELSE 'high' END END AS message FROM a
+""")
+def contextual_rules(spark, sf):
+    """A rule that rejects large values until the last attempt of the last model, where it only notes them."""
+    def rule(r, at):
+        told = F.concat(F.lit("attempt "), at["attempt"].cast("string"), F.lit(" of "), at["max_attempts"].cast("string"), F.lit(" with "), at["reasoning_effort"])
+        large = rules.finding(r["k"] > 80, told, "k")
+        return F.transform(rules.findings(large), lambda i: i.withField("rejecting", ~at["is_final"]))
+
+    out = extraction.extracted(event_replies(spark, sf), VISIT, source=F.col("source"), rule=rules.contextual(rule), levels=("low", "high"))
+    last = F.when(F.col("outcome").isin("ok", "rule"), F.get("issues", F.lit(0))["message"])
+    return out.select("run_id", "model_rank", "attempt", "outcome", F.size("issues").alias("n_issues"), last.alias("message"))
