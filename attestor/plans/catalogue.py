@@ -356,16 +356,21 @@ def network_retries(spark, sf):
     return _t(spark, sf, "events").select("event_id", replay.network_retry(kinds).alias("r")).select("event_id", "r.retries", "r.waited", "r.gave_up")
 
 
+def middle(text):
+    """The 24 characters in the middle of a text, or all of a shorter one."""
+    return F.substring(text, F.greatest((F.length(text) / 2).cast("int") - 11, F.lit(1)), F.lit(24))
+
+
 def quoted_pairs(spark, sf):
     """Pieces of documents and where they may stand: in their own document, and in the one with the next id."""
-    docs = _t(spark, sf, "documents").where(F.length("text") > 60)
-    own = docs.select("doc_id", F.substring("text", 21, 24).alias("piece"))
+    docs = _t(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select("doc_id", middle(F.col("text")).alias("piece"))
     beside = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.lit(True).alias("next"), "text").unionByName(docs.select("doc_id", F.lit(False).alias("next"), "text"))
     return own.join(beside, "doc_id")
 
 
 _PAIRS = """
-WITH d AS (SELECT doc_id, text, substr(text, 21, 24) AS piece FROM documents WHERE length(text) > 60),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, substr(coalesce(text, ''), greatest(length(coalesce(text, '')) // 2 - 11, 1), 24) AS piece FROM documents),
 pairs AS (SELECT a.doc_id, false AS next, a.piece, a.text FROM d a UNION ALL SELECT a.doc_id, true, a.piece, b.text FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
 """
 

@@ -13,7 +13,7 @@ from attestor.functions.text import once
 from attestor.operators import analytics, extraction, grounding, replay, rules, scoring, toolcalls
 from attestor.operators.grounding import Grounded
 from attestor.operators.schema import Field, RecordSchema, completed, needed_if, revalidated, validate
-from attestor.plans.catalogue import _t, bench_results, order_runs, query
+from attestor.plans.catalogue import _t, bench_results, middle, order_runs, query
 from attestor.sources import messages
 
 VISIT = RecordSchema("Visit", [Field("k", "int", ge=5), Field("kind", grounded=Grounded())])
@@ -117,15 +117,15 @@ NOTE = RecordSchema("Note", [Field("head", grounded=Grounded()), Field("quotes",
 
 
 @query("""
-WITH d AS (SELECT doc_id, text, substr(text, 21, 24) AS own FROM documents WHERE length(text) > 60),
-p AS (SELECT a.doc_id, a.text, upper(a.own) AS own, b.own AS other FROM d a JOIN d b ON b.doc_id = a.doc_id + 1),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, substr(coalesce(text, ''), greatest(length(coalesce(text, '')) // 2 - 11, 1), 24) AS own FROM documents),
+p AS (SELECT a.doc_id, a.text, upper(a.own) AS own, coalesce(b.own, a.own) AS other FROM d a LEFT JOIN d b ON b.doc_id = a.doc_id + 1),
 v AS (SELECT doc_id, text, unnest(['head', 'quotes -> 0 -> text', 'quotes -> 1 -> text', 'by_place -> next -> text', 'last -> text', 'loose']) AS field_path, unnest([own, own, other, other, own, other]) AS value, unnest([true, true, true, true, true, false]) AS rejecting FROM p),
 f AS (SELECT *, replace(lower(strip_accents(trim(regexp_replace(text, '\\s+', ' ', 'g')))), 'ß', 'ss') AS hay, replace(lower(strip_accents(trim(regexp_replace(value, '\\s+', ' ', 'g')))), 'ß', 'ss') AS needle FROM v)
 SELECT doc_id, field_path, rejecting FROM f WHERE NOT contains(hay, needle)
 """)
 def record_grounding(spark, sf):
-    docs = _t(spark, sf, "documents").where(F.length("text") > 60).select("doc_id", "text", F.substring("text", 21, 24).alias("own"))
-    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("own").alias("other")), "doc_id")
+    docs = _t(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("own", middle(F.col("text")))
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("own").alias("other")), "doc_id", "left").withColumn("other", F.coalesce("other", "own"))
     own, quote = F.upper("own"), lambda c: F.struct(c.alias("text"))
     doc = F.to_json(F.struct(own.alias("head"), F.array(quote(own), quote(F.col("other"))).alias("quotes"), F.create_map(F.lit("next"), quote(F.col("other"))).alias("by_place"), quote(own).alias("last"), F.col("other").alias("loose")))
     rows = pairs.select("doc_id", "text", validate(doc, NOTE)["record"].alias("record"))
