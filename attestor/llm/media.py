@@ -265,18 +265,23 @@ def decode_lossless(intervals: list[bytes], table: np.ndarray, width: int) -> np
 
 
 class _Bits:
+    """Bits of a scan from the front; each look reads four bytes, however long the scan is."""
+
     def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
+        self.data, self.at, self.size = data, 0, 8 * len(data)
+
+    def _ahead(self) -> int:
+        k = self.at >> 3
+        return int.from_bytes(self.data[k : k + 4].ljust(4, b"\0"), "big")
 
     def peek16(self) -> int:
-        return (self.value >> (self.left - 16)) & 65535 if self.left >= 16 else (self.value << (16 - self.left)) & 65535
+        return (self._ahead() >> (16 - (self.at & 7))) & 65535
 
     def take(self, n: int) -> int:
-        self.left -= n
-        if self.left < 0:
+        if self.at + n > self.size:
             raise ValueError("the scan ends early")
-        out = self.value >> self.left
-        self.value &= (1 << self.left) - 1
+        out = (self._ahead() >> (32 - (self.at & 7) - n)) & ((1 << n) - 1)
+        self.at += n
         return out
 
 
@@ -381,6 +386,21 @@ def detect_shots(frames: list[np.ndarray], bins: int = 32, window: int = 8, fact
     return list(zip(cuts, [*cuts[1:], len(frames)])), diff.tolist()
 
 
+def payload_frames(frames: list[np.ndarray], note: bytes | None) -> list[np.ndarray]:
+    """Frames for ``detect_shots`` of a file made by ``store_text``: what fills the last one up shows no change of the text,
+    so a frame's worth of samples up to the text's end (its last that isn't a space) stands for it. Frames of other files
+    stay."""
+    if len(frames) < 2 or note is None or len(note) != 8 or any(f.shape[:2] != (HEIGHT, UNIT) for f in frames[-2:]):
+        return frames
+    rows = struct.unpack("<Q", note)[0] - HEIGHT * (len(frames) - 2)
+    if not HEIGHT < rows <= 2 * HEIGHT:
+        return frames
+    end = np.concatenate(frames[-2:])[:rows].ravel()
+    said = np.flatnonzero(end != 32)
+    end = end[: max(said[-1] + 1 if len(said) else 0, HEIGHT * UNIT)]
+    return [*frames[:-1], end[-HEIGHT * UNIT :]]
+
+
 def store_text(data: bytes) -> bytes:
     """The AVI file of a text: payload padded with spaces to rows of 192 samples, 8 rows in a frame.
 
@@ -419,7 +439,7 @@ def clip_rows(table: DataFrame, id_col: str, media_col: str) -> DataFrame:
             for key, media in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     info = parse_avi(media.as_py() or b"")
-                    shots, diff = detect_shots(decode_frames([media.as_py()[a:b] for a, b in info["frames"]]))
+                    shots, diff = detect_shots(payload_frames(decode_frames([media.as_py()[a:b] for a, b in info["frames"]]), info["note"]))
                     rate = info["rate"] or 1.0
                     out += [(key, k, a, b - a, a / rate, b / rate, max(diff[a:b]), None) for k, (a, b) in enumerate(shots)]
                 except (ArithmeticError, AttributeError, LookupError, TypeError, ValueError, struct.error, StopIteration) as e:  # whatever a damaged file may lead to
@@ -445,7 +465,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def described(ids: list, texts: list[bytes]) -> pa.RecordBatch:
         files, out = [store_text(t) for t in texts], []
         for doc_id, data, media, (payload, frames, info) in zip(ids, texts, files, read_texts(files)):
-            shots, diff = detect_shots(frames)
+            shots, diff = detect_shots(payload_frames(frames, info["note"]))
             rate = info["rate"]
             feature = ";".join(f"{a / rate:.2f}-{b / rate:.2f}@{round(1000 * max(diff[a:b]))}" for a, b in shots)
             out.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames), len(shots)))

@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import time
 import struct
 import zlib
 
@@ -92,7 +93,10 @@ def test_stored_texts(spark, documents, odd_rows):
 def plain_feature(payload):
     """Clips of a payload by the definition, without the module's arrays: 8 rows of 192 samples a frame, 25 a second."""
     size = 8 * 192
-    frames = [payload[k : k + size] + bytes(max(0, size - len(payload[k : k + size]))) for k in range(0, len(payload), size)]
+    frames = [payload[k : k + size] for k in range(0, len(payload), size)]
+    if len(frames) > 1:  # the last frame's worth of the text, without the spaces at its end
+        tail = (frames[-2] + frames[-1]).rstrip(b" ")
+        frames[-1] = tail[-size:] if len(tail) > size else frames[-2]
     hists = []
     for f in frames:
         h = [0] * 32
@@ -149,3 +153,32 @@ def test_clip_rows(spark):
     out = media.clip_rows(spark.createDataFrame([(1, bytearray(avi)), (2, None), (3, bytearray(b"junk"))], "id int, m binary"), "id", "m").orderBy("id", "clip").collect()
     assert [(r.id, r.first_frame, r.frames) for r in out] == [("1", 0, 3), ("1", 3, 2), ("2", None, None), ("3", None, None)]
     assert out[1].start_s == pytest.approx(3 / 25) and out[2].error and out[3].error
+
+
+def test_padding_is_no_shot():
+    """A text that says one thing has one clip, wherever it ends."""
+    line = b"the same sentence again and again, as it was said before. "
+    for size in [*range(1, 6400, 61), *range(1530, 1545), 3072, 3073, 4607, 4609]:
+        payload, frames, info = media.read_texts([media.store_text((line * 120)[:size])])[0]
+        assert len(media.detect_shots(media.payload_frames(frames, info["note"]))[0]) == 1, size
+    change = line * 60 + b"0123456789" * 60
+    payload, frames, info = media.read_texts([media.store_text(change)])[0]
+    assert len(media.detect_shots(media.payload_frames(frames, info["note"]))[0]) == 2
+    assert media.payload_frames([], None) == [] and len(media.payload_frames(frames, None)) == len(frames)
+
+
+def test_bits_of_long_scans():
+    rng = random.Random(3)
+    data = rng.randbytes(400_000)
+    whole, bits, at = int.from_bytes(data[:64], "big"), media._Bits(data), 0
+    for _ in range(40):
+        n = rng.randrange(0, 13)
+        assert bits.peek16() == (whole >> (512 - at - 16)) & 65535 if at <= 496 else True
+        assert bits.take(n) == (whole >> (512 - at - n)) & ((1 << n) - 1)
+        at += n
+    began = time.time()
+    while bits.at + 16 <= bits.size:
+        bits.take(16)
+    assert time.time() - began < 3
+    with pytest.raises(ValueError, match="ends early"):
+        bits.take(17)
