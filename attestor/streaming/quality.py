@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from attestor.sources.state import written
+
 _log = logging.getLogger(__name__)
 
 
@@ -69,7 +71,12 @@ class StatsSink:
 
     @classmethod
     def record(cls, runs: DataFrame) -> DataFrame:
-        """Hand completed runs to every open scope, without private columns; gives them back unchanged."""
+        """Hand completed runs to every open scope, without private columns. Where one is open they are written to the shared
+        folder first, and what was written is given back: reading figures never runs an extraction again. (Sums alone
+        are had without that by ``observed.counted``.)"""
+        if not cls._open:
+            return runs
+        runs = written(runs, "recorded-runs")
         for sink in cls._open:
             sink.tables.append(gated(runs))
         return runs
