@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import decontaminate, langid, linededup, packing, simhash
-from attestor.llm.shared import drop_kept, written
+from attestor.llm.shared import drop_kept, release, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the classifier learns from the labelled ones among them."""
-    return langid.recognised(docs, langid.fit(docs))
+    out = langid.recognised(docs, langid.fit(docs))
+    release()  # the driver drew the sample that the classifier was fitted on
+    return out
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
