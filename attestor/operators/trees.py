@@ -306,7 +306,7 @@ def nodes(docs: DataFrame, id_col: str, json_col: str, schema: RecordSchema | Sl
         rows = rows.where("open")
         if rows.isEmpty():
             break
-    out = _decided(done)
+    out = _decided(done) if any(r[1] == "union" for r in slots.rows) else done
     path = F.array_join("names", SEPARATOR)
     return out.select(F.col("id_").alias(id_col), "at", path.alias("path"), F.array_join(F.slice("names", 1, F.greatest(F.size("names") - 1, F.lit(0))), SEPARATOR).alias("parent"), "shape", "kind", "state", "value", "error_type", "message", "shown", "prefix", "hint", "check")
 
