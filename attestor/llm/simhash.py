@@ -538,9 +538,10 @@ def _similar(sketches: DataFrame, signatures: DataFrame, texts: Callable[[DataFr
     first = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _verified(first, signatures, texts, words, similarity)
     roots = components(links, "similar-cc")
+    others = met.join(first, ["a", "b"], "left_anti")
     for end in "ab":
-        met = met.join(roots.select(F.col("node").alias(end), F.col("root").alias("r" + end)), end, "left").withColumn("r" + end, F.coalesce("r" + end, end))
-    rest = _verified(met.where("ra <> rb").select("a", "b").join(first, ["a", "b"], "left_anti"), signatures, texts, words, similarity)
+        others = others.join(roots.select(F.col("node").alias(end), F.col("root").alias("r" + end)), end, "left").withColumn("r" + end, F.coalesce("r" + end, end))
+    rest = _verified(others.where("ra <> rb").select("a", "b"), signatures, texts, words, similarity)
     if not rest.isEmpty():
         links = links.union(rest)
         roots = components(links, "similar-cc")
