@@ -541,7 +541,7 @@ def _similar(sketches: DataFrame, signatures: DataFrame, texts: Callable[[DataFr
     others = met.join(first, ["a", "b"], "left_anti")
     for end in "ab":
         others = others.join(roots.select(F.col("node").alias(end), F.col("root").alias("r" + end)), end, "left").withColumn("r" + end, F.coalesce("r" + end, end))
-    rest = _verified(others.where("ra <> rb").select("a", "b"), signatures, texts, words, similarity)
+    rest = _verified(kept(others.where("ra <> rb").select("a", "b")), signatures, texts, words, similarity)
     if not rest.isEmpty():
         links = links.union(rest)
         roots = components(links, "similar-cc")
