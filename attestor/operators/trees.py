@@ -294,6 +294,8 @@ def nodes(docs: DataFrame, id_col: str, json_col: str, schema: RecordSchema | Sl
     spark = docs.sparkSession
     table, steps = slots.table(spark), _opening(slots)
     rows = docs.select(F.col(id_col).alias("id_"), F.col(json_col).cast("string").alias("t_")).where("t_ is not null")
+    # documents are small for the work they take: as many as lie in one file's split would be opened by one task
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "id_")
     empty = F.array()
     start = _row(at=empty, names=empty, prefix=F.lit(""), slot=F.lit(0), v=F.try_parse_json("t_"), branch=empty, field=F.lit(False), required=F.lit(True), nullable=F.lit(False), open=F.lit(True))
     rows, done = rows.select("id_", F.inline(F.array(start))), None

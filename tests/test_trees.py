@@ -62,6 +62,11 @@ def test_kinds_side_by_side(spark):
     assert got[3] == [("deep -> union -> int", "int_type"), ("deep -> union -> date", "date_type"), ("deep -> list[bool] -> 0", "bool_parsing"), ("pair", "too_long"), ("at", "datetime_from_date_parsing"), ("sum", "decimal_type")]
 
 
+def test_documents_of_one_task_are_spread(spark):
+    df = spark.range(64).coalesce(1).selectExpr("id as k", """'{"name": "n"}' as doc""")
+    assert len(trees.nodes(df, "k", "doc", RecordSchema("N", [Field("name")])).inputFiles()) > 1
+
+
 def test_functions_of_fields(spark):
     kinds = RecordSchema("K", [
         Field("price", "float", before=lambda t: F.regexp_replace(t, "[^0-9.]", ""), gt=0), Field("prio", choices=("high", "low"), synonyms={"1-urgent": "high"}), Field("who", after=(F.trim, F.initcap), aliases=("person", "name")),
