@@ -136,8 +136,9 @@ def salvaged(finished: DataFrame, schema: RecordSchema, repair: Callable[[Column
 
 
 def items(finished: DataFrame, item: RecordSchema, key: str = "items") -> DataFrame:
-    """Runs of ``item.listed(key)`` as one row for each item: run_id, index, item; a run without items keeps a row."""
-    return finished.select("run_id", "success", F.posexplode_outer(F.col("record")[key]).alias("index", "item"))
+    """Runs of ``item.listed(key)`` as one row for each item: run_id, success, item_count, index, item; a run without items
+    keeps a row."""
+    return finished.select("run_id", "success", "item_count", F.posexplode_outer(F.col("record")[key]).alias("index", "item"))
 
 
 def list_salvage(candidate: Column, rejection: Column, schema: RecordSchema) -> Column:

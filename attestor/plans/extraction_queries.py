@@ -15,6 +15,7 @@ from attestor.operators.grounding import Grounded
 from attestor.operators.schema import Field, RecordSchema, completed, needed_if, revalidated, validate
 from attestor.plans.catalogue import _t, bench_results, middle, order_runs, query
 from attestor.sources import messages
+from attestor.sources.state import written
 
 VISIT = RecordSchema("Visit", [Field("k", "int", ge=5), Field("kind", grounded=Grounded())])
 
@@ -210,10 +211,10 @@ def order_lists(spark, sf):
 SELECT l_orderkey AS run_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) - 1)::INT AS index, l_quantity::BIGINT AS q, l_returnflag AS flag, count(*) OVER (PARTITION BY l_orderkey)::INT AS item_count FROM lineitem
 """)
 def list_extraction(spark, sf):
-    attempts = extraction.extracted(order_lists(spark, sf), LINE.listed())
+    # runs reads its attempts from several sides, each of which would extract them again
+    attempts = written(extraction.extracted(order_lists(spark, sf), LINE.listed()), "list-attempts")
     done = extraction.runs(attempts, attempts.select("run_id"), LINE.listed(), 1, 1, False)
-    each = extraction.items(done, LINE).select("run_id", "index", F.col("item.q").cast("long").alias("q"), F.col("item.flag").alias("flag"))
-    return each.join(done.select("run_id", "item_count"), "run_id")
+    return extraction.items(done, LINE).select("run_id", "index", F.col("item.q").cast("long").alias("q"), F.col("item.flag").alias("flag"), "item_count")
 
 
 @query("""
