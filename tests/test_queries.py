@@ -31,7 +31,7 @@ def test_query(spark, con, name):
         assert rows(got.astype(object)) == rows(con.sql(catalogue.SQL[name]).df().astype(object))
 
 
-@pytest.mark.parametrize("name", ("list_extraction",))
+@pytest.mark.parametrize("name", ("list_extraction", "salvaged_lists"))
 def test_lists_are_extracted_once(spark, name):
     assert not any("lineitem" in f for f in catalogue.QUERIES[name](spark, SF).inputFiles())
 
