@@ -31,6 +31,15 @@ def test_query(spark, con, name):
         assert rows(got.astype(object)) == rows(con.sql(catalogue.SQL[name]).df().astype(object))
 
 
+def test_problem_fields_on_odd_lines(spark, con, tmp_path):
+    lines = [(1, 1, 3 * 10**9, 5, "A"), (1, 2, 7, 5, "N"), (2, None, 1, 1, "R"), (2, 7, 1, 1, "A"), (3, 1, None, 1, "A"), (3, 2, 1, 1, None), (3, 3, 2, 1, "N"), (4, 1, 1, 1, None), (5, 1, 1, 1, "R"), (None, 1, 1, 1, "R"), (6, 2, 1, 9, "R"), (6, None, 1, 2, "R"), (6, 3, 1, 1, "A")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").selectExpr("*", "'O' as l_linestatus", "6.0D as l_quantity").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "1-URGENT", "F") for k in (1, 2, 3, 4, 6, 7)], "o_orderkey long, o_orderpriority string, o_orderstatus string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.QUERIES["problem_fields"](spark, str(tmp_path)).toPandas()
+    want = duckdb.connect().sql(catalogue.SQL["problem_fields"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")).df()
+    assert rows(got.astype(object)) == rows(want.astype(object))
+
+
 @pytest.mark.parametrize("name", ("list_extraction", "salvaged_lists"))
 def test_lists_are_extracted_once(spark, name):
     assert not any("lineitem" in f for f in catalogue.QUERIES[name](spark, SF).inputFiles())
