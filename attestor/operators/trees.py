@@ -3,8 +3,8 @@
 A schema is compiled to a small table of slots, one for each place that a value can have in it; a record that contains
 itself has one. A JSON document is opened level by level into rows (document, place, slot, value), each joined with its
 slot, so what is done to a value depends on the slot's columns: neither the plan nor the time to build it grows with the
-number of fields, and depth is whatever the documents have. Several levels are opened in one job; what is still closed
-then is opened in the next.
+number of fields, and depth is whatever the documents have. What is still closed after a job is
+opened in the next.
 
 A union's alternatives are opened side by side. Of those without issues the one with most fields set is taken, then the one
 with the fewest values that had to be coerced, then the first; if all have issues, all issues are told, under the
@@ -280,7 +280,7 @@ def _level(rows: DataFrame, steps: list[Column], table: DataFrame) -> DataFrame:
     return rows.select("id_", steps[-1])
 
 
-def nodes(docs: DataFrame, id_col: str, json_col: str, schema: RecordSchema | Slots, levels: int = 4) -> DataFrame:
+def nodes(docs: DataFrame, id_col: str, json_col: str, schema: RecordSchema | Slots, levels: int = 1) -> DataFrame:
     """A row for each value of each document that the schema has a place for (and for each that is missing): ``id_col``,
     ``at`` (its place in the order of the document), ``path``, ``parent`` (path), ``shape``, ``kind``, ``state`` (record,
     list, map, tuple, leaf, preset, absent or bad), ``value`` (JSON text of a leaf), error_type, message, shown, and what
@@ -288,7 +288,8 @@ def nodes(docs: DataFrame, id_col: str, json_col: str, schema: RecordSchema | Sl
 
     Text that is not JSON is one bad row; null text gives no rows, as does an empty table. Ids should be unique: rows of
     one id are read as one document's. Extra columns play no part. ``levels`` are opened in a job; what lies deeper is
-    opened in further ones, so any depth that Spark can parse is read.
+    opened in further ones, so any depth that Spark can parse is read. Rows that are done pass a job's other levels too, so
+    more than one pays only where documents are few.
     """
     slots = schema if isinstance(schema, Slots) else compiled(schema)
     spark = docs.sparkSession
