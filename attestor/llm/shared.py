@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +42,14 @@ def release() -> None:
         pass
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver let go of what a finished stage leaves: plans that only cycles of Python objects hold, what the
+    virtual machine holds for them, and with these the shuffles and broadcasts that Spark then cleans up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    release()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function of Arrow batches that releases its worker's memory when the task ends."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import decontaminate, langid, linededup, packing, simhash
-from attestor.llm.shared import drop_kept, release, written
+from attestor.llm.shared import drop_kept, let_go, release, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,4 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs = written(docs, name)
             drop_kept()
+            let_go(spark)
     return docs

@@ -92,3 +92,23 @@ def test_every_stage_by_brute_force(spark, tmp_path):
         ids, mine = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4"), packed[packed.doc_id == i].sort_values("start")
         assert mine.length.sum() == len(ids) and all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in zip(mine.start, mine.length, mine.ids_crc32))
     assert (packed.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_driver_lets_go_of_cycles(spark):
+    import gc
+    import weakref
+
+    from attestor.llm.shared import let_go
+
+    class Holder:
+        pass
+
+    gc.disable()
+    try:
+        one = Holder()
+        one.own, one.df, seen = one, spark.range(3), weakref.ref(one)
+        del one
+        let_go(spark)
+        assert seen() is None
+    finally:
+        gc.enable()
