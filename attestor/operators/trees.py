@@ -6,6 +6,9 @@ slot, so what is done to a value depends on the slot's columns: neither the plan
 number of fields, and depth is whatever the documents have. Several levels are opened in one job; what is still closed
 then is opened in the next.
 
+A small schema is opened by its places instead: all that lies within a record up to its lists, maps and records that come
+again is one row's work, with expressions made for each place, and unions that lie wholly within it are decided there.
+
 A union's alternatives are opened side by side. Of those without issues the one with most fields set is taken, then the one
 with the fewest values that had to be coerced, then the first; if all have issues, all issues are told, under the
 alternatives' names.
@@ -181,6 +184,14 @@ def _texts(value: Column, want: Column) -> Column:
     return F.when(want.isin("str", "date", "datetime", "decimal"), F.to_json(value.cast("variant"))).otherwise(value)
 
 
+def _typed(v: Column, kind: Column, want: str) -> Column:
+    """A scalar coerced: its value as text, the error type, and whether it was of its type."""
+    value, error = _moment(v, kind) if want == "datetime" else _exact_number(v, kind) if want == "decimal" else _coerced(v, kind, want)
+    exact = {"str": kind == "STRING", "int": kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "LONG"), "float": kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "bool": kind == "BOOLEAN"}.get(want, F.lit(False))
+    shown = F.to_json(value.cast("variant")) if want == "float" else value.cast("string")
+    return F.struct(shown.alias("value"), F.when(kind == "VOID", {"str": "string_type", "datetime": "datetime_type", "decimal": "decimal_type"}.get(want, f"{want}_type")).otherwise(error).alias("error"), exact.alias("exact"))
+
+
 def _opening(slots: Slots) -> list[Column]:
     """Columns that open a row, in steps that are each worked out once (the last gives the rows it becomes): a row that
     was open stays as one that is done, and its parts are open rows beside it. They are the same at every level."""
@@ -203,10 +214,7 @@ def _opening(slots: Slots) -> list[Column]:
     kind = F.col("kind_now" if "kind_now" in steps[-1] else "found")
     made = None
     for name in sorted({r[2] for r in slots.rows if r[2]}):
-        value, error = _moment(v, kind) if name == "datetime" else _exact_number(v, kind) if name == "decimal" else _coerced(v, kind, name)
-        exact = {"str": kind == "STRING", "int": kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "LONG"), "float": kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "bool": kind == "BOOLEAN"}.get(name, F.lit(False))
-        shown = F.to_json(value.cast("variant")) if name == "float" else value.cast("string")
-        one = F.struct(shown.alias("value"), F.when(kind == "VOID", {"str": "string_type", "datetime": "datetime_type", "decimal": "decimal_type"}.get(name, f"{name}_type")).otherwise(error).alias("error"), exact.alias("exact"))
+        one = _typed(v, kind, name)
         made = F.when(want == name, one) if made is None else made.when(want == name, one)
     none = F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("exact"))
     here = F.col("open") & v.isNotNull()
@@ -280,6 +288,316 @@ def _level(rows: DataFrame, steps: list[Column], table: DataFrame) -> DataFrame:
     return rows.select("id_", steps[-1])
 
 
+_TYPES = {"at": "array<int>", "names": "array<string>", "v": "variant", "branch": "array<struct<at:array<int>,alt:int,nth:int>>", "slot": "int", **dict.fromkeys(("field", "required", "nullable", "open", "exact"), "boolean")}
+_CHECK = ("mode", "threshold", "source", "rejecting", "locale")
+#: Places up to which a schema is opened by them: plans grow with their number.
+_MOST_PLACES = 40
+
+
+@dataclass
+class Place:
+    """What lies at one place within a record that is opened as a whole: its slot, the link that leads there (none: the
+    first place, whose particulars are those of the row), and the place above and which of its parts this is. ``later``
+    places become open rows."""
+
+    slot: int
+    link: tuple | None
+    above: int | None
+    nth: int
+    later: bool
+
+
+def _places(slots: Slots) -> dict[int, list[Place]] | None:
+    """Places by first slot, or none if they are too many or need functions that single slots have."""
+    if slots.before or slots.after or slots.checks or any(r[13] for r in slots.rows):
+        return None
+    out: dict[int, list[Place]] = {}
+    todo = [0]
+    while todo:
+        first = todo.pop()
+        if first in out:
+            continue
+        places = out[first] = []
+
+        def grow(slot: int, link: tuple | None, above: int | None, nth: int, seen: frozenset) -> None:
+            shape, links = slots.rows[slot][1], slots.rows[slot][4] or []
+            places.append(Place(slot, link, above, nth, slot in seen))
+            if slot in seen or sum(map(len, out.values())) > _MOST_PLACES:
+                todo.append(slot)
+                return
+            if shape in ("list", "map"):
+                todo.append(links[0][0])
+            elif shape in ("record", "tuple", "union"):
+                me = len(places) - 1
+                for i, c in enumerate(links):
+                    grow(c[0], c, me, i, seen | {slot} if shape == "record" else seen)
+
+        grow(first, None, None, 0, frozenset())
+        if sum(map(len, out.values())) > _MOST_PLACES:
+            return None
+    keys = [_keys(r[4]) for r in slots.rows if r[1] == "record"]
+    return None if any(len({x.lower() for x in k}) < len(k) for k in keys) else out
+
+
+def _keys(links: list[tuple]) -> list[str]:
+    """Keys that a record is asked for."""
+    return list(dict.fromkeys([k for c in links for k in c[1]] + [c[8] for c in links if c[8]]))
+
+
+class _Opened:
+    """Columns of the places of one first slot, by steps (``columns`` of each are worked out once)."""
+
+    def __init__(self, slots: Slots, first: int, places: list[Place]) -> None:
+        self.rows, self.first, self.places = slots.rows, first, places
+        self.below = [[j for j, p in enumerate(places) if p.above == k] for k in range(len(places))]
+        self.unions = [k for k in range(len(places)) if self.shape(k) == "union" and not places[k].later and not any(places[j].later or self.shape(j) in ("list", "map") for j in self.under(k))]
+
+    def shape(self, k: int) -> str:
+        return self.rows[self.places[k].slot][1]
+
+    def under(self, k: int) -> list[int]:
+        return [x for j in self.below[k] for x in [j, *self.under(j)]]
+
+    def chain(self, k: int) -> list[int]:
+        """Places from the first one to ``k``."""
+        above = self.places[k].above
+        return [k] if above is None else [*self.chain(above), k]
+
+    def depth(self, k: int) -> int:
+        return sum(self.shape(j) in ("record", "tuple") for j in self.chain(k)[:-1])
+
+    def name(self, what: str, k: int) -> str:
+        return f"{what}_{self.first}_{k}"
+
+    def col(self, what: str, k: int) -> Column:
+        return F.col(self.name(what, k))
+
+    def own(self, n: int, name: str, k: int) -> Column:
+        """A particular of a place: its link's, or the row's at the first one."""
+        link = self.places[k].link
+        return F.col(name) if link is None else F.lit(link[n])
+
+    def value(self, k: int) -> Column:
+        p = self.places[k]
+        if p.above is None:
+            return F.when(F.col("open") & (F.col("slot") == self.first), F.col("v"))
+        over = self.shape(p.above)
+        if over == "union":
+            return self.value(p.above)
+        if over == "tuple":
+            return F.get(self.col("arr", p.above), F.lit(p.nth))
+        return F.coalesce(*[self.col("obj", p.above)[key] for key in p.link[1]])
+
+    def inner(self, depth: int) -> dict[str, Column]:
+        """Parts of what lies at a depth."""
+        out = {}
+        for k in range(len(self.places)):
+            if self.depth(k) == depth and not self.places[k].later:
+                if self.shape(k) == "record":
+                    kind = ",".join(f"`{x.replace('`', '``')}`:variant" for x in _keys(self.rows[self.places[k].slot][4]))
+                    out[self.name("obj", k)] = F.try_variant_get(self.value(k), "$", f"struct<{kind}>")
+                elif self.shape(k) == "map":
+                    out[self.name("obj", k)] = F.try_variant_get(self.value(k), "$", "map<string,variant>")
+                elif self.shape(k) in ("list", "tuple"):
+                    out[self.name("arr", k)] = F.try_variant_get(self.value(k), "$", "array<variant>")
+        return out
+
+    def now(self) -> list[int]:
+        return [k for k in range(len(self.places)) if not self.places[k].later]
+
+    def kinds(self) -> dict[str, Column]:
+        out = {}
+        for k in self.now():
+            v, shape = self.value(k), self.shape(k)
+            kind = F.when(v.isNull(), None).when(F.is_variant_null(v), "VOID")
+            if shape in ("union", "any"):
+                kind = kind.otherwise("ANY")
+            elif shape == "scalar":
+                kind = kind.otherwise(F.substring_index(F.schema_of_variant(v), "<", 1))
+            else:
+                parts, found = ("obj", "OBJECT") if shape in ("record", "map") else ("arr", "ARRAY")
+                kind = kind.when(self.col(parts, k).isNotNull(), found).otherwise(F.substring_index(F.schema_of_variant(v), "<", 1))
+            out[self.name("kind", k)] = kind
+        return out
+
+    def coerced(self) -> dict[str, Column]:
+        out = {}
+        for k in self.now():
+            if self.shape(k) == "scalar":
+                v, kind = self.value(k), self.col("kind", k)
+                out[self.name("c", k)] = F.when(v.isNotNull(), _typed(v, kind, self.rows[self.places[k].slot][2]))
+        return out
+
+    def wrong(self) -> dict[str, Column]:
+        out = {}
+        for k in self.now():
+            v, kind, shape, slot = self.value(k), self.col("kind", k), self.shape(k), self.rows[self.places[k].slot]
+            told = lambda t, m: F.struct(F.lit(t).alias("t"), (F.lit(m) if isinstance(m, str) else m).alias("m"))
+            missing = F.when(self.own(4, "required", k), told("missing", _MORE["missing"]))
+            if self.places[k].above is None:
+                missing = F.when(F.size("at") == 0, told("json_invalid", _MORE["json_invalid"])).otherwise(missing)
+            w = F.when(v.isNull(), missing).when((kind == "VOID") & self.own(5, "nullable", k), None)
+            if shape == "record":
+                w = w.when(kind != "OBJECT", told("model_type", f"Input should be a valid dictionary or instance of {slot[3]}"))
+            elif shape in ("list", "map", "tuple"):
+                t = {"list": "list_type", "map": "dict_type", "tuple": "tuple_type"}[shape]
+                w = w.when(kind != ("OBJECT" if shape == "map" else "ARRAY"), told(t, _MORE[t]))
+                if shape == "tuple":
+                    w = w.when(F.size(self.col("arr", k)) > len(slot[4]), told("too_long", F.concat(F.lit(f"Tuple should have at most {len(slot[4])} items after validation, not "), F.size(self.col("arr", k)).cast("string"))))
+            elif shape == "scalar":
+                want, c = slot[2], self.col("c", k)
+                value = F.when(c["error"].isNull(), c["value"])
+                if slot[12] is not None:
+                    listed = [f"'{x}'" for x in slot[12]]
+                    listed = f"{', '.join(listed[:-1])} or {listed[-1]}" if len(listed) > 1 else listed[0]
+                    w = w.when(~F.coalesce((kind == "STRING") & value.isin(*slot[12]), F.lit(False)), told("literal_error", f"Input should be {listed}"))
+                messages = F.create_map(*[F.lit(x) for pair in (MESSAGES | _MORE).items() for x in pair])
+                w = w.when(c["error"].isNotNull(), told(c["error"], F.element_at(messages, c["error"])))
+                if want in ("int", "float", "decimal"):
+                    number = value.try_cast("decimal(38,10)")
+                    for limit, key, test, t, word in ((slot[5], "ge", "__lt__", "greater_than_equal", "greater than or equal to"), (slot[7], "gt", "__le__", "greater_than", "greater than"), (slot[6], "le", "__gt__", "less_than_equal", "less than or equal to"), (slot[8], "lt", "__ge__", "less_than", "less than")):
+                        if limit is not None:
+                            w = w.when(getattr(number, test)(F.lit(limit).cast("decimal(38,10)")), told(t, f"Input should be {word} {slot[9][key]}"))
+                if want == "str" and slot[10] is not None:
+                    w = w.when(F.length(value) < slot[10], told("string_too_short", f"String should have at least {slot[10]} characters"))
+                if want == "str" and slot[11] is not None:
+                    w = w.when(F.length(value) > slot[11], told("string_too_long", f"String should have at most {slot[11]} characters"))
+            out[self.name("w", k)] = w
+        return out
+
+    def states(self) -> dict[str, Column]:
+        out = {}
+        for k in self.now():
+            v, kind, shape, w = self.value(k), self.col("kind", k), self.shape(k), self.col("w", k)
+            preset, nothing = self.own(6, "preset", k).cast("string"), (kind == "VOID") & self.own(5, "nullable", k)
+            other = F.lit("leaf") if shape in ("scalar", "any") else F.when(nothing, "leaf").otherwise(shape)
+            out[self.name("st", k)] = F.when(w.isNotNull(), "bad").when(v.isNull(), F.when(preset.isNotNull(), "preset").otherwise("absent")).otherwise(other)
+            leaf = F.when(v.isNull(), preset).when(nothing, "null")
+            if shape == "any":
+                leaf = leaf.otherwise(F.to_json(v))
+            elif shape == "scalar":
+                leaf = leaf.otherwise(_texts(self.col("c", k)["value"], F.lit(self.rows[self.places[k].slot][2])))
+            out[self.name("leaf", k)] = F.when(w.isNull(), leaf)
+            shown = F.when(kind == "VOID", None).when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind == "BOOLEAN", F.initcap(F.try_variant_get(v, "$", "string"))).otherwise(F.to_json(v))
+            out[self.name("shown", k)] = F.when(w.isNotNull() & ~w["t"].isin("missing", "json_invalid"), shown)
+        return out
+
+    def lives(self) -> dict[str, Column]:
+        """Whether there is a row for a place, before unions are decided."""
+        out = {}
+        for k in range(len(self.places)):
+            live = F.col("open") & (F.col("slot") == self.first)
+            for j in self.chain(k)[:-1]:
+                live = live & (self.col("st", j) == self.shape(j))
+            out[self.name("live", k)] = live
+        return out
+
+    def stays(self, k: int, within: int | None = None) -> Column:
+        """Whether a place's row is left by the unions above it (those within ``within``)."""
+        out, chain = self.col("live", k), self.chain(k)
+        for u, part in zip(chain, chain[1:]):
+            if u in self.unions and (within is None or within in self.chain(u)[:-1]):
+                out = out & (self.col("won", u).isNull() | (self.col("won", u) == self.places[part].nth))
+        return out
+
+    def winners(self, depth: int) -> dict[str, Column]:
+        """Alternatives that are taken, of unions with so many unions around them."""
+        out = {}
+        for u in self.unions:
+            if sum(x in self.unions for x in self.chain(u)) - 1 == depth:
+                each = []
+                for a in self.below[u]:
+                    count = lambda test: sum((F.when(self.stays(j, u) & t, 1).otherwise(0) for j in [a, *self.under(a)] for t in [test(j)] if t is not None), F.lit(0))  # noqa: E731, B023
+                    bad = count(lambda j: self.col("w", j).isNotNull())
+                    taken = count(lambda j: ~self.col("st", j).isin("absent", "preset") if self.shape(self.places[j].above) == "record" else None)
+                    inexact = count(lambda j: ~F.coalesce(self.col("c", j)["exact"], F.lit(True)) if self.shape(j) == "scalar" else None)
+                    each.append(F.when(self.col("live", a) & (bad == 0), F.struct((-taken).alias("set"), inexact.alias("inexact"), F.lit(self.places[a].nth).alias("alt"))))
+                out[self.name("won", u)] = F.array_min(F.array(*each))["alt"]
+        return out
+
+    def at(self, k: int, *more: Column) -> Column:
+        return F.concat("at", F.array(*[F.lit(self.places[j].nth) for j in self.chain(k)[1:]], *more).cast("array<int>"))
+
+    def names(self, k: int, *more: Column) -> Column:
+        parts, chain = [F.col("names")], self.chain(k)
+        for over, j in zip(chain, chain[1:]):
+            p, shape = self.places[j], self.shape(over)
+            one = F.array(F.lit(p.link[7] if shape == "union" else p.link[2] if shape == "record" else str(p.nth)))
+            parts.append(F.when(self.col("won", over).isNull(), one).otherwise(F.array().cast("array<string>")) if over in self.unions else one)
+        return F.concat(*parts, *[F.array(x) for x in more])
+
+    def particulars(self, k: int) -> dict[str, Column]:
+        """Prefix, hint and undecided unions of a place."""
+        chain, p = self.chain(k), self.places[k]
+        prefix, hint, branch = F.col("prefix"), F.col("hint"), F.col("branch")
+        for nth, (over, j) in enumerate(zip(chain, chain[1:])):
+            shape, link = self.shape(over), self.places[j].link
+            if shape == "record":
+                prefix, hint = F.concat(F.to_json(F.lit(link[3]).cast("variant")), F.lit(":")), F.try_variant_get(self.col("obj", over)[link[8]], "$", "string") if link[8] else F.lit(None)
+            elif shape == "tuple":
+                prefix = F.lit("")
+            elif over not in self.unions:
+                branch = F.concat(branch, F.array(F.struct(self.at(over).alias("at"), F.lit(self.places[j].nth).alias("alt"), (F.size("names") + nth).alias("nth"))))
+        field = F.col("field") if p.above is None else F.lit(self.shape(p.above) == "record")
+        return {"prefix": prefix, "hint": hint, "branch": branch, "field": field, "required": self.own(4, "required", k), "nullable": self.own(5, "nullable", k), "preset": self.own(6, "preset", k), "slot": F.lit(p.slot)}
+
+    def items(self, k: int, given: dict[str, Column]) -> Column:
+        """Open rows of what a list or a map holds."""
+        slot = self.rows[self.places[k].slot][4][0][0]
+        same = given | {"slot": F.lit(slot), "field": F.lit(False), "required": F.lit(True), "nullable": F.lit(False), "preset": F.lit(None), "open": F.lit(True)}
+        item = lambda i, name, prefix, x: _plain(**(same | {"at": self.at(k, i), "names": self.names(k, name), "prefix": prefix, "v": x}))
+        if self.shape(k) == "list":
+            return F.transform(self.col("arr", k), lambda x, i: item(i, i.cast("string"), F.lit(""), x))
+        return F.transform(F.map_entries(self.col("obj", k)), lambda e, i: item(i, e["key"], F.concat(F.to_json(e["key"].cast("variant")), F.lit(":")), e["value"]))
+
+    def made(self) -> list[Column]:
+        """Arrays of rows that a row becomes; what isn't there is null in them."""
+        single, lists = [], []
+        for k, p in enumerate(self.places):
+            given = self.particulars(k) | {"at": self.at(k), "names": self.names(k)}
+            if p.later:
+                single.append(F.when(self.stays(k), _plain(**given, v=self.value(k), open=F.lit(True))))
+                continue
+            shape, slot, st, w = self.shape(k), self.rows[p.slot], self.col("st", k), self.col("w", k)
+            check = None if slot[14] is None else F.when((st == "leaf") & ~((self.col("kind", k) == "VOID") & given["nullable"]), F.struct(*[F.lit(x).alias(n) for n, x in zip(_CHECK, slot[14])]))
+            more = {"open": F.lit(False), "shape": F.lit(shape), "state": st, "value": self.col("leaf", k), "error_type": w["t"], "message": w["m"], "shown": self.col("shown", k), "kind": F.lit(slot[2])}
+            more["exact"] = F.coalesce(self.col("c", k)["exact"], F.lit(True)) if shape == "scalar" else F.lit(True)
+            single.append(F.when(self.stays(k), _plain(**given, **more, **({} if check is None else {"check": check}))))
+            if shape in ("list", "map"):
+                lists.append(F.when(self.stays(k) & (st == shape), self.items(k, given)))
+        return [F.array(*single), *lists]
+
+
+def _plain(**given: Column) -> Column:
+    """A row whose columns have their types."""
+    kinds = {n: f"struct<{','.join(f'{x}:{y}' for x, y in zip(_CHECK, ('string', 'double', 'string', 'boolean', 'string')))}>" if n == "check" else _TYPES.get(n, "string") for n in _NAMES}
+    return F.struct(*[given.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in _NAMES])
+
+
+def _whole_level(rows: DataFrame, opened: list[_Opened]) -> DataFrame:
+    """Open all rows that are open, each with all the places that lie within it."""
+    steps = []
+    for depth in range(1 + max(o.depth(k) for o in opened for k in range(len(o.places)))):
+        steps.append([o.inner(depth) for o in opened])
+    steps += [[getattr(o, what)() for o in opened] for what in ("kinds", "coerced", "wrong", "states", "lives")]
+    around = [sum(x in o.unions for x in o.chain(u)) - 1 for o in opened for u in o.unions]
+    for depth in range(max(around, default=-1), -1, -1):
+        steps.append([o.winners(depth) for o in opened])
+    own = F.array(_plain(**{n: F.col(n) for n in _NAMES}))
+    on = F.col("open")
+    for step in steps:
+        made = {n: c for one in step for n, c in one.items()}
+        # a function of this kind keeps a step out of the stage's code, of which it would make one method too long for
+        # the virtual machine's own compiler; by itself it is cut into short ones, and what occurs twice is worked out once
+        rows = rows.withColumns({"on_": F.exists(F.array(on), lambda x: x), **made})
+        on = F.col("on_")
+    each = [a for o in opened for a in o.made()]
+    none = F.array().cast(f"array<{_ROW}>")
+    rows = rows.select("id_", F.when(on, F.concat(*[F.coalesce(a, none) for a in each])).otherwise(own).alias("all_"))
+    return rows.select("id_", F.inline(F.filter("all_", lambda x: x.isNotNull())))
+
+
+
 def nodes(docs: DataFrame, id_col: str, json_col: str, schema: RecordSchema | Slots, levels: int = 4) -> DataFrame:
     """A row for each value of each document that the schema has a place for (and for each that is missing): ``id_col``,
     ``at`` (its place in the order of the document), ``path``, ``parent`` (path), ``shape``, ``kind``, ``state`` (record,
@@ -292,7 +610,15 @@ def nodes(docs: DataFrame, id_col: str, json_col: str, schema: RecordSchema | Sl
     """
     slots = schema if isinstance(schema, Slots) else compiled(schema)
     spark = docs.sparkSession
-    table, steps = slots.table(spark), _opening(slots)
+    places = _places(slots)
+    opened = None if places is None else [_Opened(slots, first, one) for first, one in places.items()]
+    if opened is None:
+        table, steps = slots.table(spark), _opening(slots)
+        undecided = any(r[1] == "union" for r in slots.rows)
+    else:
+        # a job opens fewer levels of a schema of many places, since its plan grows with both
+        levels = max(1, min(levels, 24 // sum(map(len, places.values()))))
+        undecided = any(o.shape(k) == "union" and k not in o.unions for o in opened for k in o.now())
     rows = docs.select(F.col(id_col).alias("id_"), F.col(json_col).cast("string").alias("t_")).where("t_ is not null")
     # documents are small for the work they take: as many as lie in one file's split would be opened by one task
     rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "id_")
@@ -301,14 +627,14 @@ def nodes(docs: DataFrame, id_col: str, json_col: str, schema: RecordSchema | Sl
     rows, done = rows.select("id_", F.inline(F.array(start))), None
     while True:
         for _ in range(levels):
-            rows = _level(rows, steps, table)
+            rows = _level(rows, steps, table) if opened is None else _whole_level(rows, opened)
         rows = written(rows, "tree-nodes")
         more = rows.where("not open")
         done = more if done is None else done.unionByName(more)
         rows = rows.where("open")
         if rows.isEmpty():
             break
-    out = _decided(done) if any(r[1] == "union" for r in slots.rows) else done
+    out = _decided(done) if undecided else done
     path = F.array_join("names", SEPARATOR)
     return out.select(F.col("id_").alias(id_col), "at", path.alias("path"), F.array_join(F.slice("names", 1, F.greatest(F.size("names") - 1, F.lit(0))), SEPARATOR).alias("parent"), "shape", "kind", "state", "value", "error_type", "message", "shown", "prefix", "hint", "check")
 

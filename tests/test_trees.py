@@ -62,6 +62,33 @@ def test_kinds_side_by_side(spark):
     assert got[3] == [("deep -> union -> int", "int_type"), ("deep -> union -> date", "date_type"), ("deep -> list[bool] -> 0", "bool_parsing"), ("pair", "too_long"), ("at", "datetime_from_date_parsing"), ("sum", "decimal_type")]
 
 
+def test_unions_within_a_record_are_decided_as_it_is_opened(spark):
+    card, bank = RecordSchema("Card", [Field("card", "int", ge=1000)]), RecordSchema("Bank", [Field("iban"), Field("bic", required=False)])
+    docs = ['{"to": {"card": 4000}}', '{"to": {"card": "4000", "iban": "D"}}', '{"to": {"card": 5}}', '{"to": null}', "[]"]
+    df = spark.createDataFrame(list(enumerate(docs)), "k int, doc string")
+    rows = trees.nodes(df, "k", "doc", RecordSchema("P", [Field("to", OneOf((card, bank)))]))
+    assert spark.read.parquet(*rows.inputFiles()).count() == rows.count()
+
+
+def test_places_give_what_slots_give(spark, tree, monkeypatch):
+    a, b = RecordSchema("A", [Field("x", "int"), Field("deep", OneOf(("int", "bool", Parts(("str", "date")))))]), RecordSchema("B", [Field("x"), Field("z", required=False, default="d")])
+    some = RecordSchema("S", [Field("k", OneOf((a, b))), Field("l", OneOf((ListOf("int"), "any"))), Field("t", Parts(("decimal", "float")), required=False, nullable=True), Field("c", choices=("a", "b"), aliases=("c", "the c")), Field("m", a, keyed=True, required=False)])
+    odd = ["[]", "null", "7", "{", "{}", None]
+    docs = ['{"k":{"x":"5","deep":["s","2020-01-01"]},"l":[1,"2"],"t":[1,2],"c":"a","m":{"a b":{"x":1,"deep":true},"c":5}}', '{"k":{"x":"5","z":null},"l":[1,"z"],"t":null,"the c":"q","m":[]}', '{"k":{"x":{},"deep":[1]},"l":null,"t":[1,2,3],"c":null}', '{"k":7,"t":"x","c":5}', '{"k":{"x":5.0,"deep":null},"l":{},"t":["a"],"c":"b"}']
+    trees_ = ['{"name":"a","next":{"name":"b","next":{"name":""}},"all":[{"name":"c","by":{"x y":{"name":1}}},7,null]}', '{"name":"a","next":null,"by":[],"all":{}}']
+
+    def all_(schema, texts):
+        rows = trees.nodes(spark.createDataFrame(list(enumerate(texts)), "k int, doc string"), "k", "doc", schema)
+        return sorted(tuple(map(str, r)) for r in rows.drop("check").collect())
+
+    for schema, texts in ((some, docs + odd), (tree, trees_ + odd)):
+        assert trees._places(trees.compiled(schema)) is not None
+        got = all_(schema, texts)
+        with monkeypatch.context() as m:
+            m.setattr(trees, "_places", lambda slots: None)
+            assert got == all_(schema, texts)
+
+
 def test_documents_of_one_task_are_spread(spark):
     df = spark.range(64).coalesce(1).selectExpr("id as k", """'{"name": "n"}' as doc""")
     assert len(trees.nodes(df, "k", "doc", RecordSchema("N", [Field("name")])).inputFiles()) > 1
